@@ -1,10 +1,12 @@
-"""Joins against small tables, broadcast only after their size has been checked."""
+"""Small tables: broadcast only after their size has been checked, computed once when read often."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.session import cut_lineage
+
 PINNED_ROWS = 50_000
 
 
@@ -13,13 +15,27 @@ def one_row(table: DataFrame) -> Column:
     return table.select(F.struct("*").alias("row")).scalar()
 
 
+def local_copy(table: DataFrame, max_rows: int = PINNED_ROWS) -> DataFrame | None:
+    """The table as literal rows of the plan, or None when it has more than ``max_rows`` rows.
+
+    One job fetches at most ``max_rows + 1`` rows, so the check itself is bounded.
+    """
+    rows = table.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return None
+    return table.sparkSession.createDataFrame(rows, schema=table.schema)
+
+
 def pinned(table: DataFrame, max_rows: int = PINNED_ROWS) -> DataFrame:
-    """A broadcast copy of a table with at most ``max_rows`` rows; a larger table is returned as it is.
+    """A broadcast copy of a small table; a larger one is returned as it is.
 
-    One job reads at most ``max_rows + 1`` rows. Beyond the limit the caller's join shuffles, and
-    adaptive execution splits its skewed partitions.
+    Beyond the limit the caller's join shuffles, and adaptive execution splits its skewed partitions.
     """
-    rows = table.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return table
-    return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema))
+    copy = local_copy(table, max_rows)
+    return table if copy is None else F.broadcast(copy)
+
+
+def settled(table: DataFrame, max_rows: int = PINNED_ROWS) -> DataFrame:
+    """A table computed once and then read many times: literal rows when small, else checkpointed."""
+    copy = local_copy(table, max_rows)
+    return cut_lineage(table) if copy is None else copy

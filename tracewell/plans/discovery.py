@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.log import EventLog
+from tracewell.operators.lookup import settled
 from tracewell.operators.relations import (
     boundary_activities,
     branch_relations,
@@ -61,8 +62,7 @@ def alpha_pairs(relations: DataFrame) -> DataFrame:
         related("unrelated").alias("unrelated"), related("causal").alias("after"), related("reverse").alias("before")
     )
     # At most MAX_ALPHABET rows; fixed here because every round of the recursion reads them.
-    rows = neighbours.collect()
-    fixed = spark.createDataFrame(rows, neighbours.schema)
+    fixed = settled(neighbours)
     return spark.sql(
         """
         WITH RECURSIVE grown AS (
@@ -97,15 +97,22 @@ def alpha_pairs(relations: DataFrame) -> DataFrame:
 
 
 def alpha_net(log: EventLog) -> PetriNet:
-    activities = log.events.select("activity")
-    return alpha_net_of(footprint(directly_follows(log), activities), boundary_activities(log))
+    graph, boundaries = settled(directly_follows(log)), settled(boundary_activities(log))
+    relations = footprint(graph, activities_of(graph, boundaries))
+    return alpha_net_of(settled(relations), boundaries)
+
+
+def activities_of(graph: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """Every activity of the log starts a case, ends one or stands on an edge."""
+    named = boundaries.select("activity")
+    return named.union(graph.select("src")).union(graph.select("dst")).distinct()
 
 
 def alpha_net_of(relations: DataFrame, boundaries: DataFrame) -> PetriNet:
     def names(members: str) -> Column:
         return F.concat(F.lit("{"), F.array_join(F.array_sort(F.col(members)), ","), F.lit("}"))
 
-    pairs = alpha_pairs(relations).withColumn("place", F.concat_ws("->", names("a_set"), names("b_set")))
+    pairs = settled(alpha_pairs(relations)).withColumn("place", F.concat_ws("->", names("a_set"), names("b_set")))
     spark = relations.sparkSession
     marked = spark.createDataFrame([("start", "initial"), ("end", "final")], "place string, marking string")
     places = marked.unionByName(pairs.select("place", F.lit(None).cast("string").alias("marking")))
@@ -165,9 +172,10 @@ def _bindings(edges: DataFrame, branches: DataFrame, side: str) -> DataFrame:
 def heuristics_net(
     log: EventLog, threshold: float = 0.5, loop_threshold: float = 0.5, and_threshold: float = 0.65
 ) -> PetriNet:
-    graph = directly_follows(log)
-    edges = dependencies(graph, loops_of_two(log), threshold, loop_threshold)
-    return heuristics_net_of(edges, branch_relations(edges, graph, and_threshold), boundary_activities(log))
+    graph = settled(directly_follows(log))
+    edges = settled(dependencies(graph, settled(loops_of_two(log)), threshold, loop_threshold))
+    branches = settled(branch_relations(edges, graph, and_threshold))
+    return heuristics_net_of(edges, branches, settled(boundary_activities(log)))
 
 
 def heuristics_net_of(edges: DataFrame, branches: DataFrame, boundaries: DataFrame) -> PetriNet:

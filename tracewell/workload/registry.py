@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.log import EventLog
+from tracewell.operators.cleaning import remove_duplicates
 from tracewell.session import RUNTIME_CONF
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,14 +88,19 @@ def talk_log(spark: SparkSession, folder: str) -> EventLog:
 
 
 def stage_log(spark: SparkSession, folder: str) -> EventLog:
-    """Order lines with the shipping year as activity, which gives a log with a direction."""
-    return EventLog.of(
+    """First shipment of an order in each year; in even years one of three lanes by order number.
+
+    Years follow each other, and the lanes exclude each other, so the log has a process to discover.
+    """
+    log = EventLog.of(
         table(spark, folder, "lineitem"),
         case_id="l_orderkey",
-        activity="concat('Y', year(l_shipdate), CASE WHEN l_quantity > 25 THEN 'H' ELSE 'L' END)",
+        activity="concat('Y', year(l_shipdate), "
+        "CASE WHEN year(l_shipdate) % 2 = 0 THEN concat('-', l_orderkey % 3) ELSE '' END)",
         ts="l_shipdate",
         tiebreak=LINE_ORDER,
     )
+    return log.with_events(remove_duplicates(log.events, ["case_id", "activity"], "first", log.order))
 
 
 _SQL_LOGS = {
@@ -108,6 +114,8 @@ _SQL_LOGS = {
     "$O": "(SELECT o_custkey AS case_id, o_orderpriority AS activity, o_orderdate AS ts, o_orderkey, "
     "o_orderstatus, o_totalprice, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey)",
     "$C": "(SELECT conv_id AS case_id, role AS activity, turn FROM conversations)",
-    "$F": "(SELECT l_orderkey AS case_id, 'Y' || year(l_shipdate) || CASE WHEN l_quantity > 25 THEN 'H' ELSE 'L' END "
-    "AS activity, l_shipdate AS ts, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem)",
+    "$F": "(SELECT * FROM (SELECT l_orderkey AS case_id, 'Y' || year(l_shipdate) || CASE WHEN year(l_shipdate) % 2 = 0 "
+    "THEN '-' || (l_orderkey % 3) ELSE '' END AS activity, l_shipdate AS ts, l_linenumber, l_partkey, l_suppkey, "
+    "l_extendedprice FROM lineitem) t QUALIFY row_number() OVER (PARTITION BY t.case_id, t.activity "
+    "ORDER BY t.ts, t.l_linenumber, t.l_partkey, t.l_suppkey, t.l_extendedprice) = 1)",
 }
