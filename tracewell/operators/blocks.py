@@ -9,6 +9,8 @@ boundaries only place the work; every result is computed from all rows.
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,10 @@ def rows_per_task(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("tracewell.rowsPerTask", str(ROWS_PER_TASK)))
 
 
+# Found once per table, key and limit, as several operators open the same log.
+_FOUND: WeakKeyDictionary[DataFrame, dict] = WeakKeyDictionary()
+
+
 def hot_keys(df: DataFrame, key: str) -> list:
     """Keys that hold more rows than a task should, at most MAX_HOT_KEYS of them.
 
@@ -39,6 +45,13 @@ def hot_keys(df: DataFrame, key: str) -> list:
     if is_small(df):
         return []
     limit = rows_per_task(df)
+    found = _FOUND.setdefault(df, {})
+    if (key, limit) not in found:
+        found[key, limit] = _sampled_hot_keys(df, key, limit)
+    return found[key, limit]
+
+
+def _sampled_hot_keys(df: DataFrame, key: str, limit: int) -> list:
     fraction = min(1.0, _SAMPLE_HITS / limit)
     sampled = df.select(col(key).alias("key"))
     if fraction < 1.0:
@@ -70,16 +83,23 @@ def slice_points(df: DataFrame, key: str | None, number: Column) -> DataFrame:
     return grouped.agg(slices)
 
 
-def block_of(number: Column, points: Column) -> Column:
-    """Block number of a value, never decreasing in the value; nulls sort first."""
-    at = F.size(F.filter(points, lambda point: point <= number))
+def with_block(df: DataFrame, number: Column, points: str = "_points") -> DataFrame:
+    """Add ``_block`` for a value and drop its quantile points.
+
+    The block never decreases in the value. Nulls come first, and rows without points are in block 0.
+    The slice is a column of its own, so it is searched once per row.
+    """
+    sliced = df.withColumn("_number", number).withColumn(
+        "_slice", F.when(F.col("_number").isNotNull(), F.size(F.filter(points, lambda point: point <= F.col("_number"))))
+    )
+    at, value = F.col("_slice"), F.col("_number")
     low = F.try_element_at(points, F.greatest(at, F.lit(1)))
     high = F.try_element_at(points, at + 1)
-    step = F.floor((number - low) * float(STEPS) / (high - low))
+    step = F.floor((value - low) * float(STEPS) / (high - low))
     inside = (at > 0) & (at <= SLICES) & (high > low)
-    return F.when(number.isNull(), F.lit(-1)).otherwise(
-        (at * STEPS + F.when(inside, F.least(step, F.lit(STEPS - 1))).otherwise(F.lit(0))).cast("int")
-    )
+    place = at * STEPS + F.when(inside, F.least(step, F.lit(STEPS - 1))).otherwise(F.lit(0))
+    block = F.when(F.col(points).isNull(), F.lit(0)).when(value.isNull(), F.lit(-1)).otherwise(place.cast("int"))
+    return sliced.withColumn(BLOCK, block).drop(points, "_number", "_slice")
 
 
 def time_blocks(df: DataFrame, key: str, order: str, hot: list) -> DataFrame:
@@ -89,13 +109,12 @@ def time_blocks(df: DataFrame, key: str, order: str, hot: list) -> DataFrame:
     """
     number = sort_number(df, order)
     points = slice_points(df.where(col(key).isin(hot)), key, number)
-    joined = df.join(F.broadcast(points), on=key, how="left")
-    block = F.when(F.col("_points").isNull(), F.lit(0)).otherwise(block_of(number, F.col("_points")))
-    return joined.withColumn(BLOCK, block).drop("_points")
+    return with_block(df.join(F.broadcast(points), on=key, how="left"), number)
 
 
 def table_blocks(df: DataFrame, order: str) -> DataFrame:
-    """Add ``_block`` over the whole table as if it were one hot group."""
+    """Add ``_block`` over the whole table as if it were one hot group; a small table is one block."""
+    if is_small(df):
+        return df.withColumn(BLOCK, F.lit(0))
     number = sort_number(df, order)
-    points = slice_points(df, None, number).scalar()
-    return df.withColumn("_points", points).withColumn(BLOCK, block_of(number, F.col("_points"))).drop("_points")
+    return with_block(df.withColumn("_points", slice_points(df, None, number).scalar()), number)

@@ -39,3 +39,10 @@ def settled(table: DataFrame, max_rows: int = PINNED_ROWS) -> DataFrame:
     """A table computed once and then read many times: literal rows when small, else checkpointed."""
     copy = local_copy(table, max_rows)
     return cut_lineage(table) if copy is None else copy
+
+
+def stored(table: DataFrame, max_rows: int = PINNED_ROWS) -> DataFrame:
+    """A table that may be large, computed once: checkpointed, and read back as literal rows if small."""
+    kept = cut_lineage(table)
+    copy = local_copy(kept, max_rows)
+    return kept if copy is None else copy

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.columns import col
-from tracewell.operators.blocks import BLOCK, block_of, slice_points
+from tracewell.operators.blocks import BLOCK, slice_points, with_block
 from tracewell.session import is_small
 
 
@@ -26,8 +26,7 @@ def percentiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float])
     cells = [F.struct(F.lit(c).alias("column"), col(c).cast("double").alias("value")) for c in columns]
     long = df.select(F.inline(F.array(*cells))).where("value IS NOT NULL AND NOT isnan(value)")
     points = slice_points(long, "column", F.col("value"))  # one row per column
-    blocked = long.join(F.broadcast(points), "column").withColumn(BLOCK, block_of(F.col("value"), F.col("_points")))
-    blocked = blocked.drop("_points")
+    blocked = with_block(long.join(F.broadcast(points), "column"), F.col("value"))
     counts = blocked.groupBy("column", BLOCK).agg(F.count(F.lit(1)).alias("rows"))
     before = Window.partitionBy("column").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     total = Window.partitionBy("column")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.columns import col, epoch_micros, seconds_between
 from tracewell.log import EventLog
+from tracewell.operators.lookup import PINNED_ROWS
 from tracewell.operators.ordering import ordered_cases
 
 SEGMENT_EVENTS = 10_000
@@ -110,8 +111,14 @@ def case_analysis(log: EventLog, segment_events: int = SEGMENT_EVENTS) -> DataFr
         F.min("gap").alias("part_min"),
         F.max("gap").alias("part_max"),
     )
-    # Segments per case are few; their extremes combine into those of the case.
-    case = Window.partitionBy("case_id")
+    extremes = {"min_gap_seconds": F.min("part_min"), "max_gap_seconds": F.max("part_max")}
+    if cases.split:
+        # A hot case has very many segments: combine their extremes before they meet.
+        whole = parts.groupBy("case_id").agg(*[value.alias(name) for name, value in extremes.items()])
+        parts = parts.join(whole, "case_id")
+    else:
+        case = Window.partitionBy("case_id")
+        parts = parts.withColumns({name: value.over(case) for name, value in extremes.items()})
     duration = F.col("duration_seconds")
     return parts.select(
         "case_id",
@@ -121,8 +128,7 @@ def case_analysis(log: EventLog, segment_events: int = SEGMENT_EVENTS) -> DataFr
         "duration_seconds",
         (duration / 3600.0).alias("duration_hours"),
         F.when(F.col("event_count") > 1, duration / (F.col("event_count") - 1)).alias("mean_gap_seconds"),
-        F.min("part_min").over(case).alias("min_gap_seconds"),
-        F.max("part_max").over(case).alias("max_gap_seconds"),
+        *extremes,
     )
 
 
@@ -138,4 +144,6 @@ def case_spans(log: EventLog) -> DataFrame:
 def first_cases(log: EventLog, count: int) -> EventLog:
     """All events of the first ``count`` cases in case order (a sampling operator)."""
     chosen = log.events.select("case_id").distinct().orderBy("case_id").limit(count)
+    if count <= PINNED_ROWS:
+        chosen = F.broadcast(chosen)
     return log.with_events(log.events.join(chosen, "case_id", "left_semi"))

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from tracewell.log import EventLog
 from tracewell.operators.lookup import settled
 from tracewell.operators.relations import (
-    boundary_activities,
+    boundaries_of,
     branch_relations,
     dependencies,
-    directly_follows,
     footprint,
-    loops_of_two,
+    graph_of,
+    loops_of,
+    relation_counts,
 )
 
 MAX_ALPHABET = 64
@@ -97,7 +98,8 @@ def alpha_pairs(relations: DataFrame) -> DataFrame:
 
 
 def alpha_net(log: EventLog) -> PetriNet:
-    graph, boundaries = settled(directly_follows(log)), settled(boundary_activities(log))
+    counts = settled(relation_counts(log))
+    graph, boundaries = graph_of(counts), boundaries_of(counts)
     relations = footprint(graph, activities_of(graph, boundaries))
     return alpha_net_of(settled(relations), boundaries)
 
@@ -172,10 +174,11 @@ def _bindings(edges: DataFrame, branches: DataFrame, side: str) -> DataFrame:
 def heuristics_net(
     log: EventLog, threshold: float = 0.5, loop_threshold: float = 0.5, and_threshold: float = 0.65
 ) -> PetriNet:
-    graph = settled(directly_follows(log))
-    edges = settled(dependencies(graph, settled(loops_of_two(log)), threshold, loop_threshold))
-    branches = settled(branch_relations(edges, graph, and_threshold))
-    return heuristics_net_of(edges, branches, settled(boundary_activities(log)))
+    counts = settled(relation_counts(log))
+    graph = graph_of(counts)
+    edges = settled(dependencies(graph, loops_of(counts), threshold, loop_threshold))
+    branches = branch_relations(edges, graph, and_threshold)
+    return heuristics_net_of(edges, branches, boundaries_of(counts))
 
 
 def heuristics_net_of(edges: DataFrame, branches: DataFrame, boundaries: DataFrame) -> PetriNet:
@@ -189,6 +192,8 @@ def heuristics_net_of(edges: DataFrame, branches: DataFrame, boundaries: DataFra
     starts = boundaries.where("boundary = 'start'").select(F.lit(START).alias("src"), F.col("activity").alias("dst"))
     ends = boundaries.where("boundary = 'end'").select(F.col("activity").alias("src"), F.lit(END).alias("dst"))
     every = kept.unionByName(starts).unionByName(ends)
+    every = settled(every)
+    branches = settled(branches)
     wired = every.join(_bindings(every, branches, "split"), ["src", "dst"]).join(
         _bindings(every, branches, "join"), ["src", "dst"]
     )

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.log import EventLog
-from tracewell.operators.evaluation import regression_scores, top_k_accuracy
+from tracewell.operators.evaluation import regression_columns, top_k_columns
 from tracewell.operators.features import case_split, compact_features
 from tracewell.operators.prefixes import prefixes_next
 from tracewell.operators.traces import outcome_by_last_activity
 from tracewell.operators.vocabulary import activity_vocabulary, id_map
 from tracewell.plans.classifiers import Chosen, choose_best, fit
 from tracewell.plans.prediction import HORIZON, TransitionModel, evaluation_rows, train, training_samples
+from tracewell.session import cut_lineage
 from tracewell.sources.sinks import append_training_record, save_model, save_tables, training_record
 
 COMPACT_FEATURES = ("last_activity_id", "prefix_length", "max_repetition", "unique_activities")
@@ -37,9 +38,11 @@ def outcome_rows(log: EventLog, vocabulary: DataFrame, max_length: int = 5) -> D
 
 def bucket_scores(evaluated: DataFrame) -> DataFrame:
     """Top-k accuracy and hour errors per bucket on held-out cases."""
-    ranked = top_k_accuracy(evaluated, "label_next_activity", "ranking", ks=(1, 3, 5), by=["bucket_id"])
-    timed = regression_scores(evaluated, "remaining_time", "predicted_hours", by=["bucket_id"])
-    return ranked.join(timed, "bucket_id")
+    return evaluated.groupBy("bucket_id").agg(
+        F.count(F.lit(1)).alias("rows"),
+        *top_k_columns("label_next_activity", "ranking", (1, 3, 5)),
+        *regression_columns("remaining_time", "predicted_hours"),
+    )
 
 
 def run_training(
@@ -56,7 +59,7 @@ def run_training(
     vocabulary = activity_vocabulary(log)
     chosen = model = scores = None
     if phase != "buckets":
-        rows = outcome_rows(log, vocabulary, max_outcome_length)
+        rows = cut_lineage(outcome_rows(log, vocabulary, max_outcome_length))  # read by every fit
         training = rows.where(~F.col("is_test"))
         models = {
             "decision_tree": fit(training, COMPACT_FEATURES, "label_outcome", "decision_tree"),

@@ -10,7 +10,7 @@ ACCEPTED_EXTENSIONS = ("csv", "xes")
 
 
 def scan_folder(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file below a folder; file contents are not read."""
+    """One row per non-empty file below a folder; file contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select(
         "path",

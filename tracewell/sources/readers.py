@@ -98,19 +98,20 @@ def read_csv(
     if not tolerant:
         return LoadedLog(timed(reader.schema(schema).option("mode", "FAILFAST").csv(path)))
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    # Every column is parsed for every query, or a query on some columns would miss bad values in others.
-    rows = (
-        reader.schema(full)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("columnPruning", False)
-        .csv(path)
-    )
-    good = timed(rows.where(col(CORRUPT).isNull()).drop(CORRUPT))
-    # Spark refuses a CSV scan of the reject column alone, so the filter reads a data column as well.
-    parsed = col(schema.fields[0].name).cast("string")
-    bad = rows.where(col(CORRUPT).isNotNull() & F.coalesce(parsed, col(CORRUPT)).isNotNull())
-    return LoadedLog(good, bad.select(CORRUPT))
+    rows = reader.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    good, bad = _sides(rows)
+    return LoadedLog(timed(good), bad)
+
+
+def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that parsed and the text of those that did not.
+
+    Spark parses only the columns a query names, and a row that is bad in another column would pass as
+    good. The hash test always holds; it names every column, so that all of them are parsed.
+    """
+    every = F.hash(*[col(name) for name in rows.columns if name != CORRUPT]) >= F.lit(-(2**31))
+    good = rows.where(col(CORRUPT).isNull() & every).drop(CORRUPT)
+    return good, rows.where(col(CORRUPT).isNotNull() & every).select(CORRUPT)
 
 
 # The typed attribute elements of XES.
@@ -151,8 +152,8 @@ def read_xes(
     """XES traces to event rows; trace attributes get the prefix ``case:``.
 
     The attribute maps give the XES tag per key ("string", "date", "int", "float", "boolean"); the
-    standard keys are always read. A gzipped file cannot be split, so each is one task; the rows are
-    spread out again before later work.
+    standard keys are always read. A file is one task, and in tolerant mode one that is not well-formed
+    is rejected as a whole. Events of a gzipped file are spread out again before later work.
     """
     traces_wanted = {**STANDARD_TRACE, **(trace_attributes or {})}
     events_wanted = {**STANDARD_EVENT, **(event_attributes or {})}
@@ -162,7 +163,7 @@ def read_xes(
     else:
         reader = reader.option("mode", "FAILFAST")
     rows = reader.load(path)
-    good = rows.where(col(CORRUPT).isNull()) if tolerant else rows
+    good, rejects = _sides(rows) if tolerant else (rows, None)
     case = [_attribute("", key, tag).alias(f"case:{key}") for key, tag in traces_wanted.items()]
     events = good.select(*case, F.posexplode("event").alias("event_index", "e")).select(
         *[col(f"case:{key}") for key in traces_wanted],
@@ -171,5 +172,4 @@ def read_xes(
     )
     if path.rstrip("/").endswith(".gz"):
         events = events.repartition(col("case:concept:name"), F.col("event_index"))
-    rejects = rows.where(col(CORRUPT).isNotNull()).select(CORRUPT) if tolerant else None
     return LoadedLog(events, rejects)

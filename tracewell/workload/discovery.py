@@ -65,8 +65,9 @@ _FOOTPRINT = f"""(SELECT a.activity AS src, b.activity AS dst,
 @query("footprint", f"SELECT * FROM {_FOOTPRINT}")
 def footprint(spark, folder):
     log = stage_log(spark, folder)
-    graph = settled(ops.directly_follows(log))
-    return ops.footprint(graph, plans.activities_of(graph, ops.boundary_activities(log)))
+    counts = settled(ops.relation_counts(log))
+    graph = ops.graph_of(counts)
+    return ops.footprint(graph, plans.activities_of(graph, ops.boundaries_of(counts)))
 
 
 # Pairs grow by any fitting activity here; equal sets collapse in the recursive UNION.
@@ -136,7 +137,8 @@ def _dependencies(log, order):
 )
 def dependency_graph(spark, folder):
     log = click_log(spark, folder)
-    found = ops.dependencies(settled(ops.directly_follows(log)), settled(ops.loops_of_two(log)))
+    counts = settled(ops.relation_counts(log))
+    found = ops.dependencies(ops.graph_of(counts), ops.loops_of(counts))
     return rounded(found, "dependency", "loop_dependency")
 
 
@@ -161,8 +163,9 @@ AND_LIMIT = 0.3
 )
 def branch_relations(spark, folder):
     log = stage_log(spark, folder)
-    graph = settled(ops.directly_follows(log))
-    edges = settled(ops.dependencies(graph, ops.loops_of_two(log)))
+    counts = settled(ops.relation_counts(log))
+    graph = ops.graph_of(counts)
+    edges = settled(ops.dependencies(graph, ops.loops_of(counts)))
     return rounded(ops.branch_relations(edges, graph, AND_LIMIT), "and_measure")
 
 

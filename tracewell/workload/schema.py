@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.columns import epoch_micros
 from tracewell.operators import columns as ops
+from tracewell.operators.profile import value_counts
 from tracewell.workload.registry import query, rounded, table
 
 _TYPE = """CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
@@ -14,19 +15,37 @@ _KIND = """CASE WHEN data_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'numeric'
            WHEN data_type LIKE 'TIMESTAMP%' THEN 'datetime' ELSE 'other' END"""
 
 
-@query("list_columns", "SELECT column_name AS \"column\" FROM (DESCRIBE lineitem)")
+def _filled(spark, folder):
+    """Filled cells per column, so that the listings say something about the rows as well."""
+    lines = table(spark, folder, "lineitem")
+    counts = value_counts(lines, lines.columns).where("value IS NOT NULL")
+    return counts.groupBy("column").agg(F.sum("count").alias("filled"), F.count(F.lit(1)).alias("distinct_values"))
+
+
+_FILLED = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS filled, count(DISTINCT {c}) AS distinct_values FROM lineitem"
+    for c in (
+        "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag "
+        "l_linestatus l_shipdate"
+    ).split()
+)
+
+
+@query("list_columns", f"SELECT \"column\", filled FROM ({_FILLED})")
 def list_columns(spark, folder):
-    return ops.list_columns(table(spark, folder, "lineitem"))
+    filled = _filled(spark, folder).drop("distinct_values")
+    return ops.list_columns(table(spark, folder, "lineitem")).join(filled, "column", "left")
 
 
 @query(
     "list_column_types",
-    f"""SELECT column_name AS "column", {_TYPE} AS dtype, {_KIND} AS detected_type
-        FROM (SELECT column_name, CASE WHEN column_type LIKE 'TIMESTAMP%' THEN 'TIMESTAMP' ELSE column_type END AS data_type
-              FROM (DESCRIBE lineitem))""",
+    f"""SELECT column_name AS "column", {_TYPE} AS dtype, {_KIND} AS detected_type, distinct_values
+        FROM ({_FILLED}) JOIN (SELECT column_name, CASE WHEN column_type LIKE 'TIMESTAMP%' THEN 'TIMESTAMP' ELSE column_type END AS data_type
+              FROM (DESCRIBE lineitem)) ON "column" = column_name""",
 )
 def list_column_types(spark, folder):
-    return ops.list_column_types(table(spark, folder, "lineitem"))
+    distinct = _filled(spark, folder).drop("filled")
+    return ops.list_column_types(table(spark, folder, "lineitem")).join(distinct, "column", "left")
 
 
 @query("keep_columns", "SELECT event_type, event_id, value FROM events")
