@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tests.logs import golden_log
-from tracewell.operators import relations
+from tracewell.operators import relations, traces
 from tracewell.operators.prefixes import prefixes_inclusive, prefixes_next
 from tracewell.plans import discovery
 
@@ -74,3 +74,11 @@ def test_prefixes_of_case_6(spark):
     ]
     rows = prefixes_inclusive(log).where("case_id = '6'").orderBy("prefix_length").collect()
     assert [(r["prefix_length"], r["elapsed_seconds"]) for r in rows] == [(1, 0.0), (2, 86400.0), (3, 172800.0)]
+
+
+def test_case_lookup_by_list_and_by_table(spark):
+    log = golden_log(spark)
+    listed = traces.case_lookup(log, ["6", "9"]).collect()
+    assert [(r["case_id"], r["activities"]) for r in listed] == [("6", ["a", "e", "d"])]
+    wanted = spark.createDataFrame([("4",), ("4",)], "case_id string")
+    assert [r["activities"] for r in traces.case_lookup(log, wanted).collect()] == [["a", "c", "b", "d"]]

@@ -14,6 +14,9 @@ from tracewell.operators.blocks import BLOCK, hot_keys, time_blocks
 
 CHUNK_ROWS = 100_000
 
+# Spark's own threshold for limiting the rows of a group ahead of the shuffle.
+GROUP_LIMIT_ROWS = 1_000
+
 
 @dataclass(frozen=True)
 class OrderedCases:
@@ -41,14 +44,19 @@ def ordered_cases(
     before: int = 0,
     after: int = 0,
     values: Mapping[str, Column] | None = None,
+    leading: int | None = None,
 ) -> OrderedCases:
     """Open a log for ordered work; ``values`` are aggregates over the whole case (``min(ts)``, ...).
 
+    ``leading`` promises that the caller filters on ``position <= leading`` at once. Spark then keeps
+    that many rows per case and input partition before the shuffle, and a hot case needs no splitting.
+
     Without hot cases this is one window per case, one shuffle. With hot cases positions come from
     per-block counts, and frames run over fixed-size runs of positions with a halo of neighbours.
     """
     values = dict(values or {})
-    hot = hot_keys(log.events, "case_id")
+    few = leading is not None and leading <= GROUP_LIMIT_ROWS
+    hot = [] if few else hot_keys(log.events, "case_id")
     if hot:
         return _split_cases(log, hot, before, after, values)
     whole = Window.partitionBy("case_id")

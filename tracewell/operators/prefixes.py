@@ -49,7 +49,7 @@ def prefixes_inclusive(
     ``<name>_mean`` (nulls ignored).
     """
     bound = _whole_prefix_bound(log, max_length)
-    cases = ordered_cases(log)
+    cases = ordered_cases(log, leading=bound)
     rows = cases.events.withColumn("prefix_length", cases.position.cast("bigint"))
     # Filtering on the position first lets Spark keep only the leading events per case before the shuffle.
     rows = rows.where(F.col("prefix_length") <= bound)
@@ -157,7 +157,7 @@ def case_tails(log: EventLog, keep: int = 10) -> DataFrame:
 
 def case_heads(log: EventLog, keep: int = 10) -> DataFrame:
     """Per case its first ``keep`` activities."""
-    cases = ordered_cases(log)
+    cases = ordered_cases(log, leading=keep)
     rows = cases.events.withColumn("position", cases.position.cast("bigint")).where(F.col("position") <= keep)
     steps = F.array_sort(F.collect_list(F.struct("position", "activity")))
     return (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.columns import col, text_or_token
 from tracewell.log import EventLog
-from tracewell.operators.lookup import pinned
+from tracewell.operators.lookup import pinned, stored
 from tracewell.operators.numbering import number_rows
 
 
@@ -59,8 +59,18 @@ def decode_events(df: DataFrame, vocabulary: DataFrame, column: str = "activity_
 
 def category_codes(df: DataFrame, column: str, null_token: str = "nan") -> DataFrame:
     """Zero-based alphabetical code per distinct value of a text column; null is the token."""
-    values = df.select(text_or_token(col(column), null_token).alias("value")).distinct()
-    return number_rows(values, ["value"], "code").withColumn("code", F.col("code") - 1)
+    return fit_categories(df, [column], null_token)[column]
+
+
+def fit_categories(df: DataFrame, columns: Sequence[str], null_token: str = "nan") -> dict[str, DataFrame]:
+    """The codes (``value, code``) of several text columns from one pass over the table."""
+    cells = [F.struct(F.lit(c).alias("column"), text_or_token(col(c), null_token).alias("value")) for c in columns]
+    distinct = stored(df.select(F.inline(F.array(*cells))).distinct())
+    fitted = {}
+    for column in columns:
+        values = distinct.where(F.col("column") == column).select("value")
+        fitted[column] = number_rows(values, ["value"], "code").withColumn("code", F.col("code") - 1)
+    return fitted
 
 
 def label_encode(df: DataFrame, columns: Sequence[str], fitted: dict[str, DataFrame] | None = None,
@@ -70,10 +80,12 @@ def label_encode(df: DataFrame, columns: Sequence[str], fitted: dict[str, DataFr
     A value not seen when the codes were fitted gets the code after the last one (``unseen='keep'``,
     training) or class 0 (``unseen='zero'``, serving).
     """
+    fitted = dict(fitted or {})
+    missing = [column for column in columns if column not in fitted]
+    if missing:
+        fitted |= fit_categories(df, missing, null_token)
     for column in columns:
-        codes = (fitted or {}).get(column)
-        if codes is None:
-            codes = category_codes(df, column, null_token)
+        codes = fitted[column]
         if unseen == "zero":
             fallback = F.lit(0).cast("bigint")
         else:

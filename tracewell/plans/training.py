@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import argparse
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.log import EventLog
+from tracewell.log import EventLog, standardise
 from tracewell.operators.evaluation import regression_columns, top_k_columns
 from tracewell.operators.features import case_split, compact_features
 from tracewell.operators.prefixes import prefixes_next
@@ -15,7 +16,8 @@ from tracewell.operators.traces import outcome_by_last_activity
 from tracewell.operators.vocabulary import activity_vocabulary, id_map
 from tracewell.plans.classifiers import Chosen, choose_best, fit
 from tracewell.plans.prediction import HORIZON, TransitionModel, evaluation_rows, train, training_samples
-from tracewell.session import cut_lineage
+from tracewell.session import build_session, cut_lineage
+from tracewell.sources.readers import load_log
 from tracewell.sources.sinks import append_training_record, save_model, save_tables, training_record
 
 COMPACT_FEATURES = ("last_activity_id", "prefix_length", "max_repetition", "unique_activities")
@@ -79,3 +81,23 @@ def run_training(
         save_tables(folder, vocabulary=vocabulary)
         append_training_record(training_record(log, outcome_by_last_activity(log)), f"{folder}/records")
     return TrainingRun(vocabulary, chosen, model, scores)
+
+
+def main(arguments: list[str] | None = None) -> None:
+    """Job entry for spark-submit: train on a log file and save the models below a folder."""
+    parser = argparse.ArgumentParser(description=run_training.__doc__)
+    parser.add_argument("log", help="CSV, XES or Parquet log with the standard XES columns")
+    parser.add_argument("folder", help="shared folder for the results")
+    parser.add_argument("--phase", choices=("outcome", "buckets", "both"), default="both")
+    parser.add_argument("--max-bucket", type=int, default=HORIZON)
+    parser.add_argument("--tiebreak", nargs="*", default=[], help="columns that order events of equal time")
+    options = parser.parse_args(arguments)
+    spark = build_session("tracewell-training")
+    events = standardise(load_log(spark, options.log).events)
+    order = [c for c in (*options.tiebreak, "event_index") if c in events.columns]
+    events = events.withColumn("ts", F.col("ts").cast("timestamp")).where("case_id IS NOT NULL")
+    run_training(EventLog(events, ("ts", *order)), options.folder, options.phase, options.max_bucket)
+
+
+if __name__ == "__main__":
+    main()

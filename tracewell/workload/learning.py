@@ -218,6 +218,21 @@ def regression_scores(spark, folder):
     return rounded(evaluation.regression_scores(rows, "label", "prediction"), "mse", "mae", "rmse", "mape", digits=4)
 
 
+@query(
+    "top_activities_per_case",
+    """SELECT user_id AS case_id, event_type AS activity, round(count(*) / sum(count(*)) OVER (PARTITION BY user_id), 6) AS prob,
+        row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS rank
+       FROM events GROUP BY 1, 2 QUALIFY rank <= 3""",
+)
+def top_activities_per_case(spark, folder):
+    """Each user's own frequencies as predictions, cut to the three likeliest."""
+    events = table(spark, folder, "events")
+    totals = events.groupBy(F.col("user_id").alias("case_id")).agg(F.count(F.lit(1)).alias("total"))
+    counts = events.groupBy(F.col("user_id").alias("case_id"), F.col("event_type").alias("activity")).count()
+    shares = counts.join(totals, "case_id").select("case_id", "activity", (F.col("count") / F.col("total")).alias("prob"))
+    return rounded(evaluation.top_k_per_case(shares, 3), "prob")
+
+
 _MODELS = {"copy": "label", "always_n": "'N'", "mixed": "prediction"}
 
 

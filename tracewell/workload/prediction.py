@@ -9,6 +9,7 @@ from tracewell.operators.features import case_split
 from tracewell.plans import prediction as plans
 from tracewell.plans.training import bucket_scores
 from tracewell.sources.sinks import export_predictions, scratch_folder
+from tracewell.streaming.monitor import monitor
 from tracewell.workload.registry import click_log, line_log, query, rounded, table
 from tracewell.workload.sequences import _NEXT
 
@@ -209,3 +210,27 @@ def outcome_display(spark, folder):
         outcome_label(renamed).alias("shown"),
         F.coalesce(outcome_by_index(F.col("event_id") % 9), F.lit("?")).alias("by_index"),
     )
+
+
+_CLICK_TAILS = _LINE_TAILS.replace("$LORD", "$EORD").replace("$L", "$E")
+
+
+@query("running_case_monitor", f"WITH {_trained(_CLICK_SAMPLES)} {_SCORES} {_resolved(_CLICK_TAILS)}")
+def running_case_monitor(spark, folder):
+    """The event table as a stream: the newest prediction of every case equals its batch score."""
+    log = click_log(spark, folder)
+    model = plans.train(plans.training_samples(log))
+    schema = table(spark, folder, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    events = stream.selectExpr("user_id AS case_id", "event_type AS activity", "ts", "event_id")
+    target = scratch_folder(spark, "monitor")
+
+    def write(rows, batch_id):
+        rows.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{target}/rows")
+
+    running = monitor(events, model, write, f"{target}/checkpoint", available_now=True)
+    running.awaitTermination()
+    emitted = spark.read.parquet(f"{target}/rows")
+    newest = emitted.groupBy("case_id").agg(F.max("batch_id").alias("batch_id"))
+    latest = emitted.join(newest, ["case_id", "batch_id"], "left_semi")
+    return _flat(latest.withColumn("case_id", F.col("case_id").cast("bigint")))

@@ -8,6 +8,7 @@ from tracewell.functions.columns import epoch_micros
 from tracewell.log import standardise
 from tracewell.operators.traces import first_cases, outcome_by_last_activity, traces
 from tracewell.plans.cleaning import smart_clean
+from tracewell.plans.training import run_training
 from tracewell.sources.readers import load_log
 from tracewell.sources.sinks import scratch_folder, training_record, write_log
 from tracewell.workload.registry import click_log, line_log, order_log, query, table
@@ -152,3 +153,18 @@ def written_clean_log(spark, folder):
 def line_training_record(spark, folder):
     log = line_log(spark, folder)
     return training_record(log, outcome_by_last_activity(log))
+
+
+@query(
+    "training_job",
+    """SELECT count(DISTINCT case_id) AS cases, count(*) AS events, count(DISTINCT activity) AS activities,
+              (SELECT count(DISTINCT o) FROM (SELECT last(activity ORDER BY $EORD) AS o FROM $E GROUP BY case_id))
+                  AS outcome_classes,
+              count(DISTINCT activity) + 2 AS vocabulary_size
+       FROM $E""",
+)
+def training_job(spark, folder):
+    """The training job on the click log, saved to the shared folder; its record is read back."""
+    target = scratch_folder(spark, "run")
+    run_training(click_log(spark, folder), target, phase="buckets")
+    return spark.read.parquet(f"{target}/records").drop("recorded_at")
