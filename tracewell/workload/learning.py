@@ -60,8 +60,8 @@ def outcome_training_set(spark, folder):
 
 
 _COMPACT = f"""SELECT case_id, prefix_length, coalesce(activity_id, 0) AS last_activity_id,
-    list_max([len([y for y in whole_prefix if y = x]) for x in list_distinct(whole_prefix)]) AS max_repetition,
-    len(list_distinct(whole_prefix)) AS unique_activities, label_outcome
+    list_max([len([y for y in first_ten if y = x]) for x in list_distinct(first_ten)]) AS max_repetition,
+    len(list_distinct(first_ten)) AS unique_activities, label_outcome
     FROM {_NEXT} LEFT JOIN {_LINES} USING (activity) WHERE label_next_activity IS NOT NULL AND prefix_length <= 5"""
 
 

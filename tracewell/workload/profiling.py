@@ -128,12 +128,13 @@ def events_per_case(spark, folder):
 
 @query(
     "throughput_time",
-    """SELECT round(avg(d), 6) AS mean_seconds, min(d) AS min_seconds, max(d) AS max_seconds,
-              round(quantile_cont(d, 0.5), 6) AS median_seconds
+    """SELECT round(avg(d), 3) AS mean_seconds, min(d) AS min_seconds, max(d) AS max_seconds,
+              round(quantile_cont(d, 0.5), 7) AS median_seconds
        FROM (SELECT (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS d FROM $E GROUP BY case_id)""",
 )
 def throughput_time(spark, folder):
-    return rounded(ops.throughput_time(click_log(spark, folder)), "mean_seconds", "median_seconds")
+    found = ops.throughput_time(click_log(spark, folder))
+    return rounded(rounded(found, "mean_seconds", digits=3), "median_seconds", digits=7)
 
 
 def _frequency(column, source):

@@ -71,12 +71,13 @@ _GAPS = """(SELECT *, row_number() OVER w AS p, count(*) OVER (PARTITION BY case
 
 @query(
     "case_analysis",
-    f"""SELECT case_id, 0 AS segment, count(*) AS event_count, string_agg(activity, ' -> ' ORDER BY p) AS path,
-        round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS duration_seconds,
-        round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 / 3600, 6) AS duration_hours,
-        coalesce(round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 / nullif(count(*) - 1, 0), 6), -1) AS mean_gap_seconds,
-        coalesce(round(min(gap) / 1e6, 6), -1) AS min_gap_seconds, coalesce(round(max(gap) / 1e6, 6), -1) AS max_gap_seconds
-        FROM {_GAPS} GROUP BY 1""",
+    f"""SELECT case_id, (p - 1) // 10000 AS segment, any_value(n) AS event_count, string_agg(activity, ' -> ' ORDER BY p) AS path,
+        round(any_value(d) / 1e6, 6) AS duration_seconds, round(any_value(d) / 1e6 / 3600, 6) AS duration_hours,
+        coalesce(round(any_value(d) / 1e6 / nullif(any_value(n) - 1, 0), 6), -1) AS mean_gap_seconds,
+        coalesce(round(any_value(low) / 1e6, 6), -1) AS min_gap_seconds, coalesce(round(any_value(high) / 1e6, 6), -1) AS max_gap_seconds
+        FROM (SELECT *, min(gap) OVER whole AS low, max(gap) OVER whole AS high,
+                     epoch_us(max(ts) OVER whole) - epoch_us(min(ts) OVER whole) AS d
+              FROM {_GAPS} WINDOW whole AS (PARTITION BY case_id)) GROUP BY 1, 2""",
 )
 def case_analysis(spark, folder):
     found = traces.case_analysis(line_log(spark, folder))
@@ -107,7 +108,8 @@ _INCLUSIVE = """(SELECT case_id, row_number() OVER w AS prefix_length, string_ag
     epoch_us(first(ts) OVER f) AS start_micros, epoch_us(ts) AS current_micros,
     (epoch_us(ts) - epoch_us(first(ts) OVER f)) / 1e6 AS elapsed_seconds, first(c_mktsegment) OVER f AS c_mktsegment,
     o_orderstatus AS o_orderstatus_last, avg(price) OVER f AS price_mean
-    FROM (SELECT *, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS price FROM $O)
+    FROM (SELECT *, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS price FROM $O
+          QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY $OORD) <= 10)
     WINDOW w AS (PARTITION BY case_id ORDER BY $OORD),
            f AS (PARTITION BY case_id ORDER BY $OORD ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
@@ -137,8 +139,8 @@ def prefixes_inclusive(spark, folder):
 _NEXT = """(SELECT case_id, row_number() OVER w AS prefix_length, activity, lead(activity) OVER w AS label_next_activity,
     last(activity) OVER whole AS label_outcome, (epoch_us(last(ts) OVER whole) - epoch_us(ts)) / 3600e6 AS remaining_time,
     epoch_us(ts) AS at_micros, list(activity) OVER (PARTITION BY case_id ORDER BY $LORD ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)
-        AS newest, list(activity) OVER w AS whole_prefix
-    FROM $L WINDOW w AS (PARTITION BY case_id ORDER BY $LORD),
+        AS newest, list(activity) FILTER (WHERE p <= 10) OVER w AS first_ten
+    FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY $LORD) AS p FROM $L) WINDOW w AS (PARTITION BY case_id ORDER BY $LORD),
       whole AS (PARTITION BY case_id ORDER BY $LORD ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
 
 
@@ -200,7 +202,7 @@ _LINES = _VOCABULARY.replace("{log}", "$L")
     "bucket_sequences",
     f"""SELECT case_id, prefix_length, CASE WHEN prefix_length > 10 THEN '10+' ELSE CAST(prefix_length AS VARCHAR) END AS bucket_id,
         (SELECT string_agg(CAST(activity_id AS VARCHAR), '>' ORDER BY i) FROM
-            (SELECT unnest(whole_prefix[1:10]) AS a, generate_subscripts(whole_prefix[1:10], 1) AS i)
+            (SELECT unnest(first_ten) AS a, generate_subscripts(first_ten, 1) AS i)
             JOIN {_LINES} ON a = activity) AS ids
         FROM {_NEXT} WHERE label_next_activity IS NOT NULL""",
 )
@@ -320,7 +322,7 @@ _LEFT = "(SELECT case_id, position, remaining_seconds FROM " + _SEQUENCE + " WHE
 
 @query(
     "scaled_remaining_time",
-    f"""SELECT case_id, position, round((ln(1 + remaining_seconds) - m) / d, 6) AS z, round(remaining_seconds, 2) AS restored
+    f"""SELECT case_id, position, round((ln(1 + remaining_seconds) - m) / d, 6) AS z, round(remaining_seconds, 6) AS restored
         FROM {_LEFT}, (SELECT avg(ln(1 + remaining_seconds)) AS m, stddev_pop(ln(1 + remaining_seconds)) AS d FROM {_LEFT})""",
 )
 def scaled_remaining_time(spark, folder):
@@ -328,7 +330,7 @@ def scaled_remaining_time(spark, folder):
     figures = features.scaling_figures(rows, "remaining_seconds")
     scaled = features.scaled(rows, "remaining_seconds", figures, "z")
     restored = features.unscaled(scaled, "z", figures, "restored").drop("remaining_seconds")
-    return rounded(rounded(restored, "z"), "restored", digits=2)
+    return rounded(restored, "z", "restored")
 
 
 @query(
