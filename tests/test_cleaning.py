@@ -179,3 +179,17 @@ def test_row_order_does_not_matter(spark):
     first = cleaning.anonymise(log.events, "activity", ["ts", "case_id"]).groupBy("activity").count().collect()
     second = cleaning.anonymise(mixed, "activity", ["ts", "case_id"]).groupBy("activity").count().collect()
     assert sorted(first) == sorted(second)
+
+
+def test_profile_report_has_every_section(spark):
+    from tracewell.plans.profiling import profile_report
+
+    log = golden_log(spark)
+    assert list(profile_report(log, summary_only=True)) == ["summary"]
+    report = profile_report(log.with_events(log.events.withColumn("n", F.length("activity"))))
+    rows = {name: section.collect() for name, section in report.items()}
+    assert rows["summary"][0]["rows"] == 23
+    assert rows["datetime:ts"][0]["distinct_values"] == 15
+    assert rows["missing_cells"] == []
+    assert rows["duplicate_rows"][0]["duplicates"] == 0
+    assert {r["column"] for r in rows["cardinality"] if r["is_constant"]} == {"n"}
