@@ -102,7 +102,7 @@ class PieceCodec:
 
         def propose(i: int) -> None:
             j = right[i]
-            if j < n and (found := self.merge.get(ids[i] * self.base + ids[j])):
+            if j < n and ids[j] < self.base and (found := self.merge.get(ids[i] * self.base + ids[j])):
                 heapq.heappush(agenda, (found[0], i, ids[i], ids[j], found[1]))
 
         for i in range(n - 1):
