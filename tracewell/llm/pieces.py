@@ -9,6 +9,7 @@ matrix; long ones use a heap. What a batch has encoded anew is held against the
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import heapq
 import re
@@ -26,6 +27,8 @@ WIDE = 24  # symbols of a chunk in the matrix; longer chunks use the heap
 CACHED = 1_000_000  # chunks that a worker remembers
 SLICE_CHARS = 4_000_000  # characters of text handled at once
 
+codecs.register_error("each-broken-byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
+
 
 class PieceCodec:
     """The codec of one model file."""
@@ -72,7 +75,7 @@ class PieceCodec:
         self.id_text = [str(i).encode() for i in range(size)]
         self.id_bytes = [p.replace(BLANK, " ").encode() for p in self.pieces]
         for i in special:
-            self.id_bytes[i] = b""
+            self.id_bytes[i] = " ⁇ ".encode() if sp.is_unknown(i) else b""
         for b, i in enumerate(self.byte_ids):
             self.id_bytes[i] = bytes([b])
         self.cache: dict[str, tuple[bytes, bytes]] = {}
@@ -215,12 +218,12 @@ class PieceCodec:
         return [int(i) for c in chunks for i in self.cache[c][0].split(b",")]
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids: pieces joined, byte pieces as UTF-8 (broken bytes as U+FFFD), without the prefix."""
+        """The text of ids: pieces joined, byte pieces as UTF-8, without the prefix; U+FFFD for each broken byte."""
         raw = b"".join(self.id_bytes[i] for i in ids)
         first = next((i for i in ids if self.id_bytes[i]), None)
         if first is not None and self.pieces[first].startswith(BLANK):
             raw = raw[1:]
-        return raw.decode("utf-8", "replace")
+        return raw.decode("utf-8", "each-broken-byte")
 
     def digests(self, texts: list[str]) -> tuple[list[int], list[str], list[str]]:
         """Number of ids, digest of the ids and digest of the decoded text, for each text."""
