@@ -46,7 +46,7 @@ def test_documents(spark):
     key = lambda r: (r[0] is None, r[0] or 0, r[2])
     assert sorted((tuple(r) for r in encoding_digests(docs, MODEL).collect()), key=key) == sorted(want, key=key)
     back = decode_documents(encode_documents(docs.dropna(subset=["doc_id"]), MODEL), MODEL).distinct().collect()
-    assert {r.doc_id: r.text for r in back} == {i: t or "" for i, t, _ in rows if i is not None}
+    assert {r.doc_id: r.text for r in back} == {i: library.decode(library.encode(t or "")) for i, t, _ in rows if i is not None}
 
 
 def test_empty_table(spark):

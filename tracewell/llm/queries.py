@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm.common import table
+from tracewell.llm.packing import packed_documents
 from tracewell.llm.pieces import encoding_digests
 from tracewell.session import RUNTIME_CONF
 
@@ -39,3 +40,8 @@ def tokenizer_file(name: str) -> str:
 @query("op3_sentencepiece")
 def sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return encoding_digests(table(spark, folder, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query("op10_best_fit_packing")
+def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed_documents(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
