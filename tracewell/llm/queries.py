@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm.common import table
+from tracewell.llm.jaccard import similar_components
 from tracewell.llm.packing import packed_documents
 from tracewell.llm.pieces import encoding_digests
 from tracewell.session import RUNTIME_CONF
@@ -45,3 +46,8 @@ def sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_best_fit_packing")
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed_documents(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@query("op5_ngram_jaccard")
+def ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_components(table(spark, folder, "documents"))
