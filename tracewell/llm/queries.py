@@ -10,6 +10,7 @@ from tracewell.llm.common import table
 from tracewell.llm.jaccard import similar_components
 from tracewell.llm.packing import packed_documents
 from tracewell.llm.pieces import encoding_digests
+from tracewell.llm.pitman_yor import score_documents
 from tracewell.session import RUNTIME_CONF
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +52,8 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_ngram_jaccard")
 def ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return similar_components(table(spark, folder, "documents"))
+
+
+@query("op9_pitman_yor")
+def pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
+    return score_documents(table(spark, folder, "documents"))
