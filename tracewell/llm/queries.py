@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm.common import table
 from tracewell.llm.jaccard import similar_components
+from tracewell.llm.multi_index import nearest_neighbours
 from tracewell.llm.packing import packed_documents
 from tracewell.llm.pieces import encoding_digests
 from tracewell.llm.pitman_yor import score_documents
@@ -57,3 +58,8 @@ def ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_pitman_yor")
 def pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
     return score_documents(table(spark, folder, "documents"))
+
+
+@query("op1_inverted_multi_index")
+def inverted_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest_neighbours(table(spark, folder, "embeddings"))
