@@ -12,6 +12,7 @@ from tracewell.llm.multi_index import nearest_neighbours
 from tracewell.llm.packing import packed_documents
 from tracewell.llm.pieces import encoding_digests
 from tracewell.llm.pitman_yor import score_documents
+from tracewell.llm.toxicity import toxicity
 from tracewell.session import RUNTIME_CONF
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +64,8 @@ def pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_inverted_multi_index")
 def inverted_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_neighbours(table(spark, folder, "embeddings"))
+
+
+@query("op6_toxicity")
+def weak_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
