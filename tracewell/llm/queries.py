@@ -13,6 +13,7 @@ from tracewell.llm.packing import packed_documents
 from tracewell.llm.pieces import encoding_digests
 from tracewell.llm.pitman_yor import score_documents
 from tracewell.llm.toxicity import toxicity
+from tracewell.llm.warc import archived_pages
 from tracewell.session import RUNTIME_CONF
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +70,18 @@ def inverted_multi_index(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_toxicity")
 def weak_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query(
+    "op7_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    g AS (SELECT html, max(page_id) AS kept FROM p WHERE octet_length(encode(html)) >= 1000 GROUP BY html HAVING count(*) > 1)
+    SELECT page_id, octet_length(encode(p.html)) AS payload_bytes, sha1(p.html) AS payload_digest,
+        CASE WHEN kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN kept <> page_id THEN kept END AS refers_to
+    FROM p LEFT JOIN g ON p.html = g.html
+    """,
+)
+def warc(spark: SparkSession, folder: str) -> DataFrame:
+    return archived_pages(table(spark, folder, "pages"))
