@@ -10,7 +10,9 @@ partition is left. A repacking is used only where it needs no more sequences tha
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +31,7 @@ SLICE_CHARS = 4_000_000
 CACHED = 1_000_000
 # White space as Unicode lists it; the vocabulary's normaliser and splitter cut there. Fixed values.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
+MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'  # without the apostrophe, which may belong to the letters behind it
 PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -41,9 +44,10 @@ class WordIds:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = False
-        self.to_blank = str.maketrans(dict.fromkeys(SPACES, " "))
         self.cache: dict[str, bytes] = {"": b""}
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are kept as little-endian 32-bit numbers")
         probe = "It's a bé\n12 x"
         if self._words(probe) != self._whole(probe):
             raise ValueError("the vocabulary must split at white space")
@@ -52,16 +56,40 @@ class WordIds:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _words(self, text: str) -> bytes:
-        words = text.translate(self.to_blank).split(" ")
-        self.learn(words)
-        return b"".join(map(self.cache.__getitem__, words))
+        try:
+            text.encode("latin-1")  # there, lower case is a matter of single characters, as in the vocabulary
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+        for c in SPACES:
+            if c in text:
+                text = text.replace(c, " ")
+        words = text.split(" ")
+        try:
+            return b"".join(map(self.cache.__getitem__, words))
+        except KeyError:
+            self.learn(words)
+            return b"".join(map(self.cache.__getitem__, words))
 
     def learn(self, words: list[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.cache]
-        for start in range(0, len(new), 10_000):
-            part = new[start : start + 10_000]
+        """Ids of new words; letters with marks behind them are two tokens to the vocabulary's splitter."""
+        cache, ends = self.cache, {}
+        new = set(words).difference(cache)
+        for w in new:
+            stem = w.rstrip(MARKS)
+            if stem != w and stem.isalpha():
+                ends[w] = stem
+        parts = new.difference(ends)
+        for w, stem in ends.items():
+            parts.add(stem)
+            parts.add(w[len(stem) :])
+        parts = [p for p in parts if p not in cache]
+        for start in range(0, len(parts), 10_000):
+            part = parts[start : start + 10_000]
             for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, dtype="<u4").tobytes()
+                cache[w] = array("I", e.ids).tobytes()
+        for w, stem in ends.items():
+            cache[w] = cache[stem] + cache[w[len(stem) :]]
 
     def of(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHED:
