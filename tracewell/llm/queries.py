@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm.common import table
 from tracewell.llm.jaccard import similar_components
+from tracewell.llm.lines import dedup_lines
 from tracewell.llm.multi_index import nearest_neighbours
 from tracewell.llm.packing import packed_documents
 from tracewell.llm.pieces import encoding_digests
 from tracewell.llm.pitman_yor import score_documents
+from tracewell.llm.sketches import compared_fingerprints
 from tracewell.llm.toxicity import toxicity
 from tracewell.llm.warc import archived_pages
 from tracewell.session import RUNTIME_CONF
@@ -85,3 +87,38 @@ def weak_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 )
 def warc(spark: SparkSession, folder: str) -> DataFrame:
     return archived_pages(table(spark, folder, "pages"))
+
+
+@query("op4_scaled_sketch")
+def scaled_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    return compared_fingerprints(table(spark, folder, "documents"))
+
+
+@query(
+    "op8_line_dedup",
+    r"""
+    WITH doc_lines AS (
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+    word_sets AS (
+        SELECT doc_id, pos, line, list_distinct(list_filter(string_split(translate(line, chr(9) || chr(13), '  '), ' '), lambda w: w <> '')) AS words FROM doc_lines),
+    long_lines AS (SELECT doc_id, pos, words, len(words) AS n FROM word_sets WHERE len(words) >= 5),
+    frequency AS (SELECT unnest(words) AS word, count(*) AS f FROM long_lines GROUP BY 1),
+    tokens AS (SELECT doc_id, pos, n, unnest(words) AS word FROM long_lines),
+    ranked AS (
+        SELECT t.*, row_number() OVER (PARTITION BY doc_id, pos ORDER BY f, word) AS r FROM tokens t JOIN frequency USING (word)),
+    prefixes AS (SELECT doc_id, pos, n, word FROM ranked WHERE r <= n - ceil(n * 0.75) + 1),
+    pairs AS (
+        SELECT DISTINCT x.doc_id AS xd, x.pos AS xp, y.doc_id AS yd, y.pos AS yp FROM prefixes x JOIN prefixes y ON x.word = y.word
+        WHERE (y.doc_id, y.pos) < (x.doc_id, x.pos) AND 100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n)),
+    gone AS (
+        SELECT DISTINCT xd, xp FROM pairs JOIN long_lines a ON a.doc_id = xd AND a.pos = xp JOIN long_lines b ON b.doc_id = yd AND b.pos = yp
+        WHERE 100 * len(list_intersect(a.words, b.words)) >= 75 * (a.n + b.n - len(list_intersect(a.words, b.words)))),
+    kept AS (
+        SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (xp IS NULL), '') AS text, count(xp) AS lines_removed
+        FROM doc_lines LEFT JOIN gone ON doc_id = xd AND pos = xp GROUP BY doc_id)
+    SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(lines_removed, 0) AS lines_removed
+    FROM documents d LEFT JOIN kept k USING (doc_id)
+    """,
+)
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup_lines(table(spark, folder, "documents"), count_col="lines_removed").select("doc_id", "text", "lines_removed")
