@@ -6,8 +6,8 @@ halves with the centroids), until it has passed enough entries, and reranks thos
 How many are enough is measured, not guessed: for a sample of queries the exact neighbours are found in blocks
 against all entries, and the budget is what a given share of those neighbours needs.
 
-Equal vectors are one entry with its smallest ids. Entries are dealt by first centroid and block, queries by
-block, so no task holds more than a block of each.
+Equal vectors are one entry with its smallest ids. Entries are dealt into blocks by first centroid, queries into
+blocks by hash, so no task holds more than a block of each.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ NEAREST = 20
 TRAINING_BYTES = 32 << 20  # the centroids are fitted on a sample of vectors of this size
 CALIBRATION = 256  # queries whose exact neighbours set the budget
 TARGET = 0.97  # share of those neighbours that the budget must reach
-ENTRY_BLOCK, QUERY_BLOCK = 1024, 4096
+ENTRY_BLOCK, QUERY_BLOCK = 4096, 512
 
 
 def usable(column: str) -> Column:
@@ -188,51 +188,65 @@ class MultiIndex:
         queries = stored(asked.groupBy("vector").agg(F.min("vec_id").alias("query")).select("query", "vector"), "queries")
         if budget is None:
             budget = self.budget(queries)
-        blocks = np.maximum(1, -(-self.sizes.sum(axis=1) // ENTRY_BLOCK))
+        # Neighbouring first centroids share a block; one with more entries than a block has several.
+        held, first_block, blocks, room = self.sizes.sum(axis=1), [], [], 0
+        for n in held.tolist():
+            if n > ENTRY_BLOCK or n > room:
+                first_block.append(first_block[-1] + blocks[-1] if blocks else 0)
+                blocks.append(max(1, -(-n // ENTRY_BLOCK)))
+                room = ENTRY_BLOCK - n if n <= ENTRY_BLOCK else 0
+            else:
+                first_block.append(first_block[-1])
+                blocks.append(1)
+                room -= n
+        first_block, blocks = np.array(first_block), np.array(blocks)
         query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-        shared = spark.sparkContext.broadcast((*self.centres, self.sizes, blocks))
+        shared = spark.sparkContext.broadcast((*self.centres, self.sizes, first_block, blocks))
         cut, keep, limit = self.cut, self.nearest + 1, max(budget, 1)
 
         def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            one, two, sizes, count = shared.value
+            one, two, sizes, place, count = shared.value
             for rows in batches:
                 for start in range(0, len(rows), 256):
                     part = rows.iloc[start : start + 256]
                     out = []
                     for query, block, vector in zip(part["query"], part["query_block"], part["vector"]):
                         q = np.asarray(vector, dtype=np.float64)
-                        cells: dict[int, list[int]] = {}
+                        found: dict[int, list[int]] = {}
                         for i, j, _ in walk(-one @ q[:cut], -two @ q[cut:], sizes, limit):
                             if sizes[i, j]:
-                                cells.setdefault(i, []).append(j)
-                        out += [(i, b, block, query, vector, js) for i, js in cells.items() for b in range(int(count[i]))]
-                    yield pd.DataFrame(out, columns=["first", "block", "query_block", "query", "vector", "seconds"])
+                                for b in range(place[i], place[i] + count[i]):
+                                    found.setdefault(int(b), []).append(i * sizes.shape[1] + j)
+                        out += [(b, block, query, vector, cells) for b, cells in found.items()]
+                    yield pd.DataFrame(out, columns=["block", "query_block", "query", "vector", "cells"])
 
         def rerank(key, entries: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
             if not len(entries) or not len(probes):
                 return pd.DataFrame({"query": [], "entry": [], "score": []})
             entries = entries.sort_values("entry", ignore_index=True)
-            ids, second, x = entries["entry"].to_numpy(), entries["second"].to_numpy(), _vectors(entries["vector"])
+            ids, x = entries["entry"].to_numpy(), _vectors(entries["vector"])
+            cells, cell = np.unique(entries["cell"].to_numpy(), return_inverse=True)
             found = []
             for start in range(0, len(probes), 512):
                 part = probes.iloc[start : start + 512]
-                allowed = np.zeros((len(part), int(second.max()) + 1), dtype=bool)
-                for k, js in enumerate(part["seconds"]):
-                    js = np.asarray(js)
-                    allowed[k, js[js < allowed.shape[1]]] = True
+                allowed = np.zeros((len(part), len(cells)), dtype=bool)
+                for k, asked_cells in enumerate(part["cells"]):
+                    allowed[k] = np.isin(cells, asked_cells)
                 names = part["query"].to_numpy()
-                for q, rows, scores in _best(_vectors(part["vector"]), x, ids, allowed[:, second], keep):
+                for q, rows, scores in _best(_vectors(part["vector"]), x, ids, allowed[:, cell], keep):
                     found.append(pd.DataFrame({"query": names[q], "entry": ids[rows], "score": scores}))
             return pd.concat(found) if found else pd.DataFrame({"query": [], "entry": [], "score": []})
 
         block_of = F.pmod(F.xxhash64("query"), F.lit(query_blocks)).cast("int")
         probes = queries.withColumn("query_block", block_of).mapInPandas(
-            probe, "first int, block int, query_block int, query long, vector array<double>, seconds array<int>"
+            probe, "block int, query_block int, query long, vector array<double>, cells array<int>"
         )
-        counts = F.array(*[F.lit(int(b)) for b in blocks])
-        dealt = self.entries.withColumn("block", F.pmod(F.xxhash64("entry"), counts[F.col("first")]).cast("int"))
-        dealt = dealt.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).drop("ids")
-        keys = ["first", "block", "query_block"]
+        place, counts = (F.array(*[F.lit(int(b)) for b in x]) for x in (first_block, blocks))
+        salt = F.pmod(F.xxhash64("entry"), counts[F.col("first")])
+        cell = F.col("first") * self.sizes.shape[1] + F.col("second")
+        dealt = self.entries.select("entry", "vector", cell.alias("cell"), (place[F.col("first")] + salt).cast("int").alias("block"))
+        dealt = dealt.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+        keys = ["block", "query_block"]
         near = dealt.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(rerank, "query long, entry long, score double")
         order = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
         near = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep)
