@@ -73,7 +73,7 @@ def test_sketches_keep_a_fixed_fraction_and_merge(spark):
     rng = random.Random(3)
     a = [f"a{rng.random()}" for _ in range(20_000)]
     docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(a[:2000])), (3, " ".join(a[2000:]))], "doc_id long, text string")
-    rows = docs.select("doc_id", sketch_of(word_hashes(F.col("text"))).alias("s"))
+    rows = docs.select("doc_id", word_hashes(F.col("text")).alias("h")).select("doc_id", sketch_of(F.col("h")).alias("s")).checkpoint()
     s = {r.doc_id: r.s for r in rows.collect()}
     assert abs(len(s[1]) - 20_000 / 8) < 250 and s[1] == sorted(set(s[1])) and min(s[1]) < 0 or max(s[1]) < 2**61
     pair = rows.where("doc_id = 2").select(F.col("s").alias("a")).crossJoin(rows.where("doc_id = 3").select(F.col("s").alias("b")))

@@ -6,14 +6,14 @@ indexed, since two sets of Jaccard similarity t share one of those. Pairs that m
 the positional filter and a 64-bit signature (a word that only one line has flips one bit at most); what passes
 is verified on the whole sets.
 
-A line goes if an earlier line is similar. Equal sets are one class, and a class goes as a whole if a class that
-begins earlier is similar, so one such class is all that has to be found: each word first offers its earliest
-class, and only classes that find no likely partner that way are paired with all earlier ones.
+A line goes if an earlier line is similar, so one such line is all that has to be found. Lines that repeat a set
+go at once. For the others each word first offers its earliest line, and only lines that find no similar one that
+way are paired with all earlier ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import stored, whole_text
@@ -21,9 +21,10 @@ from tracewell.llm.common import stored, whole_text
 SIMILARITY = 75  # per cent
 LEAST_WORDS = 5  # lines of fewer different words stay
 BUCKETS = 1 << 16  # hash buckets of the word counts
+FILTER_BITS = 1 << 26  # of the filter of words that occur in several prefixes
 BROADCAST_ROWS = 1_000_000  # small tables of ids up to this many rows are broadcast; larger ones are joined
 
-_KEY = ["doc", "version", "pos"]  # a line: the document's id, its text's hash, the line's number
+_KEY = ["doc", "version", "pos"]  # a line: the document's id, its text's hash where ids repeat, the line's number
 
 
 def _blanks(text: Column) -> Column:
@@ -47,7 +48,7 @@ def _hashes(line: Column) -> Column:
 
 
 def _lines(texts: DataFrame) -> DataFrame:
-    return texts.select("doc", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return texts.select("doc", "version", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
 def _prefix(n: Column, similarity: int) -> Column:
@@ -64,7 +65,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def line_sets(texts: DataFrame, similarity: int) -> DataFrame:
-    """``doc, version, pos`` with the set's name (128 bits), size, rarest words and signature. From ``doc, text``."""
+    """``doc, version, pos`` with the set's name (128 bits), size, rarest words (32 bits of their hashes) and signature."""
     ranks = _rarity(texts)
 
     def code(h: Column) -> Column:
@@ -75,67 +76,74 @@ def line_sets(texts: DataFrame, similarity: int) -> DataFrame:
     sets = sets.select(*_KEY, F.sort_array(F.transform("hashes", code)).alias("codes"))
     bits = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(63).cast("int"))))
     size = F.size("codes")
+    rarest = F.transform(F.slice("codes", 1, _prefix(size, similarity)), lambda c: F.shiftright(F.shiftleft(c, 32), 32).cast("int"))
     return sets.select(
-        *_KEY, F.xxhash64("codes").alias("name"), F.xxhash64(F.lit(1), "codes").alias("name2"), size.alias("n"), F.slice("codes", 1, _prefix(size, similarity)).alias("rarest"), bits.alias("bits")
+        *_KEY, F.xxhash64("codes").alias("name"), F.xxhash64(F.lit(1), "codes").alias("name2"), size.alias("n"), rarest.alias("rarest"), bits.alias("bits")
     )
 
 
-def similar_earlier(texts: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
-    """``name, name2`` of the classes that have a similar class beginning earlier."""
-    entries = classes.select("name", "name2", "first", "n", "bits", F.posexplode("rarest").alias("at", "word"))
-    entries = stored(entries, "prefixes")
-    x = entries.select(*[F.col(c).alias(f"x_{c}") for c in entries.columns if c != "word"], "word")
-    y = entries.select(*[F.col(c).alias(f"y_{c}") for c in entries.columns if c != "word"], "word")
+def _shared_words(entries: DataFrame) -> DataFrame:
+    """Entries whose word may be another set's too: a filter of fixed size drops most of those that stand alone."""
+    bit = F.col("word").bitwiseAND(FILTER_BITS - 1)
+    twice = entries.select(bit.alias("bit")).groupBy("bit").agg(F.count("*").alias("held")).where("held > 1")
+    masks = twice.groupBy(F.shiftright("bit", 6).alias("slot")).agg(F.expr("bit_or(shiftleft(1L, bit & 63))").alias("mask"))
+    kept = entries.withColumns({"slot": F.shiftright(bit, 6), "bit": bit.bitwiseAND(63)})
+    kept = kept.join(F.broadcast(masks), "slot")  # FILTER_BITS / 64 rows at most
+    return kept.where(F.expr("shiftright(mask, bit) & 1L") == 1).drop("slot", "bit", "mask")
+
+
+def similar_earlier(texts: DataFrame, lines: DataFrame, similarity: int) -> DataFrame:
+    """``doc, version, pos`` of the lines that have a similar earlier one. ``lines`` are the first of each class."""
+    entries = lines.select(*_KEY, "n", "bits", F.posexplode("rarest").alias("at", "word"))
+    entries = stored(_shared_words(entries), "prefixes")
+    columns = [c for c in entries.columns if c != "word"]
+    x = entries.select(*[F.col(c).alias(f"x_{c}") for c in columns], "word")
+    y = entries.select(*[F.col(c).alias(f"y_{c}") for c in columns], "word")
     needed = _overlap("x_n", "y_n", similarity)
-    longest = 1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) - 1
+    longest = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
     apart = F.bit_count(F.col("x_bits").bitwiseXOR(F.col("y_bits")))
-    fits = (
-        (F.col("y_first") < F.col("x_first"))
-        & (100 * F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n"))
-        & (longest >= needed)
-        & (apart <= F.col("x_n") + F.col("y_n") - 2 * needed)
-    )
-    pair = ["x_name", "x_name2", "x_first", "x_n", "y_first", "y_n"]
-    # Each word offers its earliest class.
-    earliest = entries.groupBy("word").agg(F.min(F.struct("first", "n", "bits", "at")).alias("low"), F.count("*").alias("held")).where("held > 1")
-    offered = earliest.select("word", *[F.col(f"low.{c}").alias(f"y_{c}") for c in ("first", "n", "bits", "at")])
-    likely = stored(x.join(offered, "word").where(fits).select(*pair).distinct(), "likely")
-    settled = likely.select("x_name", "x_name2").distinct()
-    # Words of one class have nothing to pair.
-    shared = earliest.select("word")
-    rest = x.join(shared, "word", "left_semi").join(settled, ["x_name", "x_name2"], "left_anti")
-    all_pairs = rest.join(y, "word").where(fits).select(*pair).distinct()
-    found = stored(_verified(texts, stored(likely.unionAll(all_pairs), "pairs"), similarity), "similar")
-    missed = settled.join(found, ["x_name", "x_name2"], "left_anti")
-    if not missed.isEmpty():  # likely partners that were none: these classes meet all earlier ones after all
-        again = x.join(missed, ["x_name", "x_name2"], "left_semi").join(y, "word").where(fits).select(*pair).distinct()
-        found = found.unionAll(_verified(texts, stored(again.join(likely, pair, "left_anti"), "again"), similarity))
-    return found.select(F.col("x_name").alias("name"), F.col("x_name2").alias("name2")).distinct()
+    near = (100 * F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n")) & (longest >= needed) & (apart <= F.col("x_n") + F.col("y_n") - 2 * needed)
+    fits = (F.struct(*[f"y_{k}" for k in _KEY]) < F.struct(*[f"x_{k}" for k in _KEY])) & near
+    pair = [f"{side}_{k}" for side in "xy" for k in [*_KEY, "n"]]
+    own = [f"x_{k}" for k in _KEY]
+    # Each word offers its earliest line; of the offers that fit, a line takes the one that most words make.
+    low = F.min(F.struct(*[F.col(c) for c in columns])).alias("low")
+    offered = entries.groupBy("word").agg(low, F.count("*").alias("held")).where("held > 1").select("word", *[F.col(f"low.{c}").alias(f"y_{c}") for c in columns])
+    offers = x.join(offered, "word").where(fits).groupBy(*pair).agg(F.count("*").alias("words"))
+    best = F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("words"), *[f"y_{k}" for k in _KEY]))
+    likely = stored(offers.withColumn("place", best).where("place = 1").select(*pair), "likely")
+    found = stored(_verified(texts, likely, similarity), "similar")
+    # Lines without a similar line so far meet all earlier ones.
+    rest = x.join(found, own, "left_anti")
+    pairs = rest.join(y, "word").where(fits).select(*pair).distinct().join(likely, pair, "left_anti")
+    return found.unionAll(_verified(texts, stored(pairs, "pairs"), similarity)).toDF(*_KEY)
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
-    """``x_name, x_name2`` of the pairs whose whole sets are similar; the sets come from the lines themselves."""
-    wanted = stored(pairs.select(F.col("x_first").alias("first")).union(pairs.select(F.col("y_first"))).distinct().select("first.*"), "wanted")
+    """The ``x`` lines of the pairs whose whole sets are similar; the sets come from the lines themselves."""
+    numbered = pairs.withColumn("pair", F.monotonically_increasing_id())
+    sides = [numbered.select(*[F.col(f"{side}_{k}").alias(k) for k in _KEY], "pair", F.lit(side).alias("side")) for side in "xy"]
+    wanted = stored(sides[0].unionAll(sides[1]), "wanted")
     lines = _lines(texts.join(_small(wanted.select("doc").distinct()), texts["doc"].eqNullSafe(wanted["doc"]), "left_semi"))
-    w = _small(wanted).alias("w")
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"w.{k}")) for k in _KEY]
-    found = lines.alias("l").join(w, same[0] & same[1] & same[2], "left_semi")
-    sets = stored(found.select(F.struct(*_KEY).alias("first"), _hashes(F.col("line")).alias("words")).dropDuplicates(["first"]), "words")
-    both = pairs.join(sets.select(F.col("first").alias("x_first"), F.col("words").alias("x_words")), "x_first")
-    both = both.join(sets.select(F.col("first").alias("y_first"), F.col("words").alias("y_words")), "y_first")
-    shared = F.size(F.array_intersect("x_words", "y_words"))
-    return both.where(100 * shared >= similarity * (F.col("x_n") + F.col("y_n") - shared)).select("x_name", "x_name2").distinct()
+    found = lines.alias("l").join(_small(wanted).alias("w"), same[0] & same[1] & same[2]).select("pair", "side", _hashes(F.col("line")).alias("words"))
+    sets = found.groupBy("pair").agg(*[F.max(F.when(F.col("side") == side, F.col("words"))).alias(side) for side in "xy"])
+    shared = F.size(F.array_intersect("x", "y"))
+    similar = sets.where(100 * shared >= similarity * (F.size("x") + F.size("y") - shared)).select("pair")
+    return wanted.where("side = 'x'").join(similar, "pair").select(*[F.col(k).alias(f"x_{k}") for k in _KEY]).distinct()
 
 
 def removed_lines(texts: DataFrame, similarity: int = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``doc, version, gone``: for each document (``doc, text``) the numbers of the lines that go, if any."""
+    """``doc, version, gone``: for each document (``doc, version, text``) the numbers of the lines that go, if any."""
     sets = stored(line_sets(texts, similarity), "lines").where(F.col("n") >= least_words)
-    first = F.min(F.struct(*_KEY)).alias("first")
-    classes = stored(sets.groupBy("name", "name2").agg(first, F.count("*").alias("held"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("rarest").alias("rarest")), "classes")
-    similar = similar_earlier(texts, classes, similarity).withColumn("similar", F.lit(True))
-    decided = classes.join(similar, ["name", "name2"], "left").where("held > 1 OR similar").select("name", "name2", "first", F.coalesce("similar", F.lit(False)).alias("similar"))
-    # A common line is a hot key here; the join splits it.
-    gone = sets.select(*_KEY, "name", "name2").join(decided, ["name", "name2"]).where(F.col("similar") | (F.struct(*_KEY) > F.col("first")))
+    classes = stored(sets.groupBy("name", "name2").agg(F.min(F.struct(*_KEY)).alias("first"), F.count("*").alias("held")).where("held > 1").drop("held"), "classes")
+    # Lines that repeat a set go in any case; a common line is a hot key, which the join splits.
+    repeats = sets.select(*_KEY, "name", "name2").join(_small(classes), ["name", "name2"]).select(*_KEY, "first").where(F.struct(*_KEY) > F.col("first"))
+    repeats = stored(repeats, "repeats")
+    firsts = sets.join(_small(repeats.select(*_KEY)), _KEY, "left_anti")
+    similar = similar_earlier(texts, firsts.select(*_KEY, "n", "bits", "rarest"), similarity)
+    # Whether or not the first line of a class goes, the lines that repeat it do.
+    gone = similar.unionAll(repeats.select(*_KEY))
     return gone.groupBy("doc", "version").agg(F.collect_set("pos").alias("gone"))
 
 
@@ -148,10 +156,13 @@ def dedup_lines(docs: DataFrame, similarity: int = SIMILARITY, least_words: int
     text stays null. Rows equal in id and text are one document and fare alike. ``count_col`` names a column for
     the number of lines removed; other columns are kept as they are.
     """
-    texts = docs.select(docs[id_col].alias("doc"), whole_text(text_col).alias("text"))
-    gone = stored(removed_lines(texts, similarity, least_words), "gone").select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("gone").alias("__gone"))
     text = docs[text_col].cast("string")
-    same = docs[id_col].eqNullSafe(F.col("__doc")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__version"))
+    repeated = not docs.groupBy(id_col).count().where("count > 1").isEmpty()
+    # Only where ids repeat does it take the text's hash to tell documents apart.
+    version = F.xxhash64(F.coalesce(text, F.lit(""))) if repeated else F.lit(0).cast("long")
+    texts = docs.select(docs[id_col].alias("doc"), version.alias("version"), whole_text(text_col).alias("text"))
+    gone = stored(removed_lines(texts, similarity, least_words), "gone").select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("gone").alias("__gone"))
+    same = docs[id_col].eqNullSafe(F.col("__doc")) & (version == F.col("__version"))
     joined = docs.join(_small(gone), same, "left")
     kept = F.filter(F.split(text, "\n"), lambda line, k: ~F.array_contains("__gone", k))
     shorter = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(kept, "\n"))

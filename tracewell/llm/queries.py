@@ -14,6 +14,7 @@ from tracewell.llm.packing import packed_documents
 from tracewell.llm.pieces import encoding_digests
 from tracewell.llm.pitman_yor import score_documents
 from tracewell.llm.sketches import compared_fingerprints
+from tracewell.llm.surrogates import with_surrogates
 from tracewell.llm.toxicity import toxicity
 from tracewell.llm.warc import archived_pages
 from tracewell.session import RUNTIME_CONF
@@ -122,3 +123,8 @@ def scaled_sketch(spark: SparkSession, folder: str) -> DataFrame:
 )
 def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup_lines(table(spark, folder, "documents"), count_col="lines_removed").select("doc_id", "text", "lines_removed")
+
+
+@query("op2_pii_surrogates")
+def pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return with_surrogates(table(spark, folder, "documents"), count_col="entities").select("doc_id", "text", "entities")

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import shared_folder, stored
+from tracewell.llm.common import stored
+from tracewell.session import shared_folder
 
 ROLL_BYTES = 32 << 20  # archives are rolled at about this size
 REVISIT_BYTES = 1000  # equal payloads from this size on are stored once
