@@ -19,13 +19,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The table written once to the shared folder and read back: its lineage ends there.
 
-    The files go when the application's JVM ends.
+    The files go when the application's JVM ends. Spark removes the shuffle files of a finished query when the
+    driver's JVM collects its handle; asking for that here keeps a chain of steps from holding all of theirs.
     """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/tracewell-{label}-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(folder)
 
 
