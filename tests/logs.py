@@ -31,8 +31,7 @@ def skewed_log(spark, rows: int = 3000) -> EventLog:
 
 def split_settings(spark, on: bool):
     """Make the small test log large in the eyes of the library, so that hot cases are split."""
-    for key, value in (("tracewell.smallPlanBytes", "-1"), ("tracewell.rowsPerTask", "200")):
-        if on:
-            spark.conf.set(key, value)
-        else:
-            spark.conf.unset(key)
+    if on:
+        spark.conf.set("tracewell.rowsPerTask", "200")
+    else:
+        spark.conf.unset("tracewell.rowsPerTask")

@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.logs import skewed_log, split_settings
+from tracewell.log import EventLog
 from tracewell.operators import ordering, prefixes, relations, traces
 from tracewell.operators.blocks import hot_keys
 from tracewell.operators.numbering import number_rows
-from tracewell.operators.profile import datetime_profile
+from tracewell.operators.profile import datetime_profile, numeric_profile
 from tracewell.operators.quantiles import percentiles
 from tracewell.plans import prediction
 
@@ -29,10 +30,10 @@ def split(spark):
 
 def test_hot_case_is_found(spark):
     log = skewed_log(spark)
-    assert hot_keys(log.events, "case_id") == []
+    assert hot_keys(log.events, "case_id") is None
     split_settings(spark, True)
     try:
-        assert hot_keys(log.events, "case_id") == ["hot"]
+        assert [r[0] for r in hot_keys(log.events, "case_id").collect()] == ["hot"]
         assert ordering.ordered_cases(log).split
     finally:
         split_settings(spark, False)
@@ -111,3 +112,44 @@ def test_whole_prefixes_refuse_long_cases(spark, monkeypatch):
     monkeypatch.setattr(prefixes, "WHOLE_PREFIX_LIMIT", 500)
     with pytest.raises(ValueError, match="quadratic"):
         prefixes.prefixes_inclusive(skewed_log(spark))
+
+
+def test_percentiles_of_odd_columns(spark, split):
+    """A quarter NaN, one value in seven rows of ten, and a column without any value."""
+    frame = spark.range(1000).selectExpr(
+        "IF(id % 4 = 0, double('NaN'), double(id)) AS some", "IF(id % 10 < 7, 0D, double(id)) AS common", "CAST(NULL AS DOUBLE) AS nothing"
+    )
+    split(lambda: percentiles(frame, ["some", "common", "nothing"], [0.0, 0.5, 0.9, 1.0]))
+    found = {r["column"]: r["values"] for r in percentiles(frame, ["some", "common", "nothing"], [0.0, 0.5, 1.0]).collect()}
+    assert found == {"some": [1.0, 500.0, 999.0], "common": [0.0, 0.0, 999.0], "nothing": [None] * 3}
+    profile = {r["column"]: r for r in numeric_profile(frame).collect()}
+    assert set(profile) == {"some", "common", "nothing"}
+    assert profile["nothing"]["missing"] == 1000 and profile["nothing"]["p50"] is None and profile["nothing"]["outliers"] == 0
+
+
+def test_text_times_and_one_date(spark, split):
+    log = skewed_log(spark)
+    text = log.with_events(log.events.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))
+    split(lambda: traces.with_neighbours(text).select("event_id", "position", "next_activity"))
+    dated = log.with_events(log.events.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")))
+    split(lambda: relations.directly_follows(dated))
+
+
+def test_ranges_part_equal_first_columns(spark):
+    split_settings(spark, True)
+    try:
+        log = skewed_log(spark)
+        dated = log.events.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+        numbered = number_rows(dated, ["ts", "event_id"], "number").withColumn("task", F.spark_partition_id())
+        assert numbered.groupBy("task").count().agg(F.max("count")).first()[0] <= 600
+    finally:
+        split_settings(spark, False)
+
+
+def test_events_without_activity_are_no_boundary(spark):
+    rows = [("1", "a", 1), ("1", None, 2), ("1", "b", 3), ("2", "a", 1), ("2", None, 2)]
+    events = spark.createDataFrame(rows, "case_id string, activity string, t int")
+    log = EventLog(events.selectExpr("case_id", "activity", "timestamp_ntz '2024-01-01' + make_interval(0, 0, 0, t) AS ts"), ("ts",))
+    wanted = {("start", "a", 2), ("end", "b", 1)}
+    assert {tuple(r) for r in relations.boundary_activities(log).collect()} == wanted
+    assert {tuple(r) for r in relations.boundaries_of(relations.relation_counts(log)).collect()} == wanted

@@ -48,15 +48,18 @@ def similarity(left: Column, right: Column) -> Column:
     return F.when(longest == 0, F.lit(100.0)).otherwise(100.0 * (1 - F.levenshtein(left, right) / longest))
 
 
-def letters(number: Column, width: int = 8) -> Column:
-    """1 -> A, 26 -> Z, 27 -> AA; a number is spelled with at most ``width`` letters (8 hold 2e11)."""
-    digits = []
-    rest = number
-    for _ in range(width):
+def letters(number: Column, width: int = 14) -> Column:
+    """1 -> A, 26 -> Z, 27 -> AA; a number is spelled with at most ``width`` letters (14 hold every bigint)."""
+
+    def step(done: Column, _: Column) -> Column:
+        rest = done["rest"]
         digit = F.pmod(rest - 1, F.lit(26))
-        digits.insert(0, F.when(rest > 0, F.char(digit + 65)).otherwise(F.lit("")))
-        rest = F.when(rest > 0, F.expr("bigint(0)") + F.floor((rest - 1) / 26)).otherwise(F.lit(0))
-    return F.when(number.isNotNull(), F.concat(*digits))
+        left = F.floor((rest - 1).cast("decimal(20,0)") / 26).cast("bigint")
+        more = F.struct(left.alias("rest"), F.concat(F.char(digit + 65), done["text"]).alias("text"))
+        return F.when(rest > 0, more).otherwise(done)
+
+    start = F.struct(number.cast("bigint").alias("rest"), F.lit("").alias("text"))
+    return F.when(number.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(width)), start, step)["text"])
 
 
 def left_pad(sequence: Column, length: int, token: Column) -> Column:

@@ -1,10 +1,9 @@
-"""Split hot groups into ordered blocks so that no task ever has to hold one whole.
+"""Find hot groups, and cut ordered values into blocks, so that no task ever has to hold one whole.
 
 A window over ``PARTITION BY case ORDER BY time`` puts a case into one task. That is right for the
 millions of short cases of a log and wrong for a case (a batch user, a default id) that holds a large
-share of all events. ``time_blocks`` cuts such cases into blocks that follow the time order: 32
-equi-depth slices from a mergeable quantile sketch, each cut again into equal time steps. Block
-boundaries only place the work; every result is computed from all rows.
+share of all events. Hot groups are found by counting. Values are cut into blocks by 32 equi-depth slices
+from a mergeable quantile sketch, each cut again into equal steps; the borders only place the work.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.columns import col, epoch_micros
-from tracewell.session import is_small
+from tracewell.operators.lookup import settled
 
 BLOCK = "_block"
 SLICES = 32
@@ -23,50 +22,29 @@ STEPS = 64
 
 # A group beyond this many rows is cut into blocks.
 ROWS_PER_TASK = 1_000_000
-MAX_HOT_KEYS = 1_000
-_SAMPLE_HITS = 200
-
 
 def rows_per_task(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("tracewell.rowsPerTask", str(ROWS_PER_TASK)))
 
 
-# Found once per table, key and limit, as several operators open the same log.
+# Counted once per table, key and limit, as several operators open the same log.
 _FOUND: WeakKeyDictionary[DataFrame, dict] = WeakKeyDictionary()
 
 
-def hot_keys(df: DataFrame, key: str) -> list:
-    """Keys that hold more rows than a task should, at most MAX_HOT_KEYS of them.
+def hot_keys(df: DataFrame, key: str) -> DataFrame | None:
+    """The keys that hold more rows than a task should, as a table of ``key``; None where there is none.
 
-    A small plan has none. Otherwise a sample of the key column finds them: a key at the limit is
-    expected _SAMPLE_HITS times, so one is overlooked only near the limit, where it does no harm. Keys
-    past the thousandth hold less than a thousandth of the rows each.
+    Every key is counted, merged ahead of the shuffle. The table has at most rows / limit rows.
     """
-    if is_small(df):
-        return []
     limit = rows_per_task(df)
     found = _FOUND.setdefault(df, {})
     if (key, limit) not in found:
-        found[key, limit] = _sampled_hot_keys(df, key, limit)
+        counts = df.where(col(key).isNotNull()).groupBy(col(key)).agg(F.count(F.lit(1)).alias("_rows"))
+        hot = settled(counts.where(F.col("_rows") > limit).select(col(key)))
+        found[key, limit] = None if hot.isEmpty() else hot
     return found[key, limit]
 
 
-def _sampled_hot_keys(df: DataFrame, key: str, limit: int) -> list:
-    fraction = min(1.0, _SAMPLE_HITS / limit)
-    sampled = df.select(col(key).alias("key"))
-    if fraction < 1.0:
-        sampled = sampled.sample(fraction, seed=7)
-    top = (
-        sampled.where("key IS NOT NULL")
-        .groupBy("key")
-        .count()
-        .where(F.col("count") > limit * fraction)
-        .orderBy(F.desc("count"))
-        .limit(MAX_HOT_KEYS)
-    )
-    return [row["key"] for row in top.collect()]
-
-
 def sort_number(df: DataFrame, name: str) -> Column:
     """The order column as a number: micros for a time, the value itself otherwise."""
     kind = dict(df.dtypes)[name]
@@ -102,19 +80,8 @@ def with_block(df: DataFrame, number: Column, points: str = "_points") -> DataFr
     return sliced.withColumn(BLOCK, block).drop(points, "_number", "_slice")
 
 
-def time_blocks(df: DataFrame, key: str, order: str, hot: list) -> DataFrame:
-    """Add ``_block``: 0 for ordinary keys, the time block for the hot ones.
-
-    The broadcast side has at most MAX_HOT_KEYS rows of SLICES + 1 numbers.
-    """
-    number = sort_number(df, order)
-    points = slice_points(df.where(col(key).isin(hot)), key, number)
-    return with_block(df.join(F.broadcast(points), on=key, how="left"), number)
-
-
 def table_blocks(df: DataFrame, order: str) -> DataFrame:
-    """Add ``_block`` over the whole table as if it were one hot group; a small table is one block."""
-    if is_small(df):
-        return df.withColumn(BLOCK, F.lit(0))
+    """Add ``_block`` over a table of distinct values of the order column."""
     number = sort_number(df, order)
-    return with_block(df.withColumn("_points", slice_points(df, None, number).scalar()), number)
+    points = settled(slice_points(df, None, number))  # one row
+    return with_block(df.join(F.broadcast(points), how="cross"), number)

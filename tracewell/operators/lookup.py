@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.session import cut_lineage
 
 PINNED_ROWS = 50_000
+PINNED_BYTES = 8 * 1024 * 1024
 
 
 def one_row(table: DataFrame) -> Column:
@@ -16,12 +17,12 @@ def one_row(table: DataFrame) -> Column:
 
 
 def local_copy(table: DataFrame, max_rows: int = PINNED_ROWS) -> DataFrame | None:
-    """The table as literal rows of the plan, or None when it has more than ``max_rows`` rows.
+    """The table as literal rows of the plan, or None when it has too many rows or bytes.
 
     One job fetches at most ``max_rows + 1`` rows, so the check itself is bounded.
     """
     rows = table.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
+    if rows.num_rows > max_rows or rows.nbytes > PINNED_BYTES:
         return None
     return table.sparkSession.createDataFrame(rows, schema=table.schema)
 
@@ -36,13 +37,7 @@ def pinned(table: DataFrame, max_rows: int = PINNED_ROWS) -> DataFrame:
 
 
 def settled(table: DataFrame, max_rows: int = PINNED_ROWS) -> DataFrame:
-    """A table computed once and then read many times: literal rows when small, else checkpointed."""
-    copy = local_copy(table, max_rows)
-    return cut_lineage(table) if copy is None else copy
-
-
-def stored(table: DataFrame, max_rows: int = PINNED_ROWS) -> DataFrame:
-    """A table that may be large, computed once: checkpointed, and read back as literal rows if small."""
+    """A table computed once and then read many times: checkpointed, and read back as literal rows if small."""
     kept = cut_lineage(table)
     copy = local_copy(kept, max_rows)
     return kept if copy is None else copy

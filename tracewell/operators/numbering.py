@@ -6,44 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.columns import col
-from tracewell.operators.blocks import BLOCK
-from tracewell.session import cut_lineage, is_small
-
-RANGES = 256
-_POINT_SAMPLE = 20_000
+from tracewell.operators.blocks import BLOCK, rows_per_task
+from tracewell.session import cut_lineage
 
 
 def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Add ``name`` = 1..n in the order given; ``order`` must be total.
 
-    A table Catalyst sizes as small is numbered by one window. A large one is cut into RANGES ranges of
-    the first order column, numbered inside each, and shifted by the sizes of the ranges before it.
+    The counted rows decide the number of ranges. They are cut by all order columns, so rows that agree in
+    the first ones still part, numbered inside each range, and shifted by the sizes of the ranges before.
     """
     keys = [col(c) for c in order]
-    if is_small(df):
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*keys)).cast("bigint"))
     fixed = cut_lineage(df)
-    total = fixed.count()
-    sample = fixed.select(keys[0].alias("point")).where("point IS NOT NULL")
-    fraction = min(1.0, _POINT_SAMPLE / max(total, 1))
-    if fraction < 1.0:
-        sample = sample.sample(fraction, seed=7)
-    # The sample only places the range borders; about _POINT_SAMPLE values reach the driver.
-    points = sorted(row["point"] for row in sample.limit(2 * _POINT_SAMPLE).collect())
-    borders = sorted({points[i * len(points) // RANGES] for i in range(1, RANGES)}) if points else []
-    if borders:
-        literal = F.array(*[F.lit(b).cast(dict(fixed.dtypes)[order[0]]) for b in borders])
-        block = F.when(keys[0].isNull(), F.lit(-1)).otherwise(F.size(F.filter(literal, lambda b: b <= keys[0])))
-    else:
-        block = F.lit(0)
-    blocked = fixed.withColumn(BLOCK, block)
-    sizes = blocked.groupBy(BLOCK).agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES + 1 rows
+    ranges = -(-fixed.count() // rows_per_task(df))
+    if ranges <= 1:
+        return fixed.withColumn(name, F.row_number().over(Window.orderBy(*keys)).cast("bigint"))
+    # A row's id is its range and its place there. The ids are kept, so that both reads below agree.
+    placed = cut_lineage(
+        fixed.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id())
+    ).withColumn(BLOCK, F.shiftright("_place", 33))
+    sizes = placed.groupBy(BLOCK).agg(F.count(F.lit(1)).alias("_rows"))  # one row per range
+    earlier = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(BLOCK, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(BLOCK).orderBy(*keys)
-    return (
-        blocked.withColumn("_rank", F.row_number().over(inside))
-        .join(F.broadcast(offsets), BLOCK)
-        .withColumn(name, (F.col("_offset") + F.col("_rank")).cast("bigint"))
-        .drop(BLOCK, "_rank", "_offset")
-    )
+    number = F.col("_offset") + F.col("_place").bitwiseAND((1 << 33) - 1) + 1
+    return placed.join(F.broadcast(offsets), BLOCK).withColumn(name, number.cast("bigint")).drop(BLOCK, "_place", "_offset")

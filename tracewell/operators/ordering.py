@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.columns import col
 from tracewell.log import EventLog
-from tracewell.operators.blocks import BLOCK, hot_keys, time_blocks
+from tracewell.operators.blocks import hot_keys
+from tracewell.operators.numbering import number_rows
 
 CHUNK_ROWS = 100_000
 
@@ -51,13 +52,14 @@ def ordered_cases(
     ``leading`` promises that the caller filters on ``position <= leading`` at once. Spark then keeps
     that many rows per case and input partition before the shuffle, and a hot case needs no splitting.
 
-    Without hot cases this is one window per case, one shuffle. With hot cases positions come from
-    per-block counts, and frames run over fixed-size runs of positions with a halo of neighbours.
+    Without hot cases this is one window per case, one shuffle. The events of hot cases are numbered in
+    ranges over all order columns, so equal times part as well, and frames run over fixed-size runs of
+    positions with a halo of neighbours.
     """
     values = dict(values or {})
     few = leading is not None and leading <= GROUP_LIMIT_ROWS
-    hot = [] if few else hot_keys(log.events, "case_id")
-    if hot:
+    hot = None if few else hot_keys(log.events, "case_id")
+    if hot is not None:
         return _split_cases(log, hot, before, after, values)
     whole = Window.partitionBy("case_id")
     window = whole.orderBy(*[col(name) for name in log.order])
@@ -71,23 +73,24 @@ def ordered_cases(
     )
 
 
-def _split_cases(log: EventLog, hot: list, before: int, after: int, values: dict[str, Column]) -> OrderedCases:
-    blocked = time_blocks(log.events, "case_id", log.order[0], hot)
-    inside = Window.partitionBy("case_id", BLOCK).orderBy(*[col(name) for name in log.order])
-    numbered = blocked.withColumn("_rank", F.row_number().over(inside))
-
-    # Counts and case values are partial aggregates: a hot case reaches the shuffle as a few rows.
-    counts = blocked.groupBy("case_id", BLOCK).agg(F.count(F.lit(1)).alias("_rows"))
-    totals = log.events.groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("_length"), *[value.alias(f"_value_{name}") for name, value in values.items()]
+def _split_cases(log: EventLog, hot: DataFrame, before: int, after: int, values: dict[str, Column]) -> OrderedCases:
+    events, order = log.events, [col(name) for name in log.order]
+    whole = Window.partitionBy("case_id")
+    cold = events.join(hot, "case_id", "left_anti").select(
+        *[col(c) for c in events.columns],
+        F.row_number().over(whole.orderBy(*order)).cast("bigint").alias("_position"),
+        F.count(F.lit(1)).over(whole).alias("_length"),
+        *[value.over(whole).alias(f"_value_{name}") for name, value in values.items()],
     )
-    earlier = Window.partitionBy("case_id").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "case_id", BLOCK, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset")
-    ).join(totals, "case_id")
-
-    placed = numbered.join(offsets, ["case_id", BLOCK]).withColumn("_position", F.col("_offset") + F.col("_rank"))
-    placed = placed.drop(BLOCK, "_rank", "_offset")
+    numbered = number_rows(events.join(hot, "case_id", "left_semi"), ["case_id", *log.order], "_number")
+    # Case values are partial aggregates: a hot case reaches the shuffle as a few rows.
+    totals = numbered.groupBy("case_id").agg(
+        (F.min("_number") - 1).alias("_before"),
+        F.count(F.lit(1)).alias("_length"),
+        *[value.alias(f"_value_{name}") for name, value in values.items()],
+    )
+    divided = numbered.join(totals, "case_id").withColumn("_position", F.col("_number") - F.col("_before"))
+    placed = cold.unionByName(divided.drop("_number", "_before"))
     index = F.col("_position") - 1
     home = F.floor(index / CHUNK_ROWS)
     copies = [home]

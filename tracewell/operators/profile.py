@@ -11,10 +11,10 @@ from tracewell.functions.columns import col, epoch_micros
 from tracewell.log import EventLog
 from tracewell.operators.blocks import BLOCK, table_blocks
 from tracewell.operators.columns import columns_of_kind
-from tracewell.operators.lookup import one_row
+from tracewell.operators.lookup import one_row, settled
 from tracewell.operators.quantiles import percentiles
 from tracewell.operators.traces import case_spans
-from tracewell.session import cut_lineage, is_small
+from tracewell.session import cut_lineage
 
 
 def unique_summary(df: DataFrame, columns: Sequence[str], top_n: int | None = None, null_token: str = "nan") -> DataFrame:
@@ -68,8 +68,9 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         .agg(F.count_if(outside).alias("outliers"))
     )
     return (
-        base.join(bounds, "column")
-        .join(outliers, "column")
+        base.join(bounds, "column", "left")
+        .join(outliers, "column", "left")
+        .withColumn("outliers", F.coalesce("outliers", F.lit(0)))
         .withColumn("missing_percent", 100.0 * F.col("missing") / F.col("rows"))
         .drop("rows")
     )
@@ -78,18 +79,18 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 def datetime_profile(df: DataFrame, column: str) -> DataFrame:
     """First, last, span, distinct values and gaps of a time column.
 
-    The gaps need the global time order. Rows are sorted inside time blocks only; the gap across a
-    block border comes from the blocks' first and last times.
+    Equal times are counted ahead of the shuffle. The gaps need the global time order: distinct times are
+    sorted inside blocks only; the gap across a block border comes from the blocks' first and last times.
     """
     micros = epoch_micros(col(column))
-    blocked = table_blocks(df.where(col(column).isNotNull()).select(col(column)), column)
-    timed = blocked.select(BLOCK, micros.alias("t"))
+    times = settled(df.where(col(column).isNotNull()).groupBy(micros.alias("t")).agg(F.count(F.lit(1)).alias("times")))
+    timed = table_blocks(times, "t")
     inside = Window.partitionBy(BLOCK).orderBy("t")
     gaps = timed.withColumn("gap", F.col("t") - F.lag("t").over(inside))
     parts = gaps.groupBy(BLOCK).agg(
-        F.count(F.lit(1)).alias("n"),
-        # Equal times share a block, so distinct times add up over blocks.
-        (F.count_if(F.col("gap") > 0) + 1).alias("distinct"),
+        F.sum("times").alias("n"),
+        F.count(F.lit(1)).alias("distinct"),
+        F.max("times").alias("most"),
         F.min("t").alias("first"),
         F.max("t").alias("last"),
         F.min("gap").alias("min_gap"),
@@ -102,8 +103,8 @@ def datetime_profile(df: DataFrame, column: str) -> DataFrame:
         F.sum("distinct").alias("distinct_values"),
         F.min("first").alias("first"),
         F.max("last").alias("last"),
-        F.min(F.least("min_gap", "border")).alias("min_gap"),
-        F.max(F.greatest("max_gap", "border")).alias("max_gap"),
+        F.when(F.max("most") > 1, F.lit(0)).otherwise(F.min(F.least("min_gap", "border"))).alias("min_gap"),
+        F.coalesce(F.max(F.greatest("max_gap", "border")), F.when(F.max("most") > 1, F.lit(0))).alias("max_gap"),
     )
     whole = df.agg(F.count_if(col(column).isNull()).alias("missing"), F.count(F.lit(1)).alias("rows"))
     span = F.col("last") - F.col("first")
@@ -195,9 +196,8 @@ def events_per_case(log: EventLog) -> DataFrame:
 
 
 def throughput_time(log: EventLog) -> DataFrame:
-    spans = case_spans(log.with_events(log.events.where("ts IS NOT NULL")))
-    if not is_small(spans):
-        spans = cut_lineage(spans)  # the median reads it several times
+    # The median reads the spans several times.
+    spans = cut_lineage(case_spans(log.with_events(log.events.where("ts IS NOT NULL"))))
     figures = spans.agg(
         F.avg("duration_seconds").alias("mean_seconds"),
         F.min("duration_seconds").alias("min_seconds"),

@@ -1,4 +1,4 @@
-"""Exact percentiles that never bring all values of a column into one task."""
+"""Exact percentiles from a histogram of values, never from all values in one task."""
 
 from __future__ import annotations
 
@@ -9,25 +9,22 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.columns import col
 from tracewell.operators.blocks import BLOCK, slice_points, with_block
-from tracewell.session import is_small
+from tracewell.operators.lookup import settled
 
 
 def percentiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
     """Linear-interpolated percentiles, one row per column: ``column`` and ``values`` in share order.
 
-    A small table uses the built-in aggregate. A large one is counted in ordered blocks per column, and
-    only the blocks that hold a wanted rank are sorted.
+    Null and NaN count as missing, and a column of missing cells only has null values. Equal values are
+    counted before the shuffle, so a common value is one row; the histogram is cut into ordered blocks,
+    and only the blocks that hold a wanted rank are ordered.
     """
-    if is_small(df):
-        row = df.agg(*[F.percentile(col(c).cast("double"), F.array(*[F.lit(s) for s in shares])).alias(f"p{i}")
-                       for i, c in enumerate(columns)])
-        cells = [F.struct(F.lit(c).alias("column"), F.col(f"p{i}").alias("values")) for i, c in enumerate(columns)]
-        return row.select(F.inline(F.array(*cells)))
     cells = [F.struct(F.lit(c).alias("column"), col(c).cast("double").alias("value")) for c in columns]
     long = df.select(F.inline(F.array(*cells))).where("value IS NOT NULL AND NOT isnan(value)")
-    points = slice_points(long, "column", F.col("value"))  # one row per column
-    blocked = with_block(long.join(F.broadcast(points), "column"), F.col("value"))
-    counts = blocked.groupBy("column", BLOCK).agg(F.count(F.lit(1)).alias("rows"))
+    histogram = settled(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("times")))
+    points = settled(slice_points(histogram, "column", F.col("value")))  # one row per column
+    blocked = with_block(histogram.join(F.broadcast(points), "column"), F.col("value"))
+    counts = blocked.groupBy("column", BLOCK).agg(F.sum("times").alias("rows"))
     before = Window.partitionBy("column").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     total = Window.partitionBy("column")
     placed = counts.select(
@@ -50,11 +47,12 @@ def percentiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float])
         .groupBy("column", BLOCK)
         .agg(F.first("offset").alias("offset"), F.first("total").alias("total"), F.collect_set("rank").alias("ranks"))
     )
-    inside = Window.partitionBy("column", BLOCK).orderBy("value")
+    inside = Window.partitionBy("column", BLOCK).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.col("offset") + F.sum("times").over(inside)
     picked = (
         blocked.join(F.broadcast(targets), ["column", BLOCK])
-        .withColumn("rank", F.col("offset") + F.row_number().over(inside) - 1)
-        .where(F.array_contains("ranks", F.col("rank")))
+        .withColumn("_upto", upto)
+        .withColumn("rank", F.explode(F.filter("ranks", lambda r: (r >= F.col("_upto") - F.col("times")) & (r < F.col("_upto")))))
     )
     by_rank = picked.groupBy("column").agg(
         F.first("total").alias("total"), F.map_from_entries(F.collect_set(F.struct("rank", "value"))).alias("at")
@@ -65,4 +63,7 @@ def percentiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float])
         low = F.element_at("at", F.floor(exact))
         high = F.element_at("at", F.ceil(exact))
         values.append(low + (high - low) * (exact - F.floor(exact)))
-    return by_rank.select("column", F.array(*values).alias("values"))
+    found = by_rank.select("column", F.array(*values).alias("values"))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    nothing = F.array(*[F.lit(None).cast("double") for _ in shares])
+    return names.join(found, "column", "left").select("column", F.coalesce("values", nothing).alias("values"))

@@ -38,14 +38,16 @@ def boundary_activities(log: EventLog) -> DataFrame:
         F.struct(F.lit("start").alias("boundary"), F.col("start").alias("activity")),
         F.struct(F.lit("end").alias("boundary"), F.col("end").alias("activity")),
     )
-    return cases.select(F.inline(sides)).groupBy("boundary", "activity").agg(F.count(F.lit(1)).alias("cases"))
+    named = cases.select(F.inline(sides)).where("activity IS NOT NULL")
+    return named.groupBy("boundary", "activity").agg(F.count(F.lit(1)).alias("cases"))
 
 
 def relation_counts(log: EventLog) -> DataFrame:
     """All that discovery needs from a log in one pass: counts per step and its circumstances.
 
-    ``src, dst`` is a step (``dst`` null at the end of a case), ``again`` says that ``src`` comes back
-    after ``dst``, ``first`` that ``src`` opens its case. At most four rows per pair of activities.
+    ``src, dst`` is a step, ``again`` says that ``src`` comes back after ``dst``, ``first`` and ``last`` that
+    ``src`` opens or closes its case. An event without activity is a place in its case, but no step or
+    boundary. At most eight rows per pair of activities.
     """
     cases = ordered_cases(log, after=2)
     carried = ["_home", "_chunk", "_position", "_length"] if cases.split else []
@@ -55,26 +57,27 @@ def relation_counts(log: EventLog) -> DataFrame:
         F.lead("activity", 1).over(cases.window).alias("dst"),
         F.coalesce(F.lead("activity", 2).over(cases.window) == src, F.lit(False)).alias("again"),
         (cases.position == 1).alias("first"),
+        (cases.position == cases.length).alias("last"),
         *carried,
     )
-    return cases.close(steps).groupBy("src", "dst", "again", "first").agg(F.count(F.lit(1)).alias("n"))
+    return cases.close(steps).groupBy("src", "dst", "again", "first", "last").agg(F.count(F.lit(1)).alias("n"))
 
 
 def graph_of(counts: DataFrame) -> DataFrame:
     """The directly-follows graph from ``relation_counts``."""
-    return counts.where("dst IS NOT NULL").groupBy("src", "dst").agg(F.sum("n").alias("freq"))
+    return counts.where("src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst").agg(F.sum("n").alias("freq"))
 
 
 def loops_of(counts: DataFrame) -> DataFrame:
-    return counts.where("again AND src <> dst").groupBy("src", "dst").agg(F.sum("n").alias("freq"))
+    return counts.where("again AND src <> dst AND dst IS NOT NULL").groupBy("src", "dst").agg(F.sum("n").alias("freq"))
 
 
 def boundaries_of(counts: DataFrame) -> DataFrame:
     sides = F.array(
-        F.when(F.col("first"), F.lit("start")), F.when(F.col("dst").isNull(), F.lit("end"))
+        F.when(F.col("first"), F.lit("start")), F.when(F.col("last"), F.lit("end"))
     )
     marked = counts.select(F.col("src").alias("activity"), "n", F.explode(sides).alias("boundary"))
-    return marked.where("boundary IS NOT NULL").groupBy("boundary", "activity").agg(F.sum("n").alias("cases"))
+    return marked.where("boundary IS NOT NULL AND activity IS NOT NULL").groupBy("boundary", "activity").agg(F.sum("n").alias("cases"))
 
 
 def footprint(graph: DataFrame, activities: DataFrame) -> DataFrame:

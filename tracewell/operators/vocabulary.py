@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.columns import col, text_or_token
 from tracewell.log import EventLog
-from tracewell.operators.lookup import pinned, stored
+from tracewell.operators.lookup import pinned, settled
 from tracewell.operators.numbering import number_rows
 
 
@@ -65,7 +65,7 @@ def category_codes(df: DataFrame, column: str, null_token: str = "nan") -> DataF
 def fit_categories(df: DataFrame, columns: Sequence[str], null_token: str = "nan") -> dict[str, DataFrame]:
     """The codes (``value, code``) of several text columns from one pass over the table."""
     cells = [F.struct(F.lit(c).alias("column"), text_or_token(col(c), null_token).alias("value")) for c in columns]
-    distinct = stored(df.select(F.inline(F.array(*cells))).distinct())
+    distinct = settled(df.select(F.inline(F.array(*cells))).distinct())
     fitted = {}
     for column in columns:
         values = distinct.where(F.col("column") == column).select("value")

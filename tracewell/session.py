@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,34 +27,28 @@ def build_session(app_name: str = "tracewell", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names, so a lost executor loses nothing."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="tracewell-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
+_OWN_FOLDER: dict[str, str] = {}
 
-def planned_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a plan, or None where the session does not expose it."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
-        return None
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as the cluster names it.
 
-# A plan Catalyst sizes below this fits one task with room to spare.
-SMALL_PLAN_BYTES = 64 * 1024 * 1024
+    A session in one process (tests) that names none gets a folder of its own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^,\]]*)?\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if context.applicationId not in _OWN_FOLDER:
+            _OWN_FOLDER[context.applicationId] = tempfile.mkdtemp(prefix="tracewell-")
+        folder = _OWN_FOLDER[context.applicationId]
+    return folder.rstrip("/")
 
 
-def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    if limit is None:
-        limit = int(df.sparkSession.conf.get("tracewell.smallPlanBytes", str(SMALL_PLAN_BYTES)))
-    size = planned_bytes(df)
-    return size is not None and size <= limit
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder, so a lost executor loses nothing."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)

@@ -11,18 +11,15 @@ from pyspark.sql import types as T
 
 from tracewell.functions.columns import col
 from tracewell.log import EventLog
+from tracewell.session import shared_folder
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder; a local one only for a local session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="tracewell-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared one; it goes when the application's JVM ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def write_log(df: DataFrame, path: str, file_format: str = "csv", mode: str = "errorifexists") -> None:

@@ -138,20 +138,20 @@ def prefixes_inclusive(spark, folder):
 
 _NEXT = """(SELECT case_id, row_number() OVER w AS prefix_length, activity, lead(activity) OVER w AS label_next_activity,
     last(activity) OVER whole AS label_outcome, (epoch_us(last(ts) OVER whole) - epoch_us(ts)) / 3600e6 AS remaining_time,
-    epoch_us(ts) AS at_micros, list(activity) OVER (PARTITION BY case_id ORDER BY $LORD ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)
-        AS newest, list(activity) FILTER (WHERE p <= 10) OVER w AS first_ten
+    epoch_us(ts) AS at_micros, list(activity) OVER w AS whole_prefix,
+    list(activity) OVER (PARTITION BY case_id ORDER BY $LORD ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS newest, list(activity) FILTER (WHERE p <= 10) OVER w AS first_ten
     FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY $LORD) AS p FROM $L) WINDOW w AS (PARTITION BY case_id ORDER BY $LORD),
       whole AS (PARTITION BY case_id ORDER BY $LORD ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
 
 
 @query(
     "prefixes_next",
-    f"""SELECT case_id, array_to_string(newest, '>') AS prefix_activities, prefix_length, label_next_activity, label_outcome,
+    f"""SELECT case_id, array_to_string(whole_prefix, '>') AS prefix_activities, prefix_length, label_next_activity, label_outcome,
         round(remaining_time, 6) AS remaining_time, at_micros FROM {_NEXT} WHERE label_next_activity IS NOT NULL""",
 )
 def prefixes_next(spark, folder):
-    """All prefixes with a next event; each carries its ten newest activities."""
-    found = prefixes.prefixes_next(line_log(spark, folder), keep=10)
+    """All prefixes with a next event, each whole."""
+    found = prefixes.prefixes_next(line_log(spark, folder))
     stamped = found.withColumn("at_micros", epoch_micros(F.col("timestamp"))).drop("timestamp")
     return _joined(rounded(stamped, "remaining_time"), "prefix_activities")
 
