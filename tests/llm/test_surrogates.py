@@ -1,3 +1,4 @@
+import ipaddress
 import re
 
 import pytest
@@ -92,3 +93,42 @@ def test_long_and_no_texts(spark):
     long = "a" * 300_000 + " 1" * 50_000 + " me@site.org"
     assert found(spark, [(1, long)])[1].n >= 1
     assert with_surrogates(spark.createDataFrame([], DOCS)).collect() == []
+
+
+SYLLABLES = ["ba", "ce", "di", "fo", "gu", "ka", "le", "mi", "no", "pu", "ra", "se"]
+
+
+def test_more_titled_names_than_one_length_of_surrogates_holds(spark, monkeypatch):
+    """1,400 families where the first length of names holds 40."""
+    monkeypatch.setattr(surrogates, "_SYLLABLES", {"latin": "bar den", "cyrillic": "бар ден"})  # 40 names of three syllables
+    names = [f"Mr {a.title()}{b}{c}x" for a in SYLLABLES for b in SYLLABLES for c in SYLLABLES][:1400]
+    out = found(spark, [(i, f"so {n} spoke") for i, n in enumerate(names)])
+    made = [re.fullmatch(r"so (Mr \w+) spoke", r.text)[1] for r in out.values()]
+    assert len(set(made)) == 1400 and not set(made) & set(names)
+
+
+def test_a_full_network(spark):
+    rows = [(i, "\n".join(f"192.168.{i}.{j}" for j in range(256))) for i in range(256)]
+    made = [a for r in found(spark, rows).values() for a in r.text.split("\n")]
+    assert len(set(made)) == 65536 and not any(a.startswith("192.168.") for a in made)
+    assert all(ipaddress.ip_address(a).is_private for a in made)
+
+
+def test_full_spaces_of_short_numbers(spark):
+    """All of '+44 00 00' to '+44 99 99' and all one-digit addresses of a domain."""
+    rows = [(i, "\n".join(f"+44 {i:02} {j:02}" for j in range(100)) + f"\n{i % 10}@site.org") for i in range(100)]
+    made = [a for r in found(spark, rows).values() for a in r.text.split("\n")]
+    assert len(set(made)) == 10_010 and not set(made) & {a for _, t in rows for a in t.split("\n")}
+
+
+def test_people_keep_their_family_across_titles_and_given_names(spark):
+    family = ["Abel", "Beck", "Cole", "Dorn", "Ende", "Funk"]
+    given = GIVEN["latin", "m"].split()
+    text = {i * 100 + j: f"{g} {f} or Mr {f} or Mr Xavier {f}" for i, f in enumerate(family) for j, g in enumerate(given)}
+    out = found(spark, list(text.items()))
+    seen = {}
+    for k, r in out.items():
+        m = re.fullmatch(r"(\w+) (\w+) or Mr (\w+) or Mr ([\w-]+) (\w+)", r.text)
+        assert m and m[2] == m[3] == m[5] and seen.setdefault(("f", k // 100), m[2]) == m[2]
+        assert seen.setdefault(("g", k % 100), m[1]) == m[1] and m[4] not in given
+    assert len(set(seen.values())) == len(family) + len(given)

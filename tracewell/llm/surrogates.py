@@ -4,17 +4,23 @@ Entities found by patterns are replaced by keyed surrogates of the same type and
 for letters of the same case, valid addresses and check digits, names of the same gender and script. A surrogate
 depends on the key and the entity only, so an entity is replaced alike wherever it occurs, and documents need no
 shuffle. All entities of the corpus are then compared: two that share a surrogate, or a surrogate that occurs as
-an entity, get another try until all differ; only documents that hold such an entity look its tries up.
+an entity, get another try until all differ; only documents that hold such an entity look its tries up. Given and
+family names are entities of their own. Further tries draw from larger spaces without end: longer names and numbers,
+wider networks, so every entity finds a surrogate.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import stored
 
 BROADCAST_ROWS = 1_000_000
+SAME_FORM = 2  # further tries that keep the length of a number and the network of an address
+SAME_FAMILY = 5  # further tries that stay with four octets
 
 # Titles by gender and given names by script and gender. Fixed values.
 TITLES = {"m": "Mr Sir Herr Monsieur Señor Sr Don Signor г-н", "f": "Mrs Ms Miss Madam Frau Madame Mme Señora Sra Doña Signora г-жа"}
@@ -62,9 +68,23 @@ def _identity(entity: Column, kind: Column) -> Column:
     return F.concat(kind, F.lit(":"), F.coalesce(bare, entity))
 
 
-def identity_of(entity: Column) -> Column:
-    """What makes two spellings one entity: addresses regardless of case, numbers regardless of separators."""
-    return F.transform(F.transform(F.array(entity), lambda e: F.struct(e.alias("entity"), kind_of(e).alias("kind"))), lambda s: _identity(s["entity"], s["kind"]))[0]
+def _identities(entity: Column, kind: Column) -> Column:
+    """What gets a surrogate of its own: the given names and the family name of a name, else the entity.
+
+    Spellings are one: addresses regardless of case, numbers regardless of separators.
+    """
+    parts = F.transform(
+        F.array(_person(entity)),
+        lambda p: F.concat(
+            F.transform(p["given"], lambda word: F.concat(F.lit("given:"), p["sort"], F.lit(":"), word)),
+            F.array(F.concat(F.lit("family:"), p["sort"], F.lit(":"), p["family"])),
+        ),
+    )[0]
+    return F.when(kind == "name", parts).otherwise(F.array(_identity(entity, kind)))
+
+
+def _seed(identity: Column, key: str, attempt: Column) -> Column:
+    return _stream(F.concat_ws("|", F.lit(key), identity, attempt.cast("string")))
 
 
 def _stream(seed: Column) -> Column:
@@ -109,52 +129,76 @@ def _picked(words: str, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in words.split()]), (index + 1).cast("int"))
 
 
-def _person(entity: Column, key: str, attempt: Column) -> Column:
-    """What a name consists of, with a stream for the given and for the family name."""
+def _person(entity: Column) -> Column:
+    """What a name consists of: title, script and gender, given names, family name."""
     parts = F.split(entity, " ")
     first = F.regexp_replace(parts[0], r"\.$", "")
     titled = first.isin([t for ts in TITLES.values() for t in ts.split()])
     women = [n for (_, g), ns in GIVEN.items() if g == "f" for n in ns.split()]
     female = F.when(titled, first.isin(TITLES["f"].split())).otherwise(first.isin(women))
-    given = F.when(titled & (F.size(parts) == 3), parts[1]).when(~titled, parts[0])
     family = F.element_at(parts, -1)
-
-    def stream(part: str, word: Column) -> Column:
-        return _stream(F.concat_ws("|", F.lit(f"{key}|{part}"), female.cast("string"), word, attempt.cast("string")))
-
     return F.struct(
         F.when(titled, parts[0]).alias("title"),
         F.concat(F.when(family.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin")), F.when(female, F.lit("-f")).otherwise(F.lit("-m"))).alias("sort"),
-        F.when(given.isNotNull(), stream("given", given)).alias("given"),
-        stream("family", family).alias("family"),
+        F.when(titled, F.slice(parts, F.lit(2), F.size(parts) - 2)).otherwise(F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("given"),
+        family.alias("family"),
     )
 
 
-def _name(person: Column) -> Column:
-    """Title kept; given name of the same gender and script; family name made up in the same script."""
-    given, family = F.lit(None).cast("string"), F.lit(None).cast("string")
+def _part(piece: Column, key: str) -> Column:
+    """The surrogate of a given or family name, of the same gender and script.
+
+    The listed given names change places, by the key; others get two of them with a hyphen, family names three
+    syllables with an ending. Each further try adds a name or a syllable.
+    """
+    kind, sort, word = (F.substring_index(F.substring_index(piece["identity"], ":", k + 1), ":", -1) for k in range(3))
+    stream, attempt = piece["stream"], piece["attempt"]
+    out = F.lit(None).cast("string")
     for (script, gender), names in GIVEN.items():
-        here, syllables, endings = person["sort"] == f"{script}-{gender}", _SYLLABLES[script], _ENDINGS[script, gender]
-        made = [_picked(syllables, _number(person["family"], k, len(syllables.split()))) for k in range(2)]
-        given = F.when(here & person["given"].isNotNull(), _picked(names, _number(person["given"], 0, len(names.split())))).otherwise(given)
-        family = F.when(here, F.initcap(F.concat(*made, _picked(endings, _number(person["family"], 2, len(endings.split())))))).otherwise(family)
-    return F.concat_ws(" ", person["title"], given, family)
+        ring = sorted(names.split(), key=lambda n: hashlib.sha256(f"{key}|{script}|{gender}|{n}".encode()).digest())
+        other = F.element_at(F.create_map(*[F.lit(n) for pair in zip(ring, ring[1:] + ring[:1]) for n in pair]), word)
+        several = F.array_join(F.transform(F.sequence(F.lit(0), attempt + 1), lambda k: _picked(names, _number(stream, k, len(ring)))), "-")  # noqa: B023
+        syllables, endings = _SYLLABLES[script], _ENDINGS[script, gender]
+        stem = F.array_join(F.transform(F.sequence(F.lit(1), attempt + 3), lambda k: _picked(syllables, _number(stream, k, len(syllables.split())))), "")  # noqa: B023
+        family = F.initcap(F.concat(stem, _picked(endings, _number(stream, 0, len(endings.split())))))
+        out = F.when(sort == f"{script}-{gender}", F.when(kind == "family", family).otherwise(F.coalesce(other, several))).otherwise(out)
+    return out
 
 
 def surrogates_of(found: Column, key: str, attempt) -> Column:
-    """The surrogates of an array of entities; ``attempt`` gives the try of an entity."""
-    described = F.transform(found, lambda e: F.struct(e.alias("entity"), kind_of(e).alias("kind"), attempt(e).alias("attempt")))
-    seeded = F.transform(described, lambda s: _seeded(s, key))
-    return F.transform(seeded, _replaced)
+    """The surrogates of an array of entities; ``attempt`` gives the try of an identity."""
+    described = F.transform(found, lambda e: F.struct(e.alias("entity"), kind_of(e).alias("kind")))
+    seeded = F.transform(described, lambda s: _seeded(s, key, attempt))
+    return F.transform(seeded, lambda s: _replaced(s, key))
 
 
-def _seeded(s: Column, key: str) -> Column:
+def _seeded(s: Column, key: str, attempt) -> Column:
     entity, kind = s["entity"], s["kind"]
-    stream = _stream(F.concat_ws("|", F.lit(key), _identity(entity, kind), s["attempt"].cast("string")))
+    tried = F.transform(_identities(entity, kind), lambda i: F.struct(i.alias("identity"), attempt(i).alias("attempt")))
+    pieces = F.transform(tried, lambda t: F.struct(t["identity"].alias("identity"), t["attempt"].alias("attempt"), _seed(t["identity"], key, t["attempt"]).alias("stream")))
     domain = F.lower(F.substring_index(entity, "@", -1))
     site = F.when(kind == "email", _stream(F.concat(F.lit(f"{key}|domain|"), domain)))  # one domain stays one domain
-    person = F.when(kind == "name", _person(entity, key, s["attempt"]))
-    return F.struct(entity.alias("entity"), kind.alias("kind"), stream.alias("stream"), site.alias("site"), person.alias("person"))
+    title = F.when(kind == "name", _person(entity)["title"])
+    return F.struct(entity.alias("entity"), kind.alias("kind"), pieces.alias("pieces"), site.alias("site"), title.alias("title"))
+
+
+def _longer(text: Column, attempt: Column) -> Column:
+    """The text with further digits, ahead of a closing quote, after some tries at its own length."""
+    more = F.repeat(F.lit("0"), attempt - SAME_FORM)
+    closing = F.regexp_extract(text, "[\"']$", 0)
+    return F.when(attempt > SAME_FORM, F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(closing)), more, closing)).otherwise(text)
+
+
+def _address(entity: Column, stream: Column, attempt: Column) -> Column:
+    """An address of the same network; then with all values of an octet, of a wider network, and of IPv6."""
+    octets = [F.when(attempt == 0, 1 + _number(stream, k, 254)).otherwise(_number(stream, k, 256)).cast("string") for k in range(4)]
+    inside = F.regexp_extract(entity, r"^(?:10|127|192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01]))\.", 0)
+    public = F.concat_ws(".", (11 + _number(stream, 0, 110)).cast("string"), *octets[1:])
+    network = F.when(attempt > SAME_FORM, F.lit("10.")).otherwise(inside)
+    private = F.concat(network, F.when(network.rlike(r"\..*\."), F.concat_ws(".", *octets[2:])).otherwise(F.concat_ws(".", *octets[1:])))
+    groups = [F.substring(stream, 1 + 4 * k, 4) for k in range(7)]
+    unique = F.when(inside == "", F.concat_ws(":", F.lit("2001:db8"), *groups[:6])).otherwise(F.concat(F.lit("fd"), F.substring(stream, 29, 2), F.lit(":"), F.concat_ws(":", *groups)))
+    return F.when(attempt > SAME_FAMILY, unique).when(inside == "", public).otherwise(private)
 
 
 def _rest(text: Column, head: Column, stream: Column) -> Column:
@@ -162,28 +206,25 @@ def _rest(text: Column, head: Column, stream: Column) -> Column:
     return F.concat(head, _mapped(F.substring(text, F.length(head) + 1, F.length(text)), stream))
 
 
-def _replaced(s: Column) -> Column:
-    entity, kind, stream = s["entity"], s["kind"], s["stream"]
-    domain = F.substring_index(entity, "@", -1)
+def _replaced(s: Column, key: str) -> Column:
+    whole, kind, stream, attempt = s["entity"], s["kind"], s["pieces"][0]["stream"], s["pieces"][0]["attempt"]
+    entity = _longer(whole, attempt)
+    domain = F.substring_index(whole, "@", -1)
     top = F.substring_index(domain, ".", -1)
     site = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
-    email = F.concat(_mapped(F.substring_index(entity, "@", 1), stream), F.lit("@"), _mapped(site, s["site"]), F.lit("."), top)
-    octets = [(1 + _number(stream, k, 254)).cast("string") for k in range(4)]
-    inside = F.regexp_extract(entity, r"^(?:10|127|192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01]))\.", 0)
-    public = F.concat_ws(".", (11 + _number(stream, 0, 110)).cast("string"), *octets[1:])
-    private = F.concat(inside, F.when(inside.rlike(r"\..*\."), F.concat_ws(".", *octets[2:])).otherwise(F.concat_ws(".", *octets[1:])))
+    email = F.concat(_mapped(_longer(F.substring_index(whole, "@", 1), attempt), stream), F.lit("@"), _mapped(site, s["site"]), F.lit("."), top)
     country = F.when(entity.startswith("+"), F.coalesce(F.nullif(F.regexp_extract(entity, r"^\+[0-9]{1,3}(?=[ .(\-])", 0), F.lit("")), F.substring(entity, 1, 3))).otherwise(F.lit(""))
     made = {
         "email": email,
         "secret": _rest(entity, F.regexp_extract(entity, r"^[A-Za-z_\-]+[ \t]*[=:][ \t]*[\"']?", 0), stream),
         "key": _rest(entity, F.regexp_extract(entity, "^(?:AKIA|gh[pousr]_|sk-)", 0), stream),
         "iban": _rest(entity, F.substring(entity, 1, 2), stream),
-        "ip": F.when(inside == "", public).otherwise(private),
+        "ip": _address(whole, stream, attempt),
         "phone": _rest(entity, country, stream),
-        "card": _checked(entity, _rest(entity, F.substring(entity, 1, 1), stream)),
+        "card": _checked(whole, _rest(entity, F.substring(entity, 1, 1), stream)),
         "ssn": _mapped(entity, stream),
     }
-    out = _name(s["person"])
+    out = F.array_join(F.concat(F.array(s["title"]), F.transform(s["pieces"], lambda p: _part(p, key))), " ")
     for name, value in made.items():
         out = F.when(kind == name, value).otherwise(out)
     return out
@@ -200,14 +241,19 @@ def _checked(entity: Column, made: Column) -> Column:
 
 
 def tries(docs: DataFrame, key: str, text_col: str) -> DataFrame:
-    """``identity, attempt`` of the entities that need more than a first try for their surrogate to be their own."""
+    """``identity, attempt`` of what needs more than a first try for its surrogate to be its own."""
     found = docs.select(F.explode(entities(docs[text_col].cast("string"))).alias("entity")).distinct()
-    own = found.select(identity_of(F.col("entity")).alias("identity"), "entity").groupBy("identity").agg(F.min("entity").alias("entity"))
+    found = found.withColumn("kind", kind_of(F.col("entity")))
+    own = found.select(F.explode(_identities(F.col("entity"), F.col("kind"))).alias("identity"), "entity").groupBy("identity").agg(F.min("entity").alias("entity"))
     own = stored(own.withColumn("attempt", F.lit(0)), "entities")
-    real = own.select(F.col("identity").alias("taken"))
+    # Given names are common to many people, so a surrogate may be another's given name, but not a family name.
+    real = own.select(F.col("identity").alias("taken")).where(~F.col("taken").startswith("given:"))
+    kind, named = F.substring_index("identity", ":", 1), F.substring_index("identity", ":", 2)
+    part = F.struct("identity", "attempt", _seed(F.col("identity"), key, F.col("attempt")).alias("stream"))
     while True:
-        made = own.select("identity", "entity", "attempt", surrogates_of(F.array("entity"), key, lambda _: F.col("attempt"))[0].alias("surrogate"))
-        made = made.withColumn("name", identity_of(F.col("surrogate")))
+        whole = surrogates_of(F.array("entity"), key, lambda _: F.col("attempt"))[0]
+        made = own.withColumn("surrogate", F.when(kind.isin("given", "family"), _part(part, key)).otherwise(whole))
+        made = made.withColumn("name", F.when(kind.isin("given", "family"), F.concat_ws(":", named, "surrogate")).otherwise(_identity(F.col("surrogate"), kind)))
         place = F.row_number().over(Window.partitionBy("name").orderBy("attempt", "identity"))
         made = stored(made.withColumn("place", place).join(real, F.col("name") == F.col("taken"), "left"), "made")
         clash = made.where("place > 1 OR taken IS NOT NULL")
@@ -228,15 +274,16 @@ def with_surrogates(docs: DataFrame, key: str = "tracewell", id_col: str = "doc_
     text, columns = docs[text_col].cast("string"), [c for c in docs.columns if c != count_col]
     rows = docs.select(*columns).withColumn("__found", F.coalesce(entities(text), F.array().cast("array<string>")))
     if more.isEmpty():
-        attempt = lambda entity: F.lit(0)
+        attempt = lambda identity: F.lit(0)
     else:
         # Documents with such entities get the tries as a map.
         held = docs.select(docs[id_col].alias("__id"), F.xxhash64(text).alias("__version"), F.explode(F.array_distinct(entities(text))).alias("entity"))
-        held = held.withColumn("identity", identity_of(F.col("entity"))).join(_small(more), "identity")
-        maps = held.groupBy("__id", "__version").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("__tries"))
+        held = held.withColumn("kind", kind_of(F.col("entity"))).select("__id", "__version", F.explode(_identities(F.col("entity"), F.col("kind"))).alias("identity"))
+        held = held.join(_small(more), "identity")
+        maps = held.groupBy("__id", "__version").agg(F.map_from_entries(F.collect_set(F.struct("identity", "attempt"))).alias("__tries"))
         maps = stored(maps, "maps")
         rows = rows.join(_small(maps), rows[id_col].eqNullSafe(maps["__id"]) & (F.xxhash64(rows[text_col].cast("string")) == maps["__version"]), "left")
-        attempt = lambda entity: F.coalesce(F.element_at(F.col("__tries"), entity), F.lit(0))
+        attempt = lambda identity: F.coalesce(F.element_at(F.col("__tries"), identity), F.lit(0))
     between = F.split(F.col(text_col).cast("string"), ANY, -1)
     made = surrogates_of(F.col("__found"), key, attempt)
     whole = F.array_join(F.zip_with(between, made, lambda part, surrogate: F.concat(part, F.coalesce(surrogate, F.lit("")))), "")
