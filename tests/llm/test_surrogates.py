@@ -132,3 +132,36 @@ def test_people_keep_their_family_across_titles_and_given_names(spark):
         assert m and m[2] == m[3] == m[5] and seen.setdefault(("f", k // 100), m[2]) == m[2]
         assert seen.setdefault(("g", k % 100), m[1]) == m[1] and m[4] not in given
     assert len(set(seen.values())) == len(family) + len(given)
+
+
+def test_long_secrets_and_signs(spark):
+    long = "eyJhbGciOi.Zm9v_YmFy-" * 60
+    texts = [
+        (f"token={long} end", r"token=(\S+) end"),
+        ("password=Pa!$w0rd#x9%zß, then", r"password=(\S+), then"),
+        ("pwd: ab!cdefgh.", r"pwd: (\S+)\."),
+        ('secret="correct horse \\" battery" on', r'secret="(.+)" on'),
+        (f"use ghp_{'A1b2' * 40} now", r"use ghp_(\w+) now"),
+        (f"use sk-{'A1b2' * 40} now", r"use sk-(\w+) now"),
+        ('<a href="/x?token=abcdef123">text</a>', r'<a href="/x\?token=(\w{9})">text</a>'),
+    ]
+    out = found(spark, [(i, t) for i, (t, _) in enumerate(texts)])
+    for i, (text, pattern) in enumerate(texts):
+        old, new = re.fullmatch(pattern, text)[1], re.fullmatch(pattern, out[i].text)
+        assert new and len(new[1]) == len(old) and out[i].n == 1
+        assert not {old[k : k + 5] for k in range(len(old) - 4)} & {new[1][k : k + 5] for k in range(len(old) - 4)}
+        assert i not in (1, 2) or "!" not in new[1] and "ß" not in new[1]
+    many = found(spark, [(1, "token=" + "x7" * 100_000)])[1].text
+    assert len(many) == 200_006 and not many.startswith("token=x7x7x7")
+
+
+def test_whole_names(spark):
+    gone = ["Ronald McDonald", "Conan O'Brien", "Smith-Jones", "Anna Maria Schmidt", "John F. Kennedy", "Jean-Luc Picard", "SMITH"]
+    texts = ["Mr Ronald McDonald ate", "Sir Conan O'Brien ate", "Anna Smith-Jones ate", "Mrs Anna Maria Schmidt ate", "Mr John F. Kennedy ate", "Jean-Luc Picard ate", "Mr SMITH ate"]
+    out = found(spark, list(enumerate(texts)))
+    for i, name in enumerate(gone):
+        assert out[i].n == 1 and out[i].text.endswith(" ate") and out[i].text.split()[-2][-3:].islower()
+        assert not set(re.findall(r"[\w]{2,}", name)) & set(re.findall(r"\w+", out[i].text)) - set(GIVEN["latin", "m"].split() + GIVEN["latin", "f"].split())
+    plain = found(spark, [(1, "Mr Smith's dog; Mr Smith left. Anna went. Anna I'm here.")])[1]
+    m = re.fullmatch(r"Mr (\w+)'s dog; Mr (\w+) left. Anna went. Anna I'm here.", plain.text)
+    assert m and m[1] == m[2] != "Smith" and plain.n == 2

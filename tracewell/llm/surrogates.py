@@ -33,20 +33,25 @@ GIVEN = {
 _SYLLABLES = {"latin": "bar den fal gor hal ker lan mor nel par ral sal tor val wen zan", "cyrillic": "бар ден фал гор зал кер лан мор нел пар рал сал тор вал вен жан"}
 _ENDINGS = {("latin", "m"): "son ley man berg ton", ("latin", "f"): "son ley man berg ton", ("cyrillic", "m"): "ов ин ский ев", ("cyrillic", "f"): "ова ина ская ева"}
 
-_UP, _LOW = r"\p{Lu}", r"[\p{Ll}'’\-]"
 _titles = "|".join(t for ts in TITLES.values() for t in ts.split())
 _given = "|".join(n for ns in GIVEN.values() for n in ns.split())
 _edge = r"(?<![\p{L}\p{N}])"
+# A part of a name: inner capitals, apostrophes and hyphens, but not the 's after it; or an initial.
+_word = r"\p{Lu}(?:[\p{L}\p{M}]|['’]\p{Lu})[\p{L}\p{M}]*+(?:-[\p{L}\p{M}]++|['’]\p{L}[\p{L}\p{M}]++)*+"
+_more = rf"(?: (?:\p{{Lu}}\. (?=\p{{Lu}}))*+{_word})"
+# A value ends with its closing quote, else before blanks and what closes a phrase there.
+_quoted = r"\"(?=[^\"\r\n]{6})(?:[^\"\\\r\n]++|\\.)*+\"|'(?=[^'\r\n]{6})(?:[^'\\\r\n]++|\\.)*+'"
+_bare = r"[\"']?(?=[^\s]{6})(?:[^\s\"'`<,;.:)\]}>]++|<(?!/)|[\"'`](?=[\p{L}\p{N}])|[,;.:)\]}>]++(?![\s\"'`<]|\z))++"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[ \t]{0,4}[=:][ \t]{0,4}[\"']?[A-Za-z0-9_\-+/.~]{6,256}[\"']?",
-    "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,64}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[ \t]{0,4}[=:][ \t]{0,4}(?:" + f"{_quoted}|{_bare})",
+    "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|sk-[A-Za-z0-9]{20,}+)(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
     "ssn": r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])",
     "phone": r"(?<![0-9A-Za-z+])(?:(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}|\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5})(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])",
-    "name": rf"{_edge}(?:(?:{_titles})\.? {_UP}{_LOW}{{1,30}}(?: {_UP}{_LOW}{{1,30}})?|(?:{_given}) {_UP}{_LOW}{{1,30}})(?!\p{{L}})",
+    "name": rf"{_edge}(?:(?:{_titles})\.?{_more}++|(?:{_given})(?:-[\p{{L}}\p{{M}}]++)*+(?!\p{{L}}){_more}++)(?!\p{{L}})",
 }
 ANY = "|".join(PATTERNS.values())
 
@@ -100,18 +105,22 @@ def _number(stream: Column, at: Column | int, size: int) -> Column:
     return F.pmod(F.conv(F.substring(stream, start, F.lit(4)), 16, 10).cast("int"), F.lit(size))
 
 
-def _mapped(text: Column, stream: Column) -> Column:
-    """Digits for digits and letters for letters, by their number among both, so separators don't matter.
+def _mapped(text: Column, stream: Column, separated: bool = False, signs: bool = False) -> Column:
+    """Digits for digits and letters for letters, by their place.
 
-    Hexadecimal text stays hexadecimal, and the first digit is not zero.
+    In ``separated`` text the place is the number among both, so separators don't matter. Hexadecimal text stays
+    hexadecimal, letters beyond ASCII become ASCII ones, and the first digit is not zero. ``signs`` maps signs as well,
+    but for those that divide a text: - _ . / + = : , ; and brackets.
     """
 
     def one(c: Column, i: Column, whole: Column) -> Column:
-        at = F.length(F.regexp_replace(F.substring(whole["text"], F.lit(1), i), "[^A-Za-z0-9]", ""))
+        at = F.length(F.regexp_replace(F.substring(whole["text"], F.lit(1), i), "[^A-Za-z0-9]", "")) if separated else i
         number = _number(whole["stream"], at, 9 * 26 * 10)
         digit = F.when(at == 0, 1 + F.pmod(number, F.lit(9))).otherwise(F.pmod(number, F.lit(10)))
         letter = F.pmod(number, whole["letters"])
-        return F.when(c.rlike("[0-9]"), digit.cast("string")).when(c.rlike("[a-z]"), F.char(97 + letter)).when(c.rlike("[A-Z]"), F.char(65 + letter)).otherwise(c)
+        out = F.when(c.rlike("[0-9]"), digit.cast("string")).when(c.rlike("[a-z]"), F.char(97 + letter)).when(c.rlike("[A-Z]"), F.char(65 + letter))
+        out = out.when(c.rlike(r"[^\x00-\x7F]"), F.char(97 + letter))
+        return (out.when(c.rlike(r"[!#$%&*?@^~|]"), F.substring(F.lit("#$%&*@^~"), 1 + F.pmod(number, F.lit(8)), F.lit(1))) if signs else out).otherwise(c)
 
     letters = F.when(text.rlike("^[0-9a-f]*[\"']?$"), F.lit(6)).otherwise(F.lit(26))
     whole = F.array(F.struct(text.alias("text"), stream.alias("stream"), letters.alias("letters")))
@@ -135,7 +144,7 @@ def _person(entity: Column) -> Column:
     first = F.regexp_replace(parts[0], r"\.$", "")
     titled = first.isin([t for ts in TITLES.values() for t in ts.split()])
     women = [n for (_, g), ns in GIVEN.items() if g == "f" for n in ns.split()]
-    female = F.when(titled, first.isin(TITLES["f"].split())).otherwise(first.isin(women))
+    female = F.when(titled, first.isin(TITLES["f"].split())).otherwise(F.substring_index(first, "-", 1).isin(women))
     family = F.element_at(parts, -1)
     return F.struct(
         F.when(titled, parts[0]).alias("title"),
@@ -201,9 +210,9 @@ def _address(entity: Column, stream: Column, attempt: Column) -> Column:
     return F.when(attempt > SAME_FAMILY, unique).when(inside == "", public).otherwise(private)
 
 
-def _rest(text: Column, head: Column, stream: Column) -> Column:
+def _rest(text: Column, head: Column, stream: Column, **how: bool) -> Column:
     """The head kept, the rest mapped."""
-    return F.concat(head, _mapped(F.substring(text, F.length(head) + 1, F.length(text)), stream))
+    return F.concat(head, _mapped(F.substring(text, F.length(head) + 1, F.length(text)), stream, **how))
 
 
 def _replaced(s: Column, key: str) -> Column:
@@ -216,13 +225,13 @@ def _replaced(s: Column, key: str) -> Column:
     country = F.when(entity.startswith("+"), F.coalesce(F.nullif(F.regexp_extract(entity, r"^\+[0-9]{1,3}(?=[ .(\-])", 0), F.lit("")), F.substring(entity, 1, 3))).otherwise(F.lit(""))
     made = {
         "email": email,
-        "secret": _rest(entity, F.regexp_extract(entity, r"^[A-Za-z_\-]+[ \t]*[=:][ \t]*[\"']?", 0), stream),
+        "secret": _rest(entity, F.regexp_extract(entity, r"^[A-Za-z_\-]+[ \t]*[=:][ \t]*[\"']?", 0), stream, signs=True),
         "key": _rest(entity, F.regexp_extract(entity, "^(?:AKIA|gh[pousr]_|sk-)", 0), stream),
-        "iban": _rest(entity, F.substring(entity, 1, 2), stream),
+        "iban": _rest(entity, F.substring(entity, 1, 2), stream, separated=True),
         "ip": _address(whole, stream, attempt),
-        "phone": _rest(entity, country, stream),
-        "card": _checked(whole, _rest(entity, F.substring(entity, 1, 1), stream)),
-        "ssn": _mapped(entity, stream),
+        "phone": _rest(entity, country, stream, separated=True),
+        "card": _checked(whole, _rest(entity, F.substring(entity, 1, 1), stream, separated=True)),
+        "ssn": _mapped(entity, stream, separated=True),
     }
     out = F.array_join(F.concat(F.array(s["title"]), F.transform(s["pieces"], lambda p: _part(p, key))), " ")
     for name, value in made.items():
