@@ -35,11 +35,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents the one with the smallest id stays (null last); equal rows of an id are one."""
-    first = similar_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id", "text"])
+        first = similar_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
+        return docs.join(first, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    # Where ids repeat, a row is known by its id and text together.
+    part = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in ("doc_id", "text")]
+    rows = docs.withColumn("__key", F.md5(F.concat(part[0], F.lit("|"), part[1]).cast("binary")))
+    groups = similar_components(rows, id_col="__key").select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    named = rows.select("__key", "doc_id").distinct().join(groups, "__key")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))["__key"].alias("__key"))
+    return rows.join(first.select("__key"), "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def replace_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,3 +93,15 @@ def test_entry_registers_everything():
     names = set(__spark_entry__.queries())
     assert set(LLM_QUERIES) | {"pipeline"} <= names and set(LLM_ORACLES) <= set(__spark_entry__.oracle_sql())
     assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 11))
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(60)) for _ in range(6)]
+    near = [t + " more" for t in texts]
+    rows = [(5, texts[0]), (5, near[1]), (3, texts[1]), (7, texts[2]), (7, near[2]), (None, texts[3]), (None, near[3]), (None, near[1]), (None, texts[4]), (None, ""), (8, near[4]), (9, texts[5]), (9, texts[5]), (None, texts[5]), (None, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], DOCS)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    fixed = [(5, texts[0]), (3, texts[1]), (8, near[4]), (9, texts[5]), (None, ""), (None, None)]
+    assert len(kept) == len(fixed) + 2 and set(fixed) < set(kept)
+    assert sum(k == 7 for k, _ in kept) == 1 and sum(r in kept for r in [(None, texts[3]), (None, near[3])]) == 1
