@@ -81,3 +81,21 @@ def test_what_only_looks_like_a_record(spark):
 
 def test_empty_table(spark):
     assert archived_pages(frame(spark, [])).collect() == []
+
+
+def test_long_urls_and_ids(spark):
+    big = 10**18 + 7
+    rows = [(k, "http://a/?" + "q" * size, BIG + str((k or 0) % 3), "x", 1) for k, size in [(big, 100_000), (2**63 - 1, 70_000), (-(2**63), 5), (big + 1, 5), (big + 3, 200_000), (None, 100_000), (4, 5)]]
+    assert sorted(map(tuple, archived_pages(frame(spark, rows).coalesce(1)).collect()), key=str) == brute(rows)
+
+
+def test_archives_of_any_name(spark, tmp_path):
+    (tmp_path / "crawl-0001.warc").write_bytes(FAKE.encode() * 2)
+    (tmp_path / "b.warc").write_bytes(FAKE.encode())
+    assert [r.page_id for r in read_warc(spark, str(tmp_path)).collect()] == [99] * 3
+
+
+def test_many_beginnings_without_an_end():
+    payload = b"WARC/1.1\r\n" * 400_000 + b"WARC/1.1\r\n\r\n" * 100_000
+    record = b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (len(payload), payload)
+    assert [c[:2] for c in candidates(record * 2)] == [(0, len(record)), (len(record), 2 * len(record))]

@@ -28,7 +28,7 @@ BROADCAST_ROWS = 100_000  # repeated payloads up to this many are broadcast; bey
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 _LENGTH = re.compile(rb"(?:^|\r\n)content-length:[ \t]*(\d+)[ \t]*(?:\r\n|$)", re.I)
 _FIELD = re.compile(rb"(?:^|\r\n)([^:\r\n]+):[ \t]*([^\r\n]*)")
-HEADER_BYTES = 64 << 10  # a header ends within so many bytes
+_LONG = 1 << 63
 RECORD = "path string, start long, next long, size long, record_type string, record_id string, target_uri string, page_id long, refers_to long, payload_bytes long, payload_digest string"
 
 
@@ -86,12 +86,21 @@ def write_warc(pages: DataFrame, folder: str | None = None, revisit_bytes: int =
     return folder
 
 
+def _whole(text: bytes) -> int | None:
+    """The number that a text holds, if it is one of 64 bits."""
+    value = int(text) if re.fullmatch(rb"-?\d{1,19}", text) else _LONG
+    return value if -_LONG <= value < _LONG else None
+
+
 def candidates(content: bytes, with_payload: bool = False) -> Iterator[tuple]:
     """Every place where a record seems to begin, with its successor; digests only where the successor can be one."""
     size = len(content)
     for found in _MAGIC.finditer(content):
         start = found.start()
-        end = content.find(b"\r\n\r\n", found.end(), found.end() + HEADER_BYTES)
+        # A record follows the end of another, so no header reaches beyond the next candidate.
+        if start and content[max(0, start - 4) : start] != b"\r\n\r\n":
+            continue
+        end = content.find(b"\r\n\r\n", found.end() - 2)
         if end < 0:
             continue
         head = content[found.end() : end]
@@ -107,7 +116,7 @@ def candidates(content: bytes, with_payload: bool = False) -> Iterator[tuple]:
             continue
         fields = {k.strip().lower(): v.strip() for k, v in _FIELD.findall(head)}
         text = lambda name: fields[name].decode("utf-8", "replace") if name in fields else None
-        number = lambda name: int(fields[name]) if re.fullmatch(rb"-?\d{1,18}", fields.get(name, b"")) else None
+        number = lambda name: _whole(fields.get(name, b""))
         payload, count, digest = content[begin:stop], None, None
         kind = text(b"warc-type")
         if b"http" in fields.get(b"content-type", b"") and payload.startswith(b"HTTP/"):
@@ -164,16 +173,16 @@ def read_warc(spark, folder: str, with_payload: bool = False) -> DataFrame:
                     columns = [[path] * len(rows), *map(list, zip(*rows))]
                     yield pa.RecordBatch.from_pandas(pd.DataFrame(dict(zip(names, columns)), dtype=object), schema=_arrow(schema), preserve_index=False)
 
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows[reachable(rows["start"].to_numpy(np.int64), rows["next"].to_numpy(np.int64))]
+    def chain(rows: pa.Table) -> pa.Table:  # in Arrow, as pandas would round long ids beside nulls
+        return rows.filter(pa.array(reachable(rows["start"].to_numpy(), rows["next"].to_numpy())))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").load(folder).select("path", "content")
     found = files.mapInArrow(run, schema)
     edges = found.select("path", "start", "next")
-    kept = edges.groupBy("path").applyInPandas(chain, "path string, start long, next long") if with_payload else None
+    kept = edges.groupBy("path").applyInArrow(chain, "path string, start long, next long") if with_payload else None
     if with_payload:  # payloads stay where they are read; only the offsets go through the chain
         return found.join(kept.select("path", "start"), ["path", "start"], "left_semi")
-    return found.groupBy("path").applyInPandas(chain, schema)
+    return found.groupBy("path").applyInArrow(chain, schema)
 
 
 def _arrow(schema: str) -> pa.Schema:
