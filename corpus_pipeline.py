@@ -29,8 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that resemble an earlier line go; ``n_chars`` follows the text."""
-    return _measured(docs, dedup_lines(docs))
+    """Lines with words that resemble an earlier line go, short ones too; ``n_chars`` follows the text."""
+    return _measured(docs, dedup_lines(docs, least_words=1))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

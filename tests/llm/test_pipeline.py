@@ -105,3 +105,10 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     fixed = [(5, texts[0]), (3, texts[1]), (8, near[4]), (9, texts[5]), (None, ""), (None, None)]
     assert len(kept) == len(fixed) + 2 and set(fixed) < set(kept)
     assert sum(k == 7 for k, _ in kept) == 1 and sum(r in kept for r in [(None, texts[3]), (None, near[3])]) == 1
+
+
+def test_short_boilerplate_goes(spark):
+    texts = ["Accept all cookies\none two three four five\n\n使用条款和隐私政策请阅读全文", "Accept all cookies\nsix seven\n\n使用条款和隐私政策请阅读全文", "Accept all cookies"]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], DOCS)
+    kept = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert kept == {0: texts[0], 1: "six seven\n", 2: ""}
