@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewell.llm.alignment import aligned_documents
 from tracewell.llm.common import table
 from tracewell.llm.jaccard import similar_components
 from tracewell.llm.lines import dedup_lines
@@ -128,3 +129,8 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_pii_surrogates")
 def pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     return with_surrogates(table(spark, folder, "documents"), count_col="entities").select("doc_id", "text", "entities")
+
+
+@query("op12_token_alignment")
+def token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return aligned_documents(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
