@@ -10,6 +10,7 @@ from tracewell.llm.alignment import aligned_documents
 from tracewell.llm.common import table
 from tracewell.llm.jaccard import similar_components
 from tracewell.llm.lines import dedup_lines
+from tracewell.llm.merkle import tampered_manifest
 from tracewell.llm.multi_index import nearest_neighbours
 from tracewell.llm.packing import packed_documents
 from tracewell.llm.pieces import encoding_digests
@@ -134,3 +135,48 @@ def pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_token_alignment")
 def token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return aligned_documents(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ("doc_id", "source", "lang", "n_chars", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen(({f})::VARCHAR) || ':' || ({f})::VARCHAR, '-')" for f in fields) + ")"
+
+
+@query(
+    "op13_merkle_manifest",
+    f"""
+    WITH RECURSIVE leaves AS MATERIALIZED (
+        SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+        FROM (SELECT doc_id, lang, {_leaf_sql("text")} AS leaf,
+            CASE WHEN xor(list_reduce([4294967295] || list_transform(range(1, strlen(doc_id::VARCHAR) + 1), lambda i: ord(substr(doc_id::VARCHAR, i, 1))),
+                lambda c, b: list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)),
+                4294967295) % 3 = 0
+            THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed FROM documents)),
+    low AS (
+        SELECT 0 AS lvl, lang, pos, leaf AS h, n FROM leaves
+        UNION ALL
+        SELECT lvl + 1, lang, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM low WHERE n > 1 GROUP BY lvl, lang, pos // 8),
+    subroots AS MATERIALIZED (SELECT lang, lvl AS depth, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+    high AS (
+        SELECT 0 AS lvl, pos, h, n FROM subroots
+        UNION ALL
+        SELECT lvl + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM high WHERE n > 1 GROUP BY lvl, pos // 8),
+    low_runs AS (SELECT lang, lvl, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM low WHERE n > 1 GROUP BY ALL),
+    high_runs AS (SELECT lvl, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM high WHERE n > 1 GROUP BY ALL),
+    steps AS MATERIALIZED (
+        SELECT rid, step, array_to_string(hs[1:k], '') AS before, array_to_string(hs[k + 2:], '') AS after FROM (
+            SELECT rid, lvl AS step, hs, (pos >> (3 * lvl)) % 8 AS k FROM leaves l JOIN low_runs r ON l.lang IS NOT DISTINCT FROM r.lang AND r.run = l.pos >> (3 * lvl + 3)
+            UNION ALL
+            SELECT rid, depth + lvl, hs, (s.pos >> (3 * lvl)) % 8 FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang JOIN high_runs r ON r.run = s.pos >> (3 * lvl + 3))),
+    folded AS (
+        SELECT rid, 0 AS step, coalesce(changed, leaf) AS h FROM leaves
+        UNION ALL
+        SELECT rid, f.step + 1, sha256(before || h || after) FROM folded f JOIN steps USING (rid, step)),
+    tops AS (SELECT rid, arg_max(h, step) AS folded_root FROM folded GROUP BY rid),
+    proofs AS (SELECT rid, string_agg(before || after, '' ORDER BY step) AS proof FROM steps GROUP BY rid)
+    SELECT l.doc_id, l.leaf, s.h AS subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+    FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang JOIN tops USING (rid) LEFT JOIN proofs USING (rid), (SELECT h AS root FROM high WHERE n = 1)
+    """,
+)
+def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return tampered_manifest(table(spark, folder, "documents"))
