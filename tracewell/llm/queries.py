@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracewell.llm.alignment import aligned_documents
+from tracewell.llm.chat import formatted_conversations
 from tracewell.llm.common import table
 from tracewell.llm.jaccard import similar_components
 from tracewell.llm.lines import dedup_lines
@@ -180,3 +182,30 @@ def _leaf_sql(text: str) -> str:
 )
 def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return tampered_manifest(table(spark, folder, "documents"))
+
+
+@query(
+    "op11_chat_format",
+    r"""
+    WITH turns AS (
+        SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    sized AS (
+        SELECT *, length(text) + length(text) - length(replace(text, '\', ''))
+            + len(regexp_extract_all(text, '</?s>|<</?SYS>>|\[/?(INST|ROLE|NONE)\]|\[TEXT\]'))
+            + CASE role WHEN 'system' THEN 17 WHEN 'user' THEN 15 WHEN 'assistant' THEN 6 ELSE coalesce(23 + length(role), 17) END AS chars
+        FROM turns)
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text))) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text)) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        CAST(3 + sum(chars) AS BIGINT) AS formatted_chars
+    FROM sized GROUP BY conv_id
+    """,
+)
+def chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and one that says control strings."""
+    says = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(says).alias("text"))
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return formatted_conversations(rows.unionByName(extra))
