@@ -67,7 +67,7 @@ def test_strict_and_tolerant(spark, tmp_path):
     path = tmp_path / "bad.csv"
     path.write_text("id,name\n1,a\nx,b\n3,c\n")
     schema = "id int, name string"
-    with pytest.raises(Exception, match="MALFORMED|malformed|FAILFAST"):
+    with pytest.raises(readers.LogParseError, match="rows do not parse"):
         readers.load_log(spark, str(path), schema=schema).events.collect()
     loaded = readers.load_log(spark, str(path), mode="tolerant", schema=schema)
     assert sorted(r["id"] for r in loaded.events.collect()) == [1, 3]
@@ -76,16 +76,97 @@ def test_strict_and_tolerant(spark, tmp_path):
 
 
 def test_malformed_xes_is_set_aside(spark, tmp_path):
-    """A file that is not well-formed is rejected as a whole; the other files of the folder are read."""
+    """A trace that is not well-formed is one reject; all other traces of the file and of the folder are read."""
     folder = tmp_path / "logs.xes"
     folder.mkdir()
     (folder / "good.xes").write_text(XES)
     (folder / "bad.xes").write_text(XES.replace('<int key="amount" value="7"/>', '<int key="amount" value="7">'))
+    (folder / "cut.xes").write_text(XES[: XES.index("<event>", XES.index('value="2"'))])
     loaded = readers.load_log(spark, str(folder), mode="tolerant")
-    assert loaded.events.count() == 3
-    assert loaded.rejects.count() == 1
-    with pytest.raises(Exception, match="MALFORMED|malformed|FAILFAST"):
-        readers.load_log(spark, str(folder)).events.collect()
+    assert loaded.events.count() == 3 + 1 + 2
+    rejects = sorted(r[0] for r in loaded.rejects.collect())
+    assert len(rejects) == 2 and all(r.startswith("<trace>") for r in rejects)
+    for named in (None, {"amount": "int"}):
+        with pytest.raises(readers.LogParseError, match="rows do not parse; in the whole log 2"):
+            readers.load_log(spark, str(folder), trace_attributes=named)
+
+
+NESTED = """<?xml version='1.0'?>
+<log><global scope="trace"><string key="concept:name" value="x"/></global>
+<trace ><string key="concept:name" value="1"><date key="since" value="2020-01-01T00:00:00Z"/></string>
+  <float key="Cost" value="2"/><list key="tags"><values><string key="t" value="u&amp;v"/><int key="t" value="3"/></values></list>
+  <event><string value="a" key="concept:name"/><int key="cost" value="1"/><boolean key="mixed" value="true"/>
+    <string key="outer" value="o"><int key="in" value="5"><id key="deep" value="d"/></int></string></event>
+  <event><string key="concept:name" value="b"/><float key="cost" value="1.5"/><int key="mixed" value="7"/></event></trace >
+<trace/><trace><string key="concept:name" value="2"/></trace>
+<trace><event><string key="concept:name" value="c &lt;/trace&gt;"/><int key="cost" value="many"/></event></trace></log>
+"""
+
+
+def test_every_xes_attribute_arrives_with_its_type(spark, tmp_path):
+    (tmp_path / "n.xes").write_text(NESTED)
+    events = readers.load_log(spark, str(tmp_path / "n.xes")).events
+    assert dict(events.dtypes) == {
+        "case:concept:name": "string", "case:concept:name/since": "timestamp", "case:Cost": "double", "case:tags": "array<string>", "event_index": "int",
+        "concept:name": "string", "time:timestamp": "timestamp", "org:resource": "string", "lifecycle:transition": "string",
+        "cost": "double", "mixed": "string", "outer": "string", "outer/in": "bigint", "outer/in/deep": "string",
+    }
+    rows = [r.asDict() for r in events.orderBy("concept:name").collect()]
+    assert [(r["case:concept:name"], r["event_index"], r["concept:name"], r["cost"], r["mixed"]) for r in rows] == [
+        ("1", 0, "a", 1.0, "true"), ("1", 1, "b", 1.5, "7"), (None, 0, "c </trace>", None, None)]
+    assert (rows[0]["outer"], rows[0]["outer/in"], rows[0]["outer/in/deep"], rows[1]["outer/in"]) == ("o", 5, "d", None)
+    assert rows[0]["case:tags"] == ["u&v", "3"] and rows[0]["case:Cost"] == 2.0 and rows[0]["case:concept:name/since"].year == 2020
+
+
+def test_names_that_differ_in_case_only(spark, tmp_path):
+    text = XES.replace('<float key="cost" value="1.5"/>', '<float key="cost" value="1.5"/><int key="Cost" value="9"/><int key="Event_Index" value="4"/>')
+    (tmp_path / "c.xes").write_text(text)
+    events = readers.load_log(spark, str(tmp_path / "c.xes")).events
+    assert [c for c in events.columns if c.lower().startswith(("cost", "event_i"))] == ["event_index", "Cost", "Event_Index_2", "cost_2"]
+    assert events.where("cost = 9 AND cost_2 = 1.5 AND Event_Index_2 = 4").count() == 1
+
+
+def test_a_plain_xes_file_is_read_in_several_tasks(spark, tmp_path):
+    trace = XES[XES.index("<trace>") : XES.index("</trace>") + 8]
+    (tmp_path / "big.xes").write_text("<log>\n" + "\n".join(trace.replace('value="1"', f'value="{k}"') for k in range(3000)) + "\n</log>")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        traces = readers.xes_traces(spark, str(tmp_path / "big.xes"))
+        assert traces.rdd.getNumPartitions() > 5
+        events = readers.load_log(spark, str(tmp_path / "big.xes")).events
+        assert (events.count(), events.select("case:concept:name").distinct().count()) == (6000, 3000)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_times_of_a_csv_are_found(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text(
+        "a,b,c,d,e,f,g\n2015.02.10,2015-02-10T08:00:00.5+01:00,10/02/2015,1.2.3,2015-01-01,,31/12/2015 10:00\n"
+        "2015.02.11,2015-02-10 09:00:00Z,02/10/2015,x,2015-01-01 10:00:00,,1/2/2015 7:00\n"
+        "2015.02.12,,13/13/2015,y,no,,30/12/2015 11:30\n"
+    )
+    loaded = readers.load_log(spark, str(path)).events
+    kinds = dict(loaded.dtypes)
+    assert {k for k, v in kinds.items() if v == "timestamp_ntz"} == {"a", "b"}
+    rows = loaded.orderBy("a").collect()
+    assert str(rows[0]["a"]) == "2015-02-10 00:00:00" and str(rows[0]["b"]) == "2015-02-10 07:00:00.500000" and rows[2]["b"] is None
+    assert dict(readers.load_log(spark, str(path), timestamp_formats={}).events.dtypes)["a"] == "string"
+    assert dict(readers.load_log(spark, str(path), mode="tolerant").events.dtypes)["a"] == "timestamp_ntz"
+
+
+def test_training_reads_the_golden_csv(spark, tmp_path):
+    """The command line trains on a log with dotted dates; nothing says which column holds times."""
+    from tracewell.plans import training
+
+    lines = ["case:concept:name,concept:name,time:timestamp"] + [f"{c},{a},{t[:10].replace('-', '.')}" for c, a, t in golden_rows()]
+    (tmp_path / "log.csv").write_text("\n".join(lines) + "\n")
+    training.main([str(tmp_path / "log.csv"), str(tmp_path / "run"), "--phase", "buckets"])
+    (record,) = spark.read.parquet(str(tmp_path / "run" / "records")).collect()
+    assert (record["cases"], record["events"], record["activities"]) == (6, 23, 5)
+    hours = {r["hours"] for r in TransitionModel.load(spark, str(tmp_path / "run" / "buckets")).states.select("hours").collect()}
+    assert max(hours) <= 96
 
 
 def test_folder_inventory(spark, tmp_path):
