@@ -1,8 +1,10 @@
-"""Predictions for running cases as events arrive.
+"""Predictions for running cases as events arrive, in whatever order they do.
 
-Each case keeps a small state: how many events it has had, its newest activities, its first and last
-time. Every trigger emits the cases that moved, joined with the trained state table. The state of a case
-does not grow with the case and is dropped when the case has been quiet for longer than the time-out.
+Each case keeps a small state: how many events it has had, its newest activities with their times and tie-breaks in
+order, its first and last time. A late event takes its place by time, so what a case ends with does not depend on the
+order of arrival or on how events fall into triggers. Every trigger emits the cases that moved, joined with the
+trained state table. The state of a case does not grow with the case and is dropped when the case has been quiet for
+longer than the time-out.
 """
 
 from __future__ import annotations
@@ -19,26 +21,33 @@ from tracewell.functions.columns import epoch_micros
 from tracewell.plans.prediction import HORIZON, TransitionModel, as_response, predict
 
 OUTPUT = "case_id string, activities array<string>, prefix_length bigint, start_micros bigint, last_micros bigint"
-STATE = "activities array<string>, length bigint, start_micros bigint, last_micros bigint"
+STATE = (
+    "micros array<bigint>, tiebreaks array<{kind}>, activities array<string>, length bigint, start_micros bigint, "
+    "last_micros bigint"
+)
+# Events of a case in the same second may travel together; lateness is judged for them as one.
+GRAIN_MICROS = 1_000_000
 
 
-def _combine(horizon: int) -> Callable:
-    """Reduce each Arrow batch to one row per case before the shuffle, so a hot case stays small."""
+def _combine(horizon: int, grain: int) -> Callable:
+    """Reduce each Arrow batch to one row per case and second before the shuffle, so a hot case stays small."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if batch.empty:
                 continue
-            ordered = batch.sort_values(["case_id", "micros", "tiebreak"]).groupby("case_id", sort=True)
-            spans = ordered["micros"].agg(["size", "min", "max"])
-            newest = ordered.tail(horizon).groupby("case_id", sort=True).agg(list)
+            batch["second"] = batch["micros"] // grain
+            keys = ["case_id", "second"]
+            ordered = batch.sort_values([*keys, "micros", "tiebreak"], na_position="first").groupby(keys, sort=True)
+            spans = ordered["micros"].agg(["size", "min", "max"]).reset_index()
+            newest = ordered.tail(horizon).groupby(keys, sort=True).agg(list)
             yield pd.DataFrame(
                 {
-                    "case_id": spans.index,
-                    "ts": pd.to_datetime(spans["max"].to_numpy(), unit="us", utc=True),
-                    "events": spans["size"].to_numpy(),
-                    "low": spans["min"].to_numpy(),
-                    "high": spans["max"].to_numpy(),
+                    "case_id": spans["case_id"],
+                    "ts": pd.to_datetime(spans["max"], unit="us", utc=True),
+                    "events": spans["size"],
+                    "low": spans["min"],
+                    "high": spans["max"],
                     "micros": newest["micros"].to_numpy(),
                     "tiebreaks": newest["tiebreak"].to_numpy(),
                     "activities": newest["activity"].to_numpy(),
@@ -48,13 +57,24 @@ def _combine(horizon: int) -> Callable:
     return partial
 
 
+def _place(event: tuple) -> tuple:
+    """Where an event stands in its case: time, then tie-break, nulls first."""
+    micros, tiebreak, _ = event
+    return micros, tiebreak is not None, 0 if tiebreak is None else tiebreak
+
+
+def _plain(value):
+    """The value as Python's own type, which the state store can read."""
+    return value.item() if hasattr(value, "item") else value
+
+
 def _advance(horizon: int, timeout_ms: int) -> Callable:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        activities, length, start, last = state.get if state.exists else ([], 0, None, None)
-        newest: list[tuple] = []
+        *kept, length, start, last = state.get if state.exists else ([], [], [], 0, None, None)
+        newest = list(zip(*kept, strict=True))
         for batch in batches:
             length += int(batch["events"].sum())
             low, high = int(batch["low"].min()), int(batch["high"].max())
@@ -62,9 +82,9 @@ def _advance(horizon: int, timeout_ms: int) -> Callable:
             last = high if last is None else max(last, high)
             for row in batch.itertuples():
                 newest += zip(row.micros, row.tiebreaks, row.activities, strict=True)
-                newest = sorted(newest)[-horizon:]
-        activities = (list(activities) + [activity for _, _, activity in newest])[-horizon:]
-        state.update((activities, length, start, last))
+            newest = sorted(newest, key=_place)[-horizon:]
+        micros, tiebreaks, activities = ([_plain(e[k]) for e in newest] for k in range(3))
+        state.update((micros, tiebreaks, activities, length, start, last))
         # The time-out must lie past the watermark that has already been reached.
         state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + timeout_ms)
         yield pd.DataFrame(
@@ -89,9 +109,9 @@ def running_cases(
 ) -> DataFrame:
     """Stream of ``case_id, activity, ts, <tiebreak>`` to one row per case that moved in a trigger.
 
-    Within a trigger a case's events are put in time order; across triggers they count in order of
-    arrival. Events are combined per input batch first, and a combined row is late, and dropped, when
-    its newest event is older than the watermark.
+    The events of a case count in the order of time and tie-break, also across triggers. An event is late, and
+    dropped, when it is older than the watermark; only events of one case in the same second share that decision.
+    A case that comes back after its time-out begins anew.
     """
     slim = events.select(
         F.col("case_id").cast("string").alias("case_id"),
@@ -101,7 +121,7 @@ def running_cases(
     ).where("case_id IS NOT NULL AND micros IS NOT NULL")
     kind = dict(slim.dtypes)["tiebreak"]
     combined = slim.mapInPandas(
-        _combine(horizon),
+        _combine(horizon, GRAIN_MICROS),
         "case_id string, ts timestamp, events bigint, low bigint, high bigint, micros array<bigint>, "
         f"tiebreaks array<{kind}>, activities array<string>",
     )
@@ -109,7 +129,11 @@ def running_cases(
         combined.withWatermark("ts", watermark)
         .groupBy("case_id")
         .applyInPandasWithState(
-            _advance(horizon, quiet_days * 86_400_000), OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout
+            _advance(horizon, quiet_days * 86_400_000),
+            OUTPUT,
+            STATE.format(kind=kind),
+            "update",
+            GroupStateTimeout.EventTimeTimeout,
         )
     )
 
