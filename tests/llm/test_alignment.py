@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tracewell.llm import alignment
-from tracewell.llm.alignment import CUT, aligned_documents, aligner, byte_of_letter, packed, token_ends, unpacked
+from tracewell.llm.alignment import aligned_documents, aligner, byte_of_letter, packed, token_ends, unpacked
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [None, "", " ", "a", "a", "  a  b ", "Iechä 日本𝄞.\nErst, it's 12 <|endoftext|> <s></s> x", "ab ▁ cd", "\n\nx \n y", "a\x1cb \x00 c", "  　z\t",
@@ -120,7 +120,7 @@ def twice_groups():
 @given(st.text(alphabet=st.one_of(st.sampled_from("ab theE.,'s1\n\r\t ▁é日😀"), st.characters(exclude_categories=["Cs"])), min_size=1, max_size=50))
 def test_segments_give_the_tokens_of_whole_texts(text):
     own = aligner(A, B)
-    parts = CUT.split(" " + text)
+    parts = own.cut.split(" " + text)
     found, want = list(own.align(parts)), plain_tokens(text)
     if want is None:
         assert None in found

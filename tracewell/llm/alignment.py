@@ -2,35 +2,41 @@
 
 A is a byte-level vocabulary of the ``tokenizers`` library and reads the text behind one blank; B is a vocabulary of
 the sentencepiece library, which adds that blank itself. The libraries' spans are the coarse cuts: A's character
-offsets and the byte spans of B's proto. Where a span does not end with its token (a character in several tokens, or
-in byte pieces) the cut follows from the bytes the tokens decode to.
+offsets and those of B's immutable proto, which this version of the library hands out as its offset mapping. Where a
+span does not end with its token (a character in several tokens, or in byte pieces) the cut follows from the bytes
+the tokens decode to.
 
-A text is cut into segments in front of single blanks and line ends between other characters. No token of either
-vocabulary reaches across such a place, so a segment is aligned once and remembered, and a text is the sequence of its
-segments. The counts of id pairs over the corpus come back to the documents in slices: each slice of documents has a
+A text is cut into segments in front of single blanks and line ends between other characters, and between letters and
+stops where B allows it. No token of either vocabulary reaches across such a place, so a segment is aligned once and
+remembered, and a text is the sequence of its segments. The counts of id pairs over the corpus come back to the documents in slices: each slice of documents has a
 dictionary of its pairs, dealt into blocks by B's id, and only those blocks meet the table of counts.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import slices, stored, strings, whole_text
 
-CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-CACHED = 800_000  # segments that a worker remembers
-SLICE_CHARS = 8_000_000  # characters of the texts of a slice
+CUT = r"(?<=\S)(?=[ \n]\S)"
+LETTER, STOP = "[a-zà-öø-ÿ]", "[.,]"  # a cut between the two as well, if no piece of B holds them side by side
+CACHED = 300_000  # segments that a worker remembers; beyond them those that occurred once go
+BATCH = 4_096  # segments that the libraries encode in one call
+SLICE_CHARS = 2_000_000  # characters of the texts of a slice
 BLOCKS = 256  # parts of the pair table, by B's id
 SLICES_A_GROUP = 64  # slices that meet one copy of a block
 HELD_PAIRS = 2_000_000  # pairs that a task sums up before it hands them on
@@ -86,6 +92,7 @@ class Aligner:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         self.b = sp = sentencepiece.SentencePieceProcessor(model_file=b_path)
@@ -100,11 +107,28 @@ class Aligner:
         words = [] if self.a.pre_tokenizer is None else [w for w, _ in self.a.pre_tokenizer.pre_tokenize_str(" a 1.\nb ... c\n")]
         if self.a.normalizer is not None or words != ["Ġa", "Ġ1", ".", "Ċ", "b", "Ġ...", "Ġc", "Ċ"]:
             raise ValueError("the first vocabulary must be byte-level and part words as its usual pattern does")
-        if any(b" " in t.lstrip(b" ") or (b"\n" in t and len(t) > 1) for t in self.b_bytes) or [i for i, _ in self._pieces([" a  b"])[0]] != sp.encode("a  b"):
+        if any(b" " in t.lstrip(b" ") or (b"\n" in t and len(t) > 1) for t in self.b_bytes) or next(self._pieces([" a  b"]))[0] != sp.encode("a  b"):
             raise ValueError("a piece of the second vocabulary reaches across blanks or lines: texts can't be cut there")
+        glued = any(re.search(LETTER + STOP, sp.id_to_piece(i)) for i in range(self.wide))
+        self.cut = re.compile(CUT if glued else f"{CUT}|(?<={LETTER})(?={STOP})")
         self.digits = list(map(str, range(max(len(self.a_bytes), self.wide))))
         self.clear()
 
+    def thin_out(self) -> None:
+        """Forget the segments that occurred once, and the others' counts."""
+        keep = np.flatnonzero(self.seen > 1)
+        if len(keep) > CACHED // 2:
+            self.clear()
+            return
+        place = np.full(len(self.seen), -1)
+        place[keep] = np.arange(len(keep))
+        place = place.tolist()
+        self.index = {s: place[i] for s, i in self.index.items() if place[i] >= 0}
+        self.groups = [self.groups[i] for i in keep.tolist()]
+        self.codes = self.codes[_ranges(self.first[keep], self.sizes[keep, 3])]
+        self.sizes, self.good, self.seen = self.sizes[keep], self.good[keep], np.zeros(len(keep), dtype=np.int64)
+        self.first = np.cumsum(self.sizes[:, 3]) - self.sizes[:, 3]
+
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.groups: list[bytes] = []
@@ -112,35 +136,46 @@ class Aligner:
         self.good = np.zeros(0, dtype=bool)
         self.first = np.zeros(0, dtype=np.int64)
         self.codes = np.zeros(0, dtype=np.int64)
-
-    def _pieces(self, segments: list[str]) -> list[list[tuple[int, int]]]:
-        """B's ids and coarse ends of segments, each of which begins with a blank or a line end."""
-        found = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1, return_type="proto")
-        # The library's own blank stands for the first one of a segment; before a line end there is none.
-        return [
-            [(p.id, p.end + 1) for p in proto.pieces] if s[0] == " " else [(p.id, p.end) for p in proto.pieces][1:]
-            for s, proto in zip(segments, found)
-        ]
+        self.seen = np.zeros(0, dtype=np.int64)
+
+    def _pieces(self, segments: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+        """B's ids and coarse ends, in characters, of segments.
+
+        The library puts a blank ahead: it stands for that of a segment that begins with one. Others are encoded on a
+        line of their own, and what comes of the blank and the line end is left out.
+        """
+        sent = [s[1:] if s[0] == " " else s if s[0] == "\n" else "\n" + s for s in segments]
+        for segment, found in zip(segments, self.b.encode(sent, num_threads=1, return_type="offset_mapping")):
+            ids, ends = found["ids"], [end for _, end in found["offsets"]]
+            if segment[0] == " ":
+                yield ids, [end + 1 for end in ends]
+            elif segment[0] == "\n":
+                yield ids[1:], ends[1:]
+            else:
+                yield ids[2:], [end - 1 for end in ends[2:]]
 
     def align(self, segments: list[str]) -> Iterator[tuple[list[int], list[int], list, list] | None]:
         """For each segment A's ids, B's ids, groups and links; None where the bytes are not the segment's."""
-        a_found = self.a.encode_batch(segments, add_special_tokens=False)
+        for start in range(0, len(segments), BATCH):
+            yield from self._aligned(segments[start : start + BATCH])
+
+    def _aligned(self, segments: list[str]) -> Iterator[tuple[list[int], list[int], list, list] | None]:
         a_bytes, b_bytes = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        for segment, a, b_found in zip(segments, a_found, self._pieces(segments)):
+        a_found = self.a.encode_batch(segments, add_special_tokens=False)
+        for segment, a, (b_ids, b_coarse) in zip(segments, a_found, self._pieces(segments)):
             raw, a_ids, a_coarse = segment.encode(), a.ids, [end for _, end in a.offsets]
-            b_ids, b_coarse = [i for i, _ in b_found], [end for _, end in b_found]
             a_raw, b_raw = list(map(a_bytes, a_ids)), list(map(b_bytes, b_ids))
             if b"".join(a_raw) != raw or b"".join(b_raw) != raw:
                 yield None
                 continue
             if len(raw) != len(segment):  # character offsets to bytes
                 before = [0, *accumulate(len(c.encode()) for c in segment)]
-                a_coarse = [before[end] for end in a_coarse]
+                a_coarse, b_coarse = [before[end] for end in a_coarse], [before[end] for end in b_coarse]
             a_ends = token_ends(a_coarse, list(accumulate(map(len, a_raw))))
             b_ends = token_ends(b_coarse, list(accumulate(map(len, b_raw))))
             yield (a_ids, b_ids, *groups_and_links(a_ends, b_ends))
 
-    def learn(self, segments: list[str]) -> None:
+    def learn(self, segments: Iterable[str]) -> None:
         new = [s for s in dict.fromkeys(segments) if s not in self.index]
         sizes, codes, wide, digits = [], [], self.wide, self.digits
         for segment, found in zip(new, self.align(new)):
@@ -169,15 +204,23 @@ class Aligner:
             self.good = np.concatenate([self.good, good])
             self.first = np.concatenate([self.first, starts])
             self.codes = np.concatenate([self.codes, np.array(codes, dtype=np.int64)])
+            self.seen = np.concatenate([self.seen, np.zeros(len(rows), dtype=np.int64)])
 
     def documents(self, texts: list[str]) -> tuple[np.ndarray, list[str], tuple[np.ndarray, ...]]:
         """Sizes and group digests of texts, and their links as (document, code, times) in order."""
-        cut = [CUT.split(" " + t) if t else [] for t in texts]
+        cut = [self.cut.split(" " + t) if t else [] for t in texts]
         if len(self.index) > CACHED:
-            self.clear()
-        self.learn(list(chain.from_iterable(cut)))
+            self.thin_out()
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here refers to itself, and a collection would walk through all that is remembered
+        try:
+            self.learn(chain.from_iterable(cut))
+        finally:
+            if collecting:
+                gc.enable()
         many = np.array([len(c) for c in cut], dtype=np.int64)
         at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=int(many.sum()))
+        self.seen += np.bincount(at, minlength=len(self.seen))
         doc = np.repeat(np.arange(len(texts)), many)
         bad = np.zeros(len(texts), dtype=bool)
         bad[doc[~self.good[at]]] = True
@@ -301,7 +344,7 @@ def _pair_block(wide: int):
 def _look_up(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
     """The counts of the pairs that some slices asked one block for."""
     if asked.empty:
-        return pd.DataFrame({"slice": [], "places": [], "counts": [], "best": []})
+        return pd.DataFrame()
     codes, counts, best = (unpacked(table[c].iloc[0], w) for c, w in (("codes", 8), ("counts", 8), ("best", 1)))
     at = [np.searchsorted(codes, unpacked(c, 8)) for c in asked["codes"]]
     return pd.DataFrame(
@@ -334,10 +377,9 @@ def encoded_slices(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts = strings(batch.column(1))
-            for a, b in slices([len(t) for t in texts], SLICE_CHARS):
+            for a, b in slices(pc.utf8_length(batch.column(1)).to_pylist(), SLICE_CHARS):
                 ids = batch.column(0).slice(a, b - a)
-                yield _slice_rows(aligner(a_path, b_path), number, ids, texts[a:b], ids.type)
+                yield _slice_rows(aligner(a_path, b_path), number, ids, strings(batch.column(1).slice(a, b - a)), ids.type)
                 number += 1
 
     rows = docs.select(docs[id_col].alias("doc_id"), whole_text(text_col).alias("text"))
