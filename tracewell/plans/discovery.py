@@ -1,7 +1,8 @@
 """Process models from the activity relations: the alpha net and the heuristics net, as tables.
 
 Both start from the directly-follows graph, which is small; everything here has at most a row per pair
-of activities, per candidate place or per arc.
+of activities, per candidate place or per arc. Nodes are keyed by their kind and name while a net is built, and names
+are escaped where they become part of a longer one, so activities may be called anything.
 """
 
 from __future__ import annotations
@@ -12,25 +13,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.log import EventLog
+from tracewell.operators.components import component_labels
 from tracewell.operators.lookup import settled
+from tracewell.operators.pairs import MAX_PAIRS, maximal_pairs
 from tracewell.operators.relations import (
     boundaries_of,
     branch_relations,
     dependencies,
-    footprint,
     graph_of,
     loops_of,
     relation_counts,
 )
 
-MAX_ALPHABET = 64
-
 
 @dataclass(frozen=True)
 class PetriNet:
-    """``places`` (place, marking), ``transitions`` (transition, label) and ``arcs`` (source, target).
+    """``places`` (place, marking), ``transitions`` (transition, label) and ``arcs`` (source, target, source_kind).
 
-    ``marking`` is "initial", "final" or null; a null label marks an invisible transition.
+    ``marking`` is "initial", "final" or null; a null label marks an invisible transition. Places and transitions
+    have names of their own: ``source_kind`` ("place" or "transition") tells which of the two an arc begins at.
     """
 
     places: DataFrame
@@ -38,70 +39,14 @@ class PetriNet:
     arcs: DataFrame
 
 
-def alpha_pairs(relations: DataFrame) -> DataFrame:
-    """Maximal pairs (A, B): every a causes every b, and the members of A, and of B, are unrelated.
-
-    Pairs grow from single edges by one activity per round, A before B and in alphabetical order, so
-    each pair is built once. ``more_a`` and ``more_b`` hold the activities a pair could still take; a
-    pair is maximal when both are empty. The number of pairs can grow exponentially with the alphabet,
-    so a large alphabet is refused.
-    """
-    spark = relations.sparkSession
-    alphabet = relations.select("src").distinct().limit(MAX_ALPHABET + 1).count()
-    if alphabet > MAX_ALPHABET:
-        raise ValueError(f"alpha discovery is limited to {MAX_ALPHABET} activities")
-    # An activity that follows itself cannot be in a pair.
-    lonely = relations.where("src = dst AND relation = 'unrelated'").select(F.col("src").alias("activity"))
-    inner = relations.join(lonely.select(F.col("activity").alias("src")), "src", "left_semi").join(
-        lonely.select(F.col("activity").alias("dst")), "dst", "left_semi"
-    )
+def escaped(name: Column) -> Column:
+    """A name as part of a longer one: what has a meaning there gets a backslash."""
+    return F.regexp_replace(name, r"([\\,{}:]|->)", r"\\$1")
 
-    def related(kind: str) -> Column:
-        return F.array_sort(F.collect_set(F.when((F.col("relation") == kind) & (F.col("src") != F.col("dst")), F.col("dst"))))
 
-    neighbours = inner.groupBy(F.col("src").alias("activity")).agg(
-        related("unrelated").alias("unrelated"), related("causal").alias("after"), related("reverse").alias("before")
-    )
-    # At most MAX_ALPHABET rows; fixed here because every round of the recursion reads them.
-    fixed = settled(neighbours)
-    return spark.sql(
-        """
-        WITH RECURSIVE grown AS (
-            SELECT array(a.activity) AS a_set, array(b.activity) AS b_set,
-                   array_intersect(a.unrelated, b.before) AS more_a,
-                   array_intersect(b.unrelated, a.after) AS more_b,
-                   false AS b_grown
-            FROM (SELECT activity, unrelated, after, explode(after) AS target FROM {neighbours}) a
-            JOIN {neighbours} b ON b.activity = a.target
-            UNION ALL
-            SELECT CASE WHEN on_a THEN array_append(a_set, n.activity) ELSE a_set END,
-                   CASE WHEN on_a THEN b_set ELSE array_append(b_set, n.activity) END,
-                   array_intersect(more_a, CASE WHEN on_a THEN n.unrelated ELSE n.before END),
-                   array_intersect(more_b, CASE WHEN on_a THEN n.after ELSE n.unrelated END),
-                   NOT on_a
-            FROM (
-                SELECT *, array_contains(more_a, candidate) AS on_a
-                FROM (
-                    SELECT a_set, b_set, more_a, more_b,
-                           explode(concat(
-                               CASE WHEN b_grown THEN array() ELSE filter(more_a, x -> x > element_at(a_set, -1)) END,
-                               filter(more_b, x -> x > element_at(b_set, -1)))) AS candidate
-                    FROM grown
-                )
-            ) g
-            JOIN {neighbours} n ON n.activity = g.candidate
-        )
-        SELECT a_set, b_set FROM grown WHERE size(more_a) = 0 AND size(more_b) = 0
-        """,
-        neighbours=fixed,
-    )
-
-
-def alpha_net(log: EventLog) -> PetriNet:
+def alpha_net(log: EventLog, max_pairs: int = MAX_PAIRS) -> PetriNet:
     counts = settled(relation_counts(log))
-    graph, boundaries = graph_of(counts), boundaries_of(counts)
-    relations = footprint(graph, activities_of(graph, boundaries))
-    return alpha_net_of(settled(relations), boundaries)
+    return alpha_net_of(settled(graph_of(counts)), boundaries_of(counts), max_pairs)
 
 
 def activities_of(graph: DataFrame, boundaries: DataFrame) -> DataFrame:
@@ -110,24 +55,33 @@ def activities_of(graph: DataFrame, boundaries: DataFrame) -> DataFrame:
     return named.union(graph.select("src")).union(graph.select("dst")).distinct()
 
 
-def alpha_net_of(relations: DataFrame, boundaries: DataFrame) -> PetriNet:
+def alpha_net_of(graph: DataFrame, boundaries: DataFrame, max_pairs: int = MAX_PAIRS) -> PetriNet:
+    """A place for each maximal pair, named ``{a,b}->{c}``, and the places ``start`` and ``end``."""
+
     def names(members: str) -> Column:
-        return F.concat(F.lit("{"), F.array_join(F.array_sort(F.col(members)), ","), F.lit("}"))
+        return F.concat(F.lit("{"), F.array_join(F.transform(members, escaped), ","), F.lit("}"))
 
-    pairs = settled(alpha_pairs(relations)).withColumn("place", F.concat_ws("->", names("a_set"), names("b_set")))
-    spark = relations.sparkSession
+    def arcs(frame: DataFrame, source: Column, target: Column, kind: str) -> DataFrame:
+        return frame.select(source.alias("source"), target.alias("target"), F.lit(kind).alias("source_kind"))
+
+    pairs = maximal_pairs(graph, max_pairs).withColumn("place", F.concat_ws("->", names("a_set"), names("b_set")))
+    spark = graph.sparkSession
     marked = spark.createDataFrame([("start", "initial"), ("end", "final")], "place string, marking string")
     places = marked.unionByName(pairs.select("place", F.lit(None).cast("string").alias("marking")))
-    transitions = relations.select(F.col("src").alias("transition")).distinct().withColumn("label", F.col("transition"))
-    inside = pairs.select(F.explode("a_set").alias("source"), F.col("place").alias("target")).unionByName(
-        pairs.select(F.col("place").alias("source"), F.explode("b_set").alias("target"))
-    )
-    starts = boundaries.where("boundary = 'start'").select(F.lit("start").alias("source"), F.col("activity").alias("target"))
-    ends = boundaries.where("boundary = 'end'").select(F.col("activity").alias("source"), F.lit("end").alias("target"))
+    transitions = activities_of(graph, boundaries).select(F.col("activity").alias("transition"), F.col("activity").alias("label"))
+    place, activity = F.col("place"), F.col("activity")
+    inside = arcs(pairs, F.explode("a_set"), place, "transition").unionByName(arcs(pairs, place, F.explode("b_set"), "place"))
+    starts = arcs(boundaries.where("boundary = 'start'"), F.lit("start"), activity, "place")
+    ends = arcs(boundaries.where("boundary = 'end'"), activity, F.lit("end"), "transition")
     return PetriNet(places, transitions, inside.unionByName(starts).unionByName(ends))
 
 
-START, END = "START", "END"
+# The process start and end stand beside the activities as nodes of their own kind.
+START, END, ACTIVITY = "start", "end", "activity"
+
+
+def _node(kind: str, name: Column | None = None) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), (F.lit("") if name is None else name).alias("name"))
 
 
 def _bindings(edges: DataFrame, branches: DataFrame, side: str) -> DataFrame:
@@ -138,36 +92,21 @@ def _bindings(edges: DataFrame, branches: DataFrame, side: str) -> DataFrame:
     one branch and "many" for a larger one. ``binding`` names a binding by its first branch.
     """
     here, there = ("src", "dst") if side == "split" else ("dst", "src")
-    grouped = edges.groupBy(F.col(here).alias("activity")).agg(
-        F.array_sort(F.collect_set(there)).alias("members")
-    )
-    joined = branches.where((F.col("side") == side) & (F.col("relation") == "AND")).groupBy("activity").agg(
-        F.array_sort(F.collect_list(F.struct("left", "right"))).alias("ands")
-    )
-    labels = F.map_from_arrays(F.col("members"), F.col("members"))
-    # Merging the two labels of each AND pair leaves one label per connected group.
-    merged = F.aggregate(
-        F.coalesce("ands", F.array().cast("array<struct<left:string,right:string>>")),
-        labels,
-        lambda at, pair: F.transform_values(
-            at,
-            lambda _, label: F.when(
-                (label == at[pair["left"]]) | (label == at[pair["right"]]),
-                F.least(at[pair["left"]], at[pair["right"]]),
-            ).otherwise(label),
-        ),
+    both = branches.where((F.col("side") == side) & (F.col("relation") == "AND"))
+    pairs = both.select(
+        F.struct(F.col("activity").alias("at"), F.col("left").alias("branch")).alias("a"),
+        F.struct(F.col("activity").alias("at"), F.col("right").alias("branch")).alias("b"),
     )
-    found = grouped.join(joined, "activity", "left").withColumn("labels", merged)
-    groups = F.map_values("labels")
-    exploded = found.select("activity", groups.alias("all_groups"), F.explode("labels").alias("branch", "binding"))
-    size = F.size(F.filter("all_groups", lambda g: g == F.col("binding")))
-    wiring = (
-        F.when(F.size(F.array_distinct("all_groups")) == 1, "direct").when(size == 1, "one").otherwise("many")
+    labels = component_labels(pairs).select(
+        _node(ACTIVITY, F.col("node.at")).alias(here), _node(ACTIVITY, F.col("node.branch")).alias(there), F.col("label.branch").alias("label")
     )
+    found = edges.join(labels, [here, there], "left").withColumn("binding", F.coalesce("label", F.col(f"{there}.name")))
+    sizes = found.groupBy(here, "binding").agg(F.count(F.lit(1)).alias("size"))
+    groups = sizes.groupBy(here).agg(F.count(F.lit(1)).alias("groups"))
+    wiring = F.when(F.col("groups") == 1, "direct").when(F.col("size") == 1, "one").otherwise("many")
     end = "out" if side == "split" else "in"
-    return exploded.select(
-        F.col("activity").alias(here), F.col("branch").alias(there), F.col("binding").alias(f"{end}_binding"),
-        wiring.alias(f"{end}_wiring"),
+    return found.join(sizes, [here, "binding"]).join(groups, here).select(
+        "src", "dst", F.col("binding").alias(f"{end}_binding"), wiring.alias(f"{end}_wiring")
     )
 
 
@@ -181,6 +120,14 @@ def heuristics_net(
     return heuristics_net_of(edges, branches, boundaries_of(counts))
 
 
+# Beginnings of the names of invisible transitions; an activity called so gets a beginning of its own.
+_HIDDEN = "fork|merge|step"
+
+
+def _transition(name: Column) -> Column:
+    return F.when(name.rlike(f"^({_HIDDEN}|{ACTIVITY}):"), F.concat(F.lit(f"{ACTIVITY}:"), name)).otherwise(name)
+
+
 def heuristics_net_of(edges: DataFrame, branches: DataFrame, boundaries: DataFrame) -> PetriNet:
     """Wire kept edges into a net.
 
@@ -188,64 +135,75 @@ def heuristics_net_of(edges: DataFrame, branches: DataFrame, boundaries: DataFra
     place, from which a binding of one branch is read directly and a larger one through an invisible
     fork; inputs mirror this. The process start and end are one more branch of the activities they touch.
     """
-    kept = edges.where("kept").select("src", "dst")
-    starts = boundaries.where("boundary = 'start'").select(F.lit(START).alias("src"), F.col("activity").alias("dst"))
-    ends = boundaries.where("boundary = 'end'").select(F.col("activity").alias("src"), F.lit(END).alias("dst"))
-    every = kept.unionByName(starts).unionByName(ends)
-    every = settled(every)
+    activity = _node(ACTIVITY, F.col("activity"))
+    kept = edges.where("kept").select(_node(ACTIVITY, F.col("src")).alias("src"), _node(ACTIVITY, F.col("dst")).alias("dst"))
+    starts = boundaries.where("boundary = 'start'").select(_node(START).alias("src"), activity.alias("dst"))
+    ends = boundaries.where("boundary = 'end'").select(activity.alias("src"), _node(END).alias("dst"))
+    every = settled(kept.unionByName(starts).unionByName(ends))
     branches = settled(branches)
     wired = every.join(_bindings(every, branches, "split"), ["src", "dst"]).join(
         _bindings(every, branches, "join"), ["src", "dst"]
     )
     # The start is a choice among the start activities and the end a merge, even with one of them.
-    src, dst = F.col("src"), F.col("dst")
-    out_wiring = F.when(src == START, "one").otherwise(F.col("out_wiring"))
-    in_wiring = F.when(dst == END, "one").otherwise(F.col("in_wiring"))
-    out_place = F.when(src == START, F.lit("source")).otherwise(F.concat(F.lit("out:"), src))
-    in_place = F.when(dst == END, F.lit("sink")).otherwise(F.concat(F.lit("in:"), dst))
-    edge_place = F.concat(F.lit("edge:"), src, F.lit("->"), dst)
-    fork = F.concat(F.lit("fork:"), src, F.lit(":"), F.col("out_binding"))
-    merge = F.concat(F.lit("merge:"), dst, F.lit(":"), F.col("in_binding"))
-    step = F.concat(F.lit("step:"), src, F.lit("->"), dst)
-    place, transition = F.lit("place"), F.lit("transition")
-
-    def arc(condition: Column, source: Column, target: Column, source_is: str) -> Column:
-        return F.when(condition, F.struct(source.alias("source"), target.alias("target"), F.lit(source_is).alias("source_kind")))
+    is_start, is_end = F.col("src.kind") == START, F.col("dst.kind") == END
+    src, dst = F.col("src.name"), F.col("dst.name")
+    out_wiring = F.when(is_start, "one").otherwise(F.col("out_wiring"))
+    in_wiring = F.when(is_end, "one").otherwise(F.col("in_wiring"))
+
+    def named(kind: str, *parts: Column) -> Column:
+        return F.concat(F.lit(f"{kind}:"), *parts)
+
+    out_place = F.when(is_start, F.lit("source")).otherwise(named("out", escaped(src)))
+    in_place = F.when(is_end, F.lit("sink")).otherwise(named("in", escaped(dst)))
+    first = F.when(is_start, F.lit("{start}")).otherwise(escaped(src))
+    between = (first, F.lit("->"), F.when(is_end, F.lit("{end}")).otherwise(escaped(dst)))
+    edge_place, step = named("edge", *between), named("step", *between)
+    fork = named("fork", escaped(src), F.lit(":"), escaped(F.col("out_binding")))
+    merge = named("merge", escaped(dst), F.lit(":"), escaped(F.col("in_binding")))
+    none = F.lit(None).cast("string")
+
+    def arc(condition: Column, place: Column, transition: Column, label: Column, source_kind: str) -> Column:
+        return F.when(
+            condition, F.struct(place.alias("place"), transition.alias("transition"), label.alias("label"), F.lit(source_kind).alias("source_kind"))
+        )
+
+    def into(condition: Column, transition: Column, label: Column, place: Column) -> Column:
+        return arc(condition, place, transition, label, "transition")
+
+    def out_of(condition: Column, place: Column, transition: Column, label: Column) -> Column:
+        return arc(condition, place, transition, label, "place")
 
     out_one, out_many, out_direct = out_wiring == "one", out_wiring == "many", out_wiring == "direct"
     in_one, in_many, in_direct = in_wiring == "one", in_wiring == "many", in_wiring == "direct"
-    consumer = F.when(in_direct, dst).otherwise(merge)
-    producer = F.when(out_direct, src).otherwise(fork)
+    consumer = (F.when(in_direct, _transition(dst)).otherwise(merge), F.when(in_direct, dst))
+    producer = (F.when(out_direct, _transition(src)).otherwise(fork), F.when(out_direct, src))
     through = ~out_one & ~in_one
     arcs = F.array(
         # the activity's own choice and merge places
-        arc((out_one | out_many) & (src != START), src, out_place, "transition"),
-        arc((in_one | in_many) & (dst != END), in_place, dst, "place"),
+        into((out_one | out_many) & ~is_start, _transition(src), src, out_place),
+        out_of((in_one | in_many) & ~is_end, in_place, _transition(dst), dst),
         # invisible fork and merge
-        arc(out_many, out_place, fork, "place"),
-        arc(in_many, merge, in_place, "transition"),
+        out_of(out_many, out_place, fork, none),
+        into(in_many, merge, none, in_place),
         # one branch on both ends: an invisible step between the two places
-        arc(out_one & in_one, out_place, step, "place"),
-        arc(out_one & in_one, step, in_place, "transition"),
+        out_of(out_one & in_one, out_place, step, none),
+        into(out_one & in_one, step, none, in_place),
         # one branch on one end
-        arc(out_one & ~in_one, out_place, consumer, "place"),
-        arc(~out_one & in_one, producer, in_place, "transition"),
+        out_of(out_one & ~in_one, out_place, *consumer),
+        into(~out_one & in_one, *producer, in_place),
         # an edge place of its own
-        arc(through, producer, edge_place, "transition"),
-        arc(through, edge_place, consumer, "place"),
-    )
-    flat = wired.select(F.explode(arcs).alias("arc")).where("arc IS NOT NULL").select("arc.*").distinct()
-    sides = F.array(
-        F.struct(F.col("source").alias("node"), F.col("source_kind").alias("kind")),
-        F.struct(F.col("target").alias("node"), F.when(F.col("source_kind") == "place", transition).otherwise(place).alias("kind")),
+        into(through, *producer, edge_place),
+        out_of(through, edge_place, *consumer),
     )
-    nodes = flat.select(F.inline(sides)).distinct()
-    marking = F.when(F.col("node") == "source", "initial").when(F.col("node") == "sink", "final")
-    hidden = F.col("node").rlike("^(fork|merge|step):")
+    flat = settled(wired.select(F.explode(arcs).alias("arc")).where("arc IS NOT NULL").select("arc.*").distinct())
+    marking = F.when(F.col("place") == "source", "initial").when(F.col("place") == "sink", "final")
+    from_place = F.col("source_kind") == "place"
     return PetriNet(
-        places=nodes.where("kind = 'place'").select(F.col("node").alias("place"), marking.alias("marking")),
-        transitions=nodes.where("kind = 'transition'").select(
-            F.col("node").alias("transition"), F.when(~hidden, F.col("node")).alias("label")
+        places=flat.select("place", marking.alias("marking")).distinct(),
+        transitions=flat.select("transition", "label").distinct(),
+        arcs=flat.select(
+            F.when(from_place, F.col("place")).otherwise(F.col("transition")).alias("source"),
+            F.when(from_place, F.col("transition")).otherwise(F.col("place")).alias("target"),
+            "source_kind",
         ),
-        arcs=flat.select("source", "target"),
     )

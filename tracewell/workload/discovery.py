@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracewell.operators import relations as ops
 from tracewell.operators.lookup import settled
 from tracewell.plans import discovery as plans
-from tracewell.workload.registry import click_log, line_log, query, rounded, stage_log, talk_log
+from tracewell.workload.registry import busy_log, click_log, line_log, query, rounded, stage_log, talk_log
 
 
 def _graph(log, order):
@@ -53,16 +53,17 @@ def boundary_activities(spark, folder):
     return ops.boundary_activities(line_log(spark, folder))
 
 
-_STAGES = _graph("$F", "$LORD")
-_FOOTPRINT = f"""(SELECT a.activity AS src, b.activity AS dst,
+def _footprint(log, order):
+    return f"""(WITH follows AS MATERIALIZED (SELECT * FROM {_graph(log, order)})
+    SELECT a.activity AS src, b.activity AS dst,
     CASE WHEN f.src IS NOT NULL AND r.src IS NOT NULL THEN 'parallel' WHEN f.src IS NOT NULL THEN 'causal'
          WHEN r.src IS NOT NULL THEN 'reverse' ELSE 'unrelated' END AS relation
-    FROM (SELECT DISTINCT activity FROM $F) a CROSS JOIN (SELECT DISTINCT activity FROM $F) b
-    LEFT JOIN {_STAGES} f ON f.src = a.activity AND f.dst = b.activity
-    LEFT JOIN {_STAGES} r ON r.dst = a.activity AND r.src = b.activity)"""
+    FROM (SELECT DISTINCT activity FROM {log}) a CROSS JOIN (SELECT DISTINCT activity FROM {log}) b
+    LEFT JOIN follows f ON f.src = a.activity AND f.dst = b.activity
+    LEFT JOIN follows r ON r.dst = a.activity AND r.src = b.activity)"""
 
 
-@query("footprint", f"SELECT * FROM {_FOOTPRINT}")
+@query("footprint", f"SELECT * FROM {_footprint('$F', '$LORD')}")
 def footprint(spark, folder):
     log = stage_log(spark, folder)
     counts = settled(ops.relation_counts(log))
@@ -70,9 +71,18 @@ def footprint(spark, folder):
     return ops.footprint(graph, plans.activities_of(graph, ops.boundaries_of(counts)))
 
 
+@query("footprint_busy", f"SELECT * FROM {_footprint('$B', '$EORD')}")
+def footprint_busy(spark, folder):
+    """More than 64 activities, many of which follow themselves or go round in loops."""
+    counts = settled(ops.relation_counts(busy_log(spark, folder)))
+    graph = ops.graph_of(counts)
+    return ops.footprint(graph, plans.activities_of(graph, ops.boundaries_of(counts)))
+
+
 # Pairs grow by any fitting activity here; equal sets collapse in the recursive UNION.
-_ALPHA = f"""
-WITH RECURSIVE rel AS MATERIALIZED (SELECT * FROM {_FOOTPRINT}),
+def _alpha(log, order):
+    return f"""
+WITH RECURSIVE rel AS MATERIALIZED (SELECT * FROM {_footprint(log, order)}),
 lonely AS (SELECT src AS activity FROM rel WHERE src = dst AND relation = 'unrelated'),
 near AS MATERIALIZED (
     SELECT src AS x, coalesce(list(dst) FILTER (WHERE relation = 'unrelated' AND src <> dst), []) AS apart,
@@ -93,29 +103,45 @@ places AS (SELECT '{{' || array_to_string(a, ',') || '}}->{{' || array_to_string
 """
 
 
-def _net(log):
-    return plans.alpha_net(log)
+def _alpha_places(log, order):
+    return _alpha(log, order) + "SELECT place, '' AS marking FROM places UNION ALL SELECT 'start', 'initial' UNION ALL SELECT 'end', 'final'"
 
 
-@query("alpha_places", _ALPHA + "SELECT place, '' AS marking FROM places UNION ALL SELECT 'start', 'initial' UNION ALL SELECT 'end', 'final'")
+def _alpha_arcs(log, order):
+    ends = _ends(log, order)
+    return (
+        _alpha(log, order)
+        + f"""SELECT unnest(a) AS source, place AS target, 'transition' AS source_kind FROM places
+          UNION ALL SELECT place, unnest(b), 'place' FROM places
+          UNION ALL SELECT 'start', activity, 'place' FROM {ends} WHERE boundary = 'start'
+          UNION ALL SELECT activity, 'end', 'transition' FROM {ends} WHERE boundary = 'end'"""
+    )
+
+
+@query("alpha_places", _alpha_places("$F", "$LORD"))
 def alpha_places(spark, folder):
-    return _net(stage_log(spark, folder)).places.fillna("", ["marking"])
+    return plans.alpha_net(stage_log(spark, folder)).places.fillna("", ["marking"])
 
 
 @query("alpha_transitions", "SELECT DISTINCT activity AS transition, activity AS label FROM $F")
 def alpha_transitions(spark, folder):
-    return _net(stage_log(spark, folder)).transitions
+    return plans.alpha_net(stage_log(spark, folder)).transitions
 
 
-@query(
-    "alpha_arcs",
-    _ALPHA
-    + f"""SELECT unnest(a) AS source, place AS target FROM places UNION ALL SELECT place, unnest(b) FROM places
-          UNION ALL SELECT 'start', activity FROM {_ends('$F', '$LORD')} WHERE boundary = 'start'
-          UNION ALL SELECT activity, 'end' FROM {_ends('$F', '$LORD')} WHERE boundary = 'end'""",
-)
+@query("alpha_arcs", _alpha_arcs("$F", "$LORD"))
 def alpha_arcs(spark, folder):
-    return _net(stage_log(spark, folder)).arcs
+    return plans.alpha_net(stage_log(spark, folder)).arcs
+
+
+@query("alpha_places_busy", _alpha_places("$B", "$EORD"))
+def alpha_places_busy(spark, folder):
+    """More than 64 activities with loops."""
+    return plans.alpha_net(busy_log(spark, folder)).places.fillna("", ["marking"])
+
+
+@query("alpha_arcs_busy", _alpha_arcs("$B", "$EORD"))
+def alpha_arcs_busy(spark, folder):
+    return plans.alpha_net(busy_log(spark, folder)).arcs
 
 
 def _dependencies(log, order):
@@ -142,8 +168,7 @@ def dependency_graph(spark, folder):
     return rounded(found, "dependency", "loop_dependency")
 
 
-_EDGES = _dependencies("$F", "$LORD")
-_BRANCHES = f"""branches AS MATERIALIZED (
+_BRANCHES = """branches AS MATERIALIZED (
     SELECT side, l.activity, l.branch AS "left", r.branch AS "right",
            (coalesce(x.freq, 0) + coalesce(y.freq, 0)) / (l.freq + r.freq + 1) AS and_measure
     FROM (SELECT 'split' AS side, src AS activity, dst AS branch, freq FROM edges WHERE kept AND src <> dst
@@ -157,7 +182,7 @@ AND_LIMIT = 0.3
 
 @query(
     "branch_relations",
-    f"""WITH edges AS MATERIALIZED (SELECT * FROM {_EDGES}), {_BRANCHES}
+    f"""WITH edges AS MATERIALIZED (SELECT * FROM {_dependencies('$F', '$LORD')}), {_BRANCHES}
         SELECT side, activity, "left", "right", round(and_measure, 6) AS and_measure,
                CASE WHEN and_measure >= {AND_LIMIT} THEN 'AND' ELSE 'XOR' END AS relation FROM branches""",
 )
@@ -169,11 +194,12 @@ def branch_relations(spark, folder):
     return rounded(ops.branch_relations(edges, graph, AND_LIMIT), "and_measure")
 
 
-_WIRED = f"""
-WITH RECURSIVE edges AS MATERIALIZED (SELECT * FROM {_EDGES}), {_BRANCHES},
+def _wired(log, order):
+    return f"""
+WITH RECURSIVE edges AS MATERIALIZED (SELECT * FROM {_dependencies(log, order)}), {_BRANCHES},
 joint AS MATERIALIZED (SELECT side, activity, "left" AS x, "right" AS y FROM branches WHERE and_measure >= {AND_LIMIT}
     UNION SELECT side, activity, "right", "left" FROM branches WHERE and_measure >= {AND_LIMIT}),
-ends AS MATERIALIZED (SELECT * FROM {_ends('$F', '$LORD')}),
+ends AS MATERIALIZED (SELECT * FROM {_ends(log, order)}),
 every AS MATERIALIZED (SELECT src, dst FROM edges WHERE kept
     UNION ALL SELECT 'START', activity FROM ends WHERE boundary = 'start'
     UNION ALL SELECT activity, 'END' FROM ends WHERE boundary = 'end'),
@@ -191,6 +217,7 @@ wired AS MATERIALIZED (SELECT e.src, e.dst, CASE WHEN src = 'START' THEN 'one' E
     CASE WHEN dst = 'END' THEN 'one' ELSE i.wiring END AS i,
     CASE WHEN src = 'START' THEN 'source' ELSE 'out:' || src END AS po,
     CASE WHEN dst = 'END' THEN 'sink' ELSE 'in:' || dst END AS pi,
+    CASE src WHEN 'START' THEN '{{start}}' ELSE src END || '->' || CASE dst WHEN 'END' THEN '{{end}}' ELSE dst END AS between,
     'fork:' || src || ':' || o.binding AS fork, 'merge:' || dst || ':' || i.binding AS merge
     FROM every e JOIN wires o ON o.side = 'split' AND o.activity = src AND o.branch = dst
     JOIN wires i ON i.side = 'join' AND i.activity = dst AND i.branch = src),
@@ -199,42 +226,59 @@ arcs AS MATERIALIZED (
     UNION SELECT pi, dst FROM wired WHERE i <> 'direct' AND dst <> 'END'
     UNION SELECT po, fork FROM wired WHERE o = 'many'
     UNION SELECT merge, pi FROM wired WHERE i = 'many'
-    UNION SELECT po, 'step:' || src || '->' || dst FROM wired WHERE o = 'one' AND i = 'one'
-    UNION SELECT 'step:' || src || '->' || dst, pi FROM wired WHERE o = 'one' AND i = 'one'
+    UNION SELECT po, 'step:' || between FROM wired WHERE o = 'one' AND i = 'one'
+    UNION SELECT 'step:' || between, pi FROM wired WHERE o = 'one' AND i = 'one'
     UNION SELECT po, CASE i WHEN 'direct' THEN dst ELSE merge END FROM wired WHERE o = 'one' AND i <> 'one'
     UNION SELECT CASE o WHEN 'direct' THEN src ELSE fork END, pi FROM wired WHERE o <> 'one' AND i = 'one'
-    UNION SELECT CASE o WHEN 'direct' THEN src ELSE fork END, 'edge:' || src || '->' || dst FROM wired WHERE o <> 'one' AND i <> 'one'
-    UNION SELECT 'edge:' || src || '->' || dst, CASE i WHEN 'direct' THEN dst ELSE merge END FROM wired
+    UNION SELECT CASE o WHEN 'direct' THEN src ELSE fork END, 'edge:' || between FROM wired WHERE o <> 'one' AND i <> 'one'
+    UNION SELECT 'edge:' || between, CASE i WHEN 'direct' THEN dst ELSE merge END FROM wired
         WHERE o <> 'one' AND i <> 'one')
 """
 _NODES = "(SELECT source AS node FROM arcs UNION SELECT target FROM arcs)"
 _IS_PLACE = "(node IN ('source', 'sink') OR regexp_matches(node, '^(out|in|edge):'))"
 
 
-def _heuristics(spark, folder):
-    return plans.heuristics_net(stage_log(spark, folder), and_threshold=AND_LIMIT)
+_HIDDEN = "regexp_matches(node, '^(fork|merge|step):')"
+
+
+def _arcs_sql(log, order):
+    return _wired(log, order) + f"SELECT source, target, CASE WHEN {_IS_PLACE.replace('node', 'source')} THEN 'place' ELSE 'transition' END AS source_kind FROM arcs"
 
 
-@query("heuristics_arcs", _WIRED + "SELECT source, target FROM arcs")
+def _places_sql(log, order):
+    marking = "CASE node WHEN 'source' THEN 'initial' WHEN 'sink' THEN 'final' ELSE '' END"
+    return _wired(log, order) + f"SELECT node AS place, {marking} AS marking FROM {_NODES} WHERE {_IS_PLACE}"
+
+
+def _transitions_sql(log, order):
+    return _wired(log, order) + f"SELECT node AS transition, CASE WHEN {_HIDDEN} THEN '' ELSE node END AS label FROM {_NODES} WHERE NOT {_IS_PLACE}"
+
+
+def _heuristics(log):
+    return plans.heuristics_net(log, and_threshold=AND_LIMIT)
+
+
+@query("heuristics_arcs", _arcs_sql("$F", "$LORD"))
 def heuristics_arcs(spark, folder):
-    return _heuristics(spark, folder).arcs
+    return _heuristics(stage_log(spark, folder)).arcs
 
 
-@query(
-    "heuristics_places",
-    _WIRED
-    + f"""SELECT node AS place, CASE node WHEN 'source' THEN 'initial' WHEN 'sink' THEN 'final' ELSE '' END AS marking
-          FROM {_NODES} WHERE {_IS_PLACE}""",
-)
+@query("heuristics_places", _places_sql("$F", "$LORD"))
 def heuristics_places(spark, folder):
-    return _heuristics(spark, folder).places.fillna("", ["marking"])
+    return _heuristics(stage_log(spark, folder)).places.fillna("", ["marking"])
 
 
-@query(
-    "heuristics_transitions",
-    _WIRED
-    + f"""SELECT node AS transition, CASE WHEN regexp_matches(node, '^(fork|merge|step):') THEN '' ELSE node END AS label
-          FROM {_NODES} WHERE NOT {_IS_PLACE}""",
-)
+@query("heuristics_transitions", _transitions_sql("$F", "$LORD"))
 def heuristics_transitions(spark, folder):
-    return _heuristics(spark, folder).transitions.withColumn("label", F.coalesce("label", F.lit("")))
+    return _heuristics(stage_log(spark, folder)).transitions.withColumn("label", F.coalesce("label", F.lit("")))
+
+
+@query("heuristics_arcs_busy", _arcs_sql("$B", "$EORD"))
+def heuristics_arcs_busy(spark, folder):
+    """A log with self loops and loops of two, and more than 64 activities."""
+    return _heuristics(busy_log(spark, folder)).arcs
+
+
+@query("heuristics_transitions_busy", _transitions_sql("$B", "$EORD"))
+def heuristics_transitions_busy(spark, folder):
+    return _heuristics(busy_log(spark, folder)).transitions.withColumn("label", F.coalesce("label", F.lit("")))

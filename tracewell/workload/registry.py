@@ -16,7 +16,7 @@ ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Register a function (spark, folder) -> DataFrame and its SQL; ``$L $E $O $C $F`` name the logs."""
+    """Register a function (spark, folder) -> DataFrame and its SQL; ``$L $E $O $B $C $F`` name the logs."""
 
     def register(build: Callable[[SparkSession, str], DataFrame]):
         if name in QUERIES:
@@ -103,6 +103,12 @@ def stage_log(spark: SparkSession, folder: str) -> EventLog:
     return log.with_events(remove_duplicates(log.events, ["case_id", "activity"], "first", log.order))
 
 
+def busy_log(spark: SparkSession, folder: str) -> EventLog:
+    """User events by type and hour: up to 120 activities, which repeat and follow themselves."""
+    activity = "concat(event_type, '@', hour(ts))"
+    return EventLog.of(table(spark, folder, "events"), "user_id", activity, "ts", ["event_id"])
+
+
 _SQL_LOGS = {
     "$LORD": "ts, l_linenumber, l_partkey, l_suppkey, l_extendedprice",
     "$EORD": "ts, event_id",
@@ -113,6 +119,7 @@ _SQL_LOGS = {
     "json_extract_string(props, '$.k') AS resource FROM events)",
     "$O": "(SELECT o_custkey AS case_id, o_orderpriority AS activity, o_orderdate AS ts, o_orderkey, "
     "o_orderstatus, o_totalprice, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey)",
+    "$B": "(SELECT user_id AS case_id, event_type || '@' || hour(ts) AS activity, ts, event_id FROM events)",
     "$C": "(SELECT conv_id AS case_id, role AS activity, turn FROM conversations)",
     "$F": "(SELECT * FROM (SELECT l_orderkey AS case_id, 'Y' || year(l_shipdate) || CASE WHEN year(l_shipdate) % 2 = 0 "
     "THEN '-' || (l_orderkey % 3) ELSE '' END AS activity, l_shipdate AS ts, l_linenumber, l_partkey, l_suppkey, "
