@@ -108,10 +108,48 @@ def test_time_gaps_do_not_depend_on_partitions(spark):
     assert one[0]["min_gap_seconds"] == 0.0
 
 
-def test_whole_prefixes_refuse_long_cases(spark, monkeypatch):
-    monkeypatch.setattr(prefixes, "WHOLE_PREFIX_LIMIT", 500)
-    with pytest.raises(ValueError, match="quadratic"):
-        prefixes.prefixes_inclusive(skewed_log(spark))
+@pytest.mark.parametrize("segment", [7, 64, 1000])
+def test_whole_prefixes_of_a_hot_case(spark, split, monkeypatch, segment):
+    """Prefixes shared by segments and put together equal those collected whole, means and labels included."""
+    monkeypatch.setattr(prefixes, "SEGMENT_EVENTS", segment)
+    log = skewed_log(spark, 600)
+    split(lambda: prefixes.prefixes_inclusive(log, numeric_attributes=["value"], case_attributes=["event_id"]))
+    split(lambda: prefixes.prefixes_next(log))
+    want = {}
+    for r in sorted(log.events.collect(), key=lambda r: (r["case_id"], r["ts"], r["event_id"])):
+        want.setdefault(r["case_id"], []).append(r)
+    found = prefixes.whole_prefixes(prefixes.prefixes_inclusive(log, numeric_attributes=["value"], case_attributes=["event_id"]), log, "activities").collect()
+    assert len(found) == 600 and "offset" not in found[0].asDict()
+    for r in found:
+        events = want[r["case_id"]][: r["prefix_length"]]
+        assert r["activities"] == [e["activity"] for e in events] and r["event_id"] == events[0]["event_id"]
+        assert r["start_time"] == events[0]["ts"] and abs(r["value_mean"] - sum(e["value"] for e in events) / len(events)) < 1e-9
+    shared = prefixes.prefixes_next(log)
+    assert shared.agg(F.max(F.size("prefix_activities"))).first()[0] <= segment
+    for r in prefixes.whole_prefixes(shared, log, "prefix_activities").collect():
+        events = want[r["case_id"]]
+        assert r["prefix_activities"] == [e["activity"] for e in events[: r["prefix_length"]]]
+        assert r["label_next_activity"] == events[r["prefix_length"]]["activity"] and r["label_outcome"] == events[-1]["activity"]
+    assert shared.count() == 600 - len(want)
+
+
+def test_a_case_of_twenty_thousand_events_stops_nothing(spark):
+    log = skewed_log(spark, 60_000)
+    shared = prefixes.prefixes_next(log)
+    assert shared.where("case_id = 'hot'").agg(F.max("prefix_length"), F.max(F.size("prefix_activities"))).first()[:] == (19_999, 1000)
+    chosen = prefixes.prefixes_inclusive(log).where("case_id = 'hot' AND prefix_length IN (1, 1000, 1001, 20000)")
+    sizes = prefixes.whole_prefixes(chosen, log, "activities").select("prefix_length", F.size("activities"))
+    assert sorted(map(tuple, sizes.collect())) == [(1, 1), (1000, 1000), (1001, 1001), (20000, 20000)]
+
+
+def test_events_without_activity_keep_their_place(spark):
+    rows = [("1", "a", 1), ("1", None, 2), ("1", "b", 3)]
+    events = spark.createDataFrame(rows, "case_id string, activity string, t int")
+    log = EventLog(events.selectExpr("case_id", "activity", "timestamp_ntz '2024-01-01' + make_interval(0, 0, 0, t) AS ts"), ("ts",))
+    assert [r["activities"] for r in prefixes.prefixes_inclusive(log).orderBy("prefix_length").collect()] == [["a"], ["a", None], ["a", None, "b"]]
+    for keep in (None, 2):
+        assert [r["prefix_activities"] for r in prefixes.prefixes_next(log, keep=keep).orderBy("prefix_length").collect()] == [["a"], ["a", None]]
+    assert prefixes.case_tails(log, 2).first()["activities"] == [None, "b"]
 
 
 def test_percentiles_of_odd_columns(spark, split):

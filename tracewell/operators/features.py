@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.columns import col, md5_test_share
 from tracewell.operators.lookup import one_row
-from tracewell.operators.vocabulary import encode_array
 
 NEWEST = 5
 
@@ -53,19 +52,20 @@ def sequence_features(prefixes: DataFrame, sequence: str = "activities", carry:
 
 
 def compact_features(
-    prefixes: DataFrame, ids: Column, sequence: str = "prefix_activities", max_length: int = 5,
-    carry: Sequence[str] = (),
+    prefixes: DataFrame, sequence: str = "prefix_activities", max_length: int = 5, carry: Sequence[str] = ()
 ) -> DataFrame:
-    """Last activity id, length, largest repetition and variety of prefixes up to ``max_length``."""
-    activities = col(sequence)
-    encoded = encode_array(activities, ids)
-    counts = F.transform(_repetitions(activities), lambda item: item["count"])
+    """Last activity id, length, largest repetition and variety of prefixes up to ``max_length``.
+
+    The sequences hold activity ids (prefixes of an ``encoded_log`` with ``symbol="activity_id"``).
+    """
+    ids = col(sequence)
+    counts = F.transform(F.array_distinct(ids), lambda a: F.size(F.filter(ids, lambda b: b == a)))
     return prefixes.where(F.col("prefix_length") <= max_length).select(
         "case_id",
-        F.coalesce(F.get(encoded, F.size(encoded) - 1), F.lit(0).cast("bigint")).alias("last_activity_id"),
+        F.coalesce(F.get(ids, F.size(ids) - 1), F.lit(0).cast("bigint")).alias("last_activity_id"),
         "prefix_length",
         F.coalesce(F.array_max(counts), F.lit(0)).cast("bigint").alias("max_repetition"),
-        F.size(F.array_distinct(activities)).cast("bigint").alias("unique_activities"),
+        F.size(F.array_distinct(ids)).cast("bigint").alias("unique_activities"),
         *[col(name) for name in carry],
     )
 

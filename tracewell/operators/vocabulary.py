@@ -27,22 +27,6 @@ def token_vocabulary(log: EventLog, tokens: Sequence[str] = ("START", "END")) ->
     return number_rows(distinct, ["activity"], "activity_id").withColumn("activity_id", F.col("activity_id") - 1)
 
 
-def id_map(vocabulary: DataFrame, max_size: int = 10_000) -> Column:
-    """The vocabulary as one literal map; it is read once and must be small."""
-    rows = vocabulary.select("activity", "activity_id").limit(max_size + 1).collect()
-    if len(rows) > max_size:
-        raise ValueError(f"the vocabulary has more than {max_size} activities; join it instead")
-    if not rows:
-        return F.create_map().cast("map<string,bigint>")
-    entries = [value for row in rows for value in (F.lit(row["activity"]), F.lit(row["activity_id"]).cast("bigint"))]
-    return F.create_map(*entries)
-
-
-def encode_array(sequence: Column, ids: Column) -> Column:
-    """Activity names to ids; an unknown name is 0."""
-    return F.transform(sequence, lambda name: F.coalesce(F.try_element_at(ids, name), F.lit(0).cast("bigint")))
-
-
 def encode_events(df: DataFrame, vocabulary: DataFrame, column: str = "activity") -> DataFrame:
     codes = pinned(vocabulary.select(col("activity").alias(column), F.col("activity_id").alias(f"{column}_id")))
     return df.join(codes, column, "left").withColumn(
@@ -50,6 +34,12 @@ def encode_events(df: DataFrame, vocabulary: DataFrame, column: str = "activity"
     )
 
 
+def encoded_log(log: EventLog, vocabulary: DataFrame) -> EventLog:
+    """The log with ``activity_id`` beside the activity; a vocabulary of any size is joined before anything is
+    collected."""
+    return log.with_events(encode_events(log.events, vocabulary))
+
+
 def decode_events(df: DataFrame, vocabulary: DataFrame, column: str = "activity_id") -> DataFrame:
     """Ids to names: 0 is the padding token, an id outside the vocabulary is ``<UNK>``."""
     names = pinned(vocabulary.select(F.col("activity_id").alias(column), F.col("activity").alias("_name")))

@@ -13,7 +13,7 @@ from tracewell.operators.evaluation import regression_columns, top_k_columns
 from tracewell.operators.features import case_split, compact_features
 from tracewell.operators.prefixes import prefixes_next
 from tracewell.operators.traces import outcome_by_last_activity
-from tracewell.operators.vocabulary import activity_vocabulary, id_map
+from tracewell.operators.vocabulary import activity_vocabulary, encoded_log
 from tracewell.plans.classifiers import Chosen, choose_best, fit
 from tracewell.plans.prediction import HORIZON, TransitionModel, evaluation_rows, train, training_samples
 from tracewell.session import build_session, cut_lineage
@@ -33,9 +33,8 @@ class TrainingRun:
 
 def outcome_rows(log: EventLog, vocabulary: DataFrame, max_length: int = 5) -> DataFrame:
     """Compact features of short prefixes, the case outcome as label, and the side of the case split."""
-    samples = prefixes_next(log, max_length=max_length)
-    features = compact_features(samples, id_map(vocabulary), max_length=max_length, carry=["label_outcome"])
-    return case_split(features)
+    samples = prefixes_next(encoded_log(log, vocabulary), max_length=max_length, symbol="activity_id")
+    return case_split(compact_features(samples, max_length=max_length, carry=["label_outcome"]))
 
 
 def bucket_scores(evaluated: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracewell.operators import evaluation, features
 from tracewell.operators.prefixes import prefixes_next
 from tracewell.operators.traces import outcome_by_attribute, outcome_by_last_activity
-from tracewell.operators.vocabulary import activity_vocabulary, id_map, label_encode
+from tracewell.operators.vocabulary import activity_vocabulary, encoded_log, label_encode
 from tracewell.plans.classifiers import choose_best, classify, ensemble_vote, feature_importance, fit
 from tracewell.plans.training import COMPACT_FEATURES, outcome_rows
 from tracewell.session import cut_lineage
@@ -68,8 +68,8 @@ _COMPACT = f"""SELECT case_id, prefix_length, coalesce(activity_id, 0) AS last_a
 @query("compact_features", _COMPACT)
 def compact_features(spark, folder):
     log = line_log(spark, folder)
-    ids = id_map(activity_vocabulary(log))
-    return features.compact_features(prefixes_next(log, max_length=5), ids, carry=["label_outcome"])
+    coded = encoded_log(log, activity_vocabulary(log))
+    return features.compact_features(prefixes_next(coded, max_length=5, symbol="activity_id"), carry=["label_outcome"])
 
 
 @query(

@@ -104,12 +104,13 @@ def event_neighbours(spark, folder):
     )
 
 
-_INCLUSIVE = """(SELECT case_id, row_number() OVER w AS prefix_length, string_agg(activity, '>') OVER f AS activities,
+_FIRST_TEN = "QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY $OORD) <= 10"
+_INCLUSIVE = f"""(SELECT case_id, row_number() OVER w AS prefix_length, string_agg(activity, '>') OVER f AS activities,
     epoch_us(first(ts) OVER f) AS start_micros, epoch_us(ts) AS current_micros,
     (epoch_us(ts) - epoch_us(first(ts) OVER f)) / 1e6 AS elapsed_seconds, first(c_mktsegment) OVER f AS c_mktsegment,
     o_orderstatus AS o_orderstatus_last, avg(price) OVER f AS price_mean
     FROM (SELECT *, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS price FROM $O
-          QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY $OORD) <= 10)
+          {_FIRST_TEN})
     WINDOW w AS (PARTITION BY case_id ORDER BY $OORD),
            f AS (PARTITION BY case_id ORDER BY $OORD ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
@@ -117,19 +118,21 @@ _INCLUSIVE = """(SELECT case_id, row_number() OVER w AS prefix_length, string_ag
 def order_prefixes(spark, folder, max_length=10):
     log = order_log(spark, folder)
     priced = log.with_events(log.events.withColumn("price", F.expr("CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END")))
-    return prefixes.prefixes_inclusive(
+    found = prefixes.prefixes_inclusive(
         priced, 1, max_length, case_attributes=["c_mktsegment"], text_attributes=["o_orderstatus"],
         numeric_attributes=["price"],
     )
+    return found.drop("offset") if max_length is not None else prefixes.whole_prefixes(found, priced, "activities")
 
 
 @query(
     "prefixes_inclusive",
     f"""SELECT case_id, prefix_length, activities, start_micros, current_micros, elapsed_seconds, c_mktsegment,
-        o_orderstatus_last, coalesce(round(price_mean, 6), -1) AS price_mean FROM {_INCLUSIVE} WHERE prefix_length <= 10""",
+        o_orderstatus_last, coalesce(round(price_mean, 6), -1) AS price_mean FROM {_INCLUSIVE.replace(_FIRST_TEN, '')}""",
 )
 def prefixes_inclusive(spark, folder):
-    found = order_prefixes(spark, folder)
+    """All prefixes, each whole."""
+    found = order_prefixes(spark, folder, None)
     stamped = found.select(
         "*", epoch_micros(F.col("start_time")).alias("start_micros"), epoch_micros(F.col("current_time")).alias("current_micros")
     ).drop("start_time", "current_time")
@@ -151,7 +154,8 @@ _NEXT = """(SELECT case_id, row_number() OVER w AS prefix_length, activity, lead
 )
 def prefixes_next(spark, folder):
     """All prefixes with a next event, each whole."""
-    found = prefixes.prefixes_next(line_log(spark, folder))
+    log = line_log(spark, folder)
+    found = prefixes.whole_prefixes(prefixes.prefixes_next(log), log, "prefix_activities")
     stamped = found.withColumn("at_micros", epoch_micros(F.col("timestamp"))).drop("timestamp")
     return _joined(rounded(stamped, "remaining_time"), "prefix_activities")
 
@@ -208,10 +212,10 @@ _LINES = _VOCABULARY.replace("{log}", "$L")
 )
 def bucket_sequences(spark, folder):
     log = line_log(spark, folder)
-    rows = prefixes.bucket_activities(log, 10, "first")
-    ids = vocabulary.id_map(vocabulary.activity_vocabulary(log))
-    encoded = F.transform(vocabulary.encode_array(F.col("prefix_activities"), ids), lambda i: i.cast("string"))
-    return rows.select("case_id", "prefix_length", "bucket_id", F.array_join(encoded, ">").alias("ids"))
+    coded = vocabulary.encoded_log(log, vocabulary.activity_vocabulary(log))
+    rows = prefixes.bucket_activities(coded, 10, "first", "activity_id")
+    ids = F.transform("prefix_activities", lambda i: i.cast("string"))
+    return rows.select("case_id", "prefix_length", "bucket_id", F.array_join(ids, ">").alias("ids"))
 
 
 @query(
@@ -224,9 +228,9 @@ def bucket_sequences(spark, folder):
 )
 def bucket_sequences_newest(spark, folder):
     log = line_log(spark, folder)
-    rows = prefixes.bucket_activities(log, 10, "last")
-    ids = vocabulary.id_map(vocabulary.activity_vocabulary(log))
-    padded = left_pad(vocabulary.encode_array(F.col("prefix_activities"), ids), 10, F.lit(0).cast("bigint"))
+    coded = vocabulary.encoded_log(log, vocabulary.activity_vocabulary(log))
+    rows = prefixes.bucket_activities(coded, 10, "last", "activity_id")
+    padded = left_pad(F.col("prefix_activities"), 10, F.lit(0).cast("bigint"))
     text = F.array_join(F.transform(padded, lambda i: i.cast("string")), ">")
     return rows.select("case_id", "prefix_length", "bucket_id", text.alias("ids"))
 
@@ -311,10 +315,10 @@ def serving_codes(spark, folder):
 def serving_sequences(spark, folder):
     log = click_log(spark, folder)
     known = vocabulary.activity_vocabulary(log.with_events(log.events.where("activity <> 'error'")))
-    encoded = vocabulary.encode_array(F.col("activities"), vocabulary.id_map(known))
-    padded = left_pad(encoded, 50, F.lit(0).cast("bigint"))
+    padded = left_pad(F.col("activities"), 50, F.lit(0).cast("bigint"))
     text = F.array_join(F.transform(padded, lambda i: i.cast("string")), ">")
-    return prefixes.case_tails(log, 50).select("case_id", text.alias("ids"))
+    tails = prefixes.case_tails(vocabulary.encoded_log(log, known), 50, "activity_id")
+    return tails.select("case_id", text.alias("ids"))
 
 
 _LEFT = "(SELECT case_id, position, remaining_seconds FROM " + _SEQUENCE + " WHERE position > 1)"
