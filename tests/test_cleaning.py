@@ -1,10 +1,12 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.logs import golden_log
 from tracewell.operators import cleaning, columns, evaluation, features, profile, vocabulary
+from tracewell.operators.likeness import alike
 from tracewell.operators.outliers import handle_outliers
 from tracewell.functions.columns import left_pad, letters, similarity
 
@@ -122,6 +124,26 @@ def test_corrections(spark):
     assert sorted(r["size"] or "" for r in done.collect()) == ["", "LARGE", "SMALL", "SMALL"]
 
 
+@pytest.mark.parametrize("threshold", [0, 40, 50, 65, 70, 85, 99, 100])
+def test_like_texts_equal_the_full_product(spark, threshold):
+    rng = random.Random(threshold)
+    words = {"".join(rng.choice("abc ") for _ in range(rng.randint(0, 14))) for _ in range(160)} | {"", "a" * 30, "a" * 27 + "bb"}
+    words |= {w[: rng.randint(0, len(w))] + rng.choice(["", "x"]) + w[rng.randint(0, len(w)) :] for w in list(words)}
+    every = spark.createDataFrame([(w,) for w in sorted(words)], "left string")
+    some = every.where("hash(left) % 3 <> 0").withColumnRenamed("left", "right")
+    found = {tuple(r) for r in alike(every, some, threshold).distinct().collect()}
+    score = similarity(F.col("left"), F.col("right"))
+    assert found == {tuple(r) for r in every.crossJoin(some).select("left", "right", score.alias("score")).where(F.col("score") >= threshold).collect()}
+
+
+def test_corrections_from_many_valid_values(spark):
+    valid = spark.range(100_000).selectExpr("concat('Part ', lpad(id, 6, '0'), ' ', chr(65 + id % 26), chr(65 + id % 25)) AS v")
+    rows = spark.createDataFrame([("part 012345 VU",), ("Part 0123456VU",), ("nothing like it",), ("Part 099999 DY",)], "name string")
+    found = {r[0]: (r[1], round(r[2], 2)) for r in cleaning.suggest_corrections(rows, "name", valid, 90).collect()}
+    assert found["part 012345 VU"] == ("Part 012345 VU", 100.0) and found["Part 0123456VU"] == ("Part 012345 VU", 92.86)
+    assert "nothing like it" not in found and len(found) <= 3
+
+
 def test_similarity_of_empty_texts(spark):
     row = spark.range(1).select(similarity(F.lit(""), F.lit("")).alias("a"), similarity(F.lit(""), F.lit("x")).alias("b")).collect()[0]
     assert (row["a"], row["b"]) == (100.0, 0.0)

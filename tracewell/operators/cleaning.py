@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.columns import col, is_true, letters, member, similarity
 from tracewell.log import EventLog
 from tracewell.operators.columns import columns_of_kind, fill_value, require
+from tracewell.operators.likeness import alike
 from tracewell.operators.lookup import pinned
 from tracewell.operators.numbering import number_rows
 
@@ -205,36 +206,22 @@ def suggest_corrections(
 ) -> DataFrame:
     """Per distinct value the most similar valid value, where it differs and scores at least ``threshold``.
 
-    The valid values travel as one array inside each distinct value's row; pairs are scored there and
-    never become rows of their own.
+    Values are compared in upper case without blanks around them. Both sides may be large: only those that share a
+    part are compared (see ``likeness``). The alphabetically first of equally similar values wins.
     """
     require(df, column)
-    if isinstance(valid_values, DataFrame):
-        rows = valid_values.distinct().limit(10_001).collect()
-        if len(rows) > 10_000:
-            raise ValueError("more than 10,000 valid values")
-        valid_values = [row[0] for row in rows]
-    valid = F.array(*[F.lit(v) for v in sorted(set(valid_values))])
+    if not isinstance(valid_values, DataFrame):
+        valid_values = df.sparkSession.createDataFrame([(v,) for v in valid_values], "value string")
+    text = F.col("original_value")
     values = df.select(col(column).cast("string").alias("original_value")).where("original_value IS NOT NULL").distinct()
-    scored = F.transform(
-        valid,
-        lambda v: F.struct(
-            similarity(F.upper(F.trim(F.col("original_value"))), F.upper(F.trim(v))).alias("score"), v.alias("value")
-        ),
+    values = values.withColumn("left", F.upper(F.trim(text)))
+    valid = valid_values.toDF("value").where("value IS NOT NULL").select(F.upper(F.trim("value")).alias("right"), "value")
+    firsts = valid.groupBy("right").agg(F.min("value").alias("value"))
+    pairs = alike(values.select("left").distinct(), firsts.select("right"), threshold).join(firsts, "right")
+    best = pairs.groupBy("left").agg(F.min_by(F.struct("score", "value"), F.struct((-F.col("score")).alias("worse"), "value")).alias("best"))
+    return values.join(best, "left").where(F.col("best.value") != text).select(
+        "original_value", F.col("best.value").alias("suggested_value"), F.col("best.score").alias("similarity_score")
     )
-    # The alphabetically first of equally similar values wins.
-    best = F.array_sort(
-        scored,
-        lambda a, b: F.when(a["score"] > b["score"], -1)
-        .when(a["score"] < b["score"], 1)
-        .when(a["value"] < b["value"], -1)
-        .when(a["value"] > b["value"], 1)
-        .otherwise(0),
-    )[0]
-    found = values.withColumn("best", best)
-    return found.where(
-        (F.col("best.score") >= threshold) & (F.col("best.value") != F.col("original_value"))
-    ).select("original_value", F.col("best.value").alias("suggested_value"), F.col("best.score").alias("similarity_score"))
 
 
 def apply_corrections(df: DataFrame, column: str, corrections: Mapping[str, str] | DataFrame) -> DataFrame:
