@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.log import EventLog, standardise
@@ -31,9 +31,12 @@ class TrainingRun:
     bucket_scores: DataFrame | None = None
 
 
-def outcome_rows(log: EventLog, vocabulary: DataFrame, max_length: int = 5) -> DataFrame:
-    """Compact features of short prefixes, the case outcome as label, and the side of the case split."""
-    samples = prefixes_next(encoded_log(log, vocabulary), max_length=max_length, symbol="activity_id")
+def outcome_rows(log: EventLog, vocabulary: DataFrame, max_length: int = 5, outcome: Column | None = None) -> DataFrame:
+    """Compact features of short prefixes, the case outcome as label, and the side of the case split.
+
+    The outcome is an aggregate over the events of a case, by default the last activity.
+    """
+    samples = prefixes_next(encoded_log(log, vocabulary), max_length=max_length, outcome=outcome, symbol="activity_id")
     return case_split(compact_features(samples, max_length=max_length, carry=["label_outcome"]))
 
 

@@ -9,9 +9,11 @@ from tracewell.operators.prefixes import prefixes_next
 from tracewell.operators.traces import outcome_by_attribute, outcome_by_last_activity
 from tracewell.operators.vocabulary import activity_vocabulary, encoded_log, label_encode
 from tracewell.plans.classifiers import choose_best, classify, ensemble_vote, feature_importance, fit
+from tracewell.plans.engine import ENSEMBLE, engine_rows, load_engine, predict_outcomes, train_engine
 from tracewell.plans.training import COMPACT_FEATURES, outcome_rows
 from tracewell.session import cut_lineage
-from tracewell.workload.registry import click_log, line_log, order_log, query, rounded, table
+from tracewell.sources.sinks import scratch_folder
+from tracewell.workload.registry import click_log, line_log, order_log, query, rounded, table, year_log
 from tracewell.workload.sequences import _INCLUSIVE, _LINES, _NEXT, order_prefixes
 
 _LISTED = _INCLUSIVE.replace("string_agg(activity, '>') OVER f AS activities", "list(activity) OVER f AS seq")
@@ -273,72 +275,149 @@ def majority_vote(spark, folder):
     return table(spark, folder, "lineitem").groupBy(vote.alias("vote")).agg(F.count(F.lit(1)).alias("count"))
 
 
+# The era in which an order's first line was shipped: a prefix tells much about it, though not all.
+_ERA = "CASE WHEN {year} < 'Y1996' THEN 'early' WHEN {year} < 'Y1998' THEN 'middle' ELSE 'late' END"
+_SIDES = f"""(SELECT {_ERA.format(year="opening")} AS label, substr(md5(CAST(case_id AS VARCHAR)), 1, 2) < '33' AS is_test FROM
+    (SELECT case_id, row_number() OVER w AS prefix_length, lead(activity) OVER w AS following, first(activity) OVER w AS opening
+     FROM $Y WINDOW w AS (PARTITION BY case_id ORDER BY $LORD)) WHERE following IS NOT NULL AND prefix_length <= 5)"""
+# What SQL can state of a fitted model: the rows it learned from and was tested on, and what must hold for any fit.
+_FITTED_MODEL = f"""SELECT label, count(*) FILTER (is_test) AS support, count(*) FILTER (NOT is_test) AS trained, true AS accurate,
+    true AS labels_known FROM {_SIDES} GROUP BY label"""
+
+
 def _outcome_rows(spark, folder):
     """Feature rows, written once: fitting reads them many times."""
-    log = line_log(spark, folder)
-    return cut_lineage(outcome_rows(log, activity_vocabulary(log)))
+    log = year_log(spark, folder)
+    first = F.min_by("activity", log.order_key())
+    era = F.when(first < "Y1996", "early").when(first < "Y1998", "middle").otherwise("late")
+    return cut_lineage(outcome_rows(log, activity_vocabulary(log), outcome=era))
+
+
+def _stated(rows, scored, *columns):
+    """Rows per label and side; whether the held-out rows are hit more often than their commonest label would be, and
+    all predictions are labels."""
+    hit = F.avg((F.col("label_outcome") == F.col("predicted_label")).cast("double")).alias("hit")
+    share = F.max("n") / F.sum("n")
+    common = scored.groupBy("label_outcome").agg(F.count(F.lit(1)).alias("n")).agg(share.alias("share")).scalar()
+    known = rows.agg(F.collect_set("label_outcome")).scalar()
+    judged = scored.agg(hit, F.bool_and(F.array_contains(known, F.col("predicted_label"))).alias("labels_known"))
+    counts = rows.groupBy(F.col("label_outcome").alias("label")).agg(
+        F.count_if("is_test").alias("support"), F.count_if(~F.col("is_test")).alias("trained")
+    )
+    return counts.withColumns(
+        {"accurate": judged.select(F.col("hit") > common).scalar(), "labels_known": judged.select("labels_known").scalar()}
+    ).select("*", *columns)
+
 
+def _model_of(rows, kind, **settings):
+    return fit(rows.where("NOT is_test"), COMPACT_FEATURES, "label_outcome", kind, **settings)
 
-def _scored(spark, folder, kind, **settings):
-    """Fit on the training cases and count labels and predictions of the held-out ones."""
+
+def _fitted(spark, folder, kind):
+    """Fit on the training cases with the algorithm's own settings and classify the held-out ones."""
     rows = _outcome_rows(spark, folder)
-    model = fit(rows.where("NOT is_test"), COMPACT_FEATURES, "label_outcome", kind, **settings)
-    scored = classify(model, rows.where("is_test"), COMPACT_FEATURES)
-    return evaluation.confusion(scored, "label_outcome", "predicted_label")
+    return _stated(rows, cut_lineage(classify(_model_of(rows, kind), rows.where("is_test"), COMPACT_FEATURES)))
 
 
-@query("decision_tree_outcomes")
+@query("decision_tree_outcomes", _FITTED_MODEL)
 def decision_tree_outcomes(spark, folder):
-    return _scored(spark, folder, "decision_tree")
+    return _fitted(spark, folder, "decision_tree")
 
 
-@query("logistic_regression_outcomes")
+@query("logistic_regression_outcomes", _FITTED_MODEL)
 def logistic_regression_outcomes(spark, folder):
-    return _scored(spark, folder, "logistic_regression", maxIter=100)
+    return _fitted(spark, folder, "logistic_regression")
 
 
-@query("random_forest_outcomes")
+@query("random_forest_outcomes", _FITTED_MODEL)
 def random_forest_outcomes(spark, folder):
-    return _scored(spark, folder, "random_forest", numTrees=20, maxDepth=10)
+    return _fitted(spark, folder, "random_forest")
 
 
-@query("gradient_boosting_outcomes")
+@query("gradient_boosting_outcomes", _FITTED_MODEL)
 def gradient_boosting_outcomes(spark, folder):
-    return _scored(spark, folder, "gradient_boosting", maxIter=3, maxDepth=3)
+    return _fitted(spark, folder, "gradient_boosting")
 
 
 def _three(rows):
-    training = rows.where("NOT is_test")
-    return {
-        "decision_tree": fit(training, COMPACT_FEATURES, "label_outcome", "decision_tree"),
-        "logistic_regression": fit(training, COMPACT_FEATURES, "label_outcome", "logistic_regression", maxIter=20),
-        "random_forest": fit(training, COMPACT_FEATURES, "label_outcome", "random_forest", numTrees=10, maxDepth=8),
-    }
+    return {kind: _model_of(rows, kind) for kind in ("decision_tree", "logistic_regression", "random_forest")}
 
 
-@query("ensemble_outcomes")
+@query("ensemble_outcomes", _FITTED_MODEL.replace("true AS labels_known", "true AS labels_known, true AS vote_agrees"))
 def ensemble_outcomes(spark, folder):
+    """The vote against the models' own columns: at least as many agree with it as with any other label."""
     rows = _outcome_rows(spark, folder)
-    voted = ensemble_vote(_three(rows), rows.where("is_test"), COMPACT_FEATURES)
-    return evaluation.confusion(voted, "label_outcome", "predicted_label")
+    models = _three(rows)
+    voted = cut_lineage(ensemble_vote(models, rows.where("is_test"), COMPACT_FEATURES))
+    labels = F.array(*[F.col(f"{name}_label") for name in models])
+
+    def votes(label):
+        return F.size(F.filter(labels, lambda x: x == label))
+
+    agrees = votes(F.col("predicted_label")) == F.array_max(F.transform(labels, votes))
+    return _stated(rows, voted, voted.agg(F.bool_and(agrees)).scalar().alias("vote_agrees"))
 
 
-@query("best_outcome_model")
+@query("best_outcome_model", _FITTED_MODEL.replace("true AS labels_known", "true AS labels_known, true AS is_best"))
 def best_outcome_model(spark, folder):
     rows = _outcome_rows(spark, folder)
     held_out = rows.where("is_test")
     chosen = choose_best(_three(rows), held_out, COMPACT_FEATURES, "label_outcome")
-    scored = classify(chosen.model, held_out, COMPACT_FEATURES)
-    return scored.groupBy("predicted_label").agg(
-        F.count(F.lit(1)).alias("count"), F.round(F.avg("confidence"), 6).alias("mean_confidence")
-    )
+    scored = cut_lineage(classify(chosen.model, held_out, COMPACT_FEATURES))
+    hit = F.avg((F.col("label_outcome") == F.col("predicted_label")).cast("double"))
+    best = scored.agg(F.abs(hit - F.lit(max(chosen.accuracies.values()))) < 1e-9).scalar()
+    return _stated(rows, scored, best.alias("is_best"))
 
 
-@query("feature_importance")
+@query(
+    "feature_importance",
+    "SELECT unnest(['last_activity_id', 'max_repetition', 'prefix_length', 'unique_activities']) AS feature, true AS valid, 1.0 AS total, 'last_activity_id' AS first",
+)
 def outcome_feature_importance(spark, folder):
-    rows = _outcome_rows(spark, folder).where("NOT is_test")
-    model = fit(rows, COMPACT_FEATURES, "label_outcome", "random_forest", numTrees=10, maxDepth=8)
-    return spark.createDataFrame(feature_importance(model, COMPACT_FEATURES), "feature string, importance double")
+    """The importances of a forest, which add up to 1; the last activity says most about the era."""
+    model = _model_of(_outcome_rows(spark, folder), "random_forest")
+    pairs = feature_importance(model, COMPACT_FEATURES)
+    found = spark.createDataFrame(pairs, "feature string, importance double")
+    total, first = found.agg(F.round(F.sum("importance"), 6)).scalar(), F.lit(pairs[0][0])
+    return found.select("feature", F.col("importance").between(0, 1).alias("valid"), total.alias("total"), first.alias("first"))
+
+
+@query(
+    "outcome_engine",
+    """SELECT outcome AS label, count(*) AS support, count(*) FILTER (price_mean IS NULL) AS missing, true AS same_when_loaded, true AS vote_agrees,
+        (SELECT count(*) FROM (SELECT activity FROM $O UNION SELECT 'START' UNION SELECT 'END')) AS vocabulary
+       FROM (SELECT case_id, row_number() OVER w AS prefix_length,
+                avg(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS price_mean
+             FROM $O WINDOW w AS (PARTITION BY case_id ORDER BY $OORD))
+       JOIN (SELECT case_id, last(s ORDER BY $OORD) FILTER (WHERE s IS NOT NULL) AS outcome
+             FROM (SELECT case_id, ts, o_orderkey, nullif(o_orderstatus, 'P') AS s FROM $O) GROUP BY 1) USING (case_id)
+       WHERE prefix_length <= 10 AND outcome IS NOT NULL AND substr(md5(outcome || '|' || case_id || '|' || prefix_length), 1, 4) < '3333'
+       GROUP BY outcome""",
+)
+def outcome_engine(spark, folder):
+    """The first engine's job, both phases: trained, saved, loaded again, and held against itself in memory.
+
+    Prices are missing at the beginning of many cases, so the imputer has work.
+    """
+    log = order_log(spark, folder)
+    gappy = log.events.withColumns(
+        {"status": F.expr("nullif(o_orderstatus, 'P')"), "price": F.expr("CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END")}
+    )
+    log = log.with_events(gappy)
+    target = scratch_folder(spark, "engine")
+    columns = (["c_mktsegment"], ["o_orderstatus"], ["price"])
+    made = train_engine(log, target, "both", "status", *columns)
+    loaded = load_engine(spark, target)
+    held_out = cut_lineage(engine_rows(log, "status", *columns).where("is_test"))
+    keys = ["case_id", "prefix_length"]
+    labels = [f"{name}_label" for name in ENSEMBLE]
+    again = predict_outcomes(loaded.outcome, held_out).select(*keys, F.struct(*labels, "predicted_label").alias("again"))
+    both = predict_outcomes(made.outcome, held_out).join(again, keys)
+    same = F.bool_and(F.struct(*labels, "predicted_label") == F.col("again")).alias("same_when_loaded")
+    vote = F.bool_and(F.col("predicted_label") == evaluation.majority_vote([F.col(c) for c in labels])).alias("vote_agrees")
+    missing = F.count_if(F.col("price_mean").isNull()).alias("missing")
+    found = both.groupBy(F.col("outcome").alias("label")).agg(F.count(F.lit(1)).alias("support"), missing, same, vote)
+    return found.withColumn("vocabulary", loaded.vocabulary.agg(F.count(F.lit(1))).scalar())
 
 
 @query(

@@ -16,7 +16,7 @@ ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Register a function (spark, folder) -> DataFrame and its SQL; ``$L $E $O $B $C $F`` name the logs."""
+    """Register a function (spark, folder) -> DataFrame and its SQL; ``$L $E $O $B $C $Y $F`` name the logs."""
 
     def register(build: Callable[[SparkSession, str], DataFrame]):
         if name in QUERIES:
@@ -87,12 +87,9 @@ def talk_log(spark: SparkSession, folder: str) -> EventLog:
     return EventLog.of(table(spark, folder, "conversations"), "conv_id", "role", tiebreak=["turn"])
 
 
-def stage_log(spark: SparkSession, folder: str) -> EventLog:
-    """First shipment of an order in each year; in even years one of three lanes by order number.
-
-    Years follow each other, and the lanes exclude each other, so the log has a process to discover.
-    """
-    log = EventLog.of(
+def year_log(spark: SparkSession, folder: str) -> EventLog:
+    """Shipments of an order by year; in even years one of three lanes by order number."""
+    return EventLog.of(
         table(spark, folder, "lineitem"),
         case_id="l_orderkey",
         activity="concat('Y', year(l_shipdate), "
@@ -100,6 +97,14 @@ def stage_log(spark: SparkSession, folder: str) -> EventLog:
         ts="l_shipdate",
         tiebreak=LINE_ORDER,
     )
+
+
+def stage_log(spark: SparkSession, folder: str) -> EventLog:
+    """First shipment of an order in each year and lane.
+
+    Years follow each other, and the lanes exclude each other, so the log has a process to discover.
+    """
+    log = year_log(spark, folder)
     return log.with_events(remove_duplicates(log.events, ["case_id", "activity"], "first", log.order))
 
 
@@ -121,6 +126,9 @@ _SQL_LOGS = {
     "o_orderstatus, o_totalprice, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey)",
     "$B": "(SELECT user_id AS case_id, event_type || '@' || hour(ts) AS activity, ts, event_id FROM events)",
     "$C": "(SELECT conv_id AS case_id, role AS activity, turn FROM conversations)",
+    "$Y": "(SELECT l_orderkey AS case_id, 'Y' || year(l_shipdate) || CASE WHEN year(l_shipdate) % 2 = 0 "
+    "THEN '-' || (l_orderkey % 3) ELSE '' END AS activity, l_shipdate AS ts, l_linenumber, l_partkey, l_suppkey, "
+    "l_extendedprice FROM lineitem)",
     "$F": "(SELECT * FROM (SELECT l_orderkey AS case_id, 'Y' || year(l_shipdate) || CASE WHEN year(l_shipdate) % 2 = 0 "
     "THEN '-' || (l_orderkey % 3) ELSE '' END AS activity, l_shipdate AS ts, l_linenumber, l_partkey, l_suppkey, "
     "l_extendedprice FROM lineitem) t QUALIFY row_number() OVER (PARTITION BY t.case_id, t.activity "

@@ -224,5 +224,5 @@ def line_training_record(spark, folder):
 def training_job(spark, folder):
     """The training job on the click log, saved to the shared folder; its record is read back."""
     target = scratch_folder(spark, "run")
-    run_training(click_log(spark, folder), target, phase="buckets")
+    run_training(click_log(spark, folder), target, phase="both")
     return spark.read.parquet(f"{target}/records").drop("recorded_at")
