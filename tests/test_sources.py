@@ -173,9 +173,12 @@ def test_folder_inventory(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "A.CSV").write_bytes(b"12345")
     (tmp_path / "notes").write_bytes(b"1")
+    (tmp_path / "nothing %20here.csv").write_bytes(b"")
     files = catalogue.with_file_facts(catalogue.validate(catalogue.scan_folder(spark, str(tmp_path))))
     rows = {r["original_name"]: r for r in files.collect()}
     assert (rows["A.CSV"]["extension"], rows["A.CSV"]["accepted"], rows["A.CSV"]["size_bytes"]) == ("csv", True, 5)
+    empty = rows["nothing %20here.csv"]
+    assert (empty["size_bytes"], empty["extension"]) == (0, "csv") and empty["uploaded_at"].year >= 2020 and len(rows) == 3
     assert (rows["notes"]["extension"], rows["notes"]["reason"]) == ("", "unsupported extension")
     scan = catalogue.scan_folder(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "content" not in scan

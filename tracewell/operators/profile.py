@@ -12,7 +12,7 @@ from tracewell.log import EventLog
 from tracewell.operators.blocks import BLOCK, table_blocks
 from tracewell.operators.columns import columns_of_kind
 from tracewell.operators.lookup import one_row, settled
-from tracewell.operators.quantiles import percentiles
+from tracewell.operators.quantiles import number, number_counts, percentiles, percentiles_of
 from tracewell.operators.traces import case_spans
 from tracewell.session import cut_lineage
 
@@ -35,44 +35,49 @@ def summary(df: DataFrame) -> DataFrame:
 
 
 def _long_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    cells = [F.struct(F.lit(c).alias("column"), col(c).cast("double").alias("value")) for c in columns]
+    cells = [F.struct(F.lit(c).alias("column"), number(c).alias("value")) for c in columns]
     return df.select(F.inline(F.array(*cells)))
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Per numeric column: count, mean, spread, quartiles, values outside 1.5 IQR, missing cells."""
+    """Per numeric column: count, mean, spread, quartiles, values outside 1.5 IQR, missing cells (null or NaN).
+
+    The table is read twice: once for all moments in one wide aggregate, once for the counts of values, from which
+    quartiles and outliers follow.
+    """
     names = list(columns or columns_of_kind(df, "numeric"))
-    quartiles = percentiles(df, names, [0.25, 0.5, 0.75])
-    value = F.col("value")
-    base = _long_numbers(df, names).groupBy("column").agg(
-        F.count("value").alias("count"),
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        F.count_if(value.isNull()).alias("missing"),
-        F.count(F.lit(1)).alias("rows"),
-    )
-    bounds = quartiles.select(
+    histogram = number_counts(df, names)
+    bounds = percentiles_of(histogram, names, [0.25, 0.5, 0.75]).select(
         "column",
         F.col("values")[0].alias("p25"),
         F.col("values")[1].alias("p50"),
         F.col("values")[2].alias("p75"),
     ).withColumn("iqr", F.col("p75") - F.col("p25"))
-    # One row per numeric column: bounded by the schema.
+    moments = []
+    for name in names:
+        value = number(name)
+        moments.append(
+            F.struct(
+                F.lit(name).alias("column"),
+                F.count(value).alias("count"),
+                F.avg(value).alias("mean"),
+                F.stddev_samp(value).alias("std"),
+                F.min(value).alias("min"),
+                F.max(value).alias("max"),
+                F.count_if(value.isNull()).alias("missing"),
+                F.try_divide(100.0 * F.count_if(value.isNull()), F.count(F.lit(1))).alias("missing_percent"),
+            )
+        )
+    base = df.agg(F.array(*moments).alias("moments")).select(F.inline("moments"))
+    value = F.col("value")
     outside = (value < F.col("p25") - 1.5 * F.col("iqr")) | (value > F.col("p75") + 1.5 * F.col("iqr"))
-    outliers = (
-        _long_numbers(df, names)
-        .join(F.broadcast(bounds), "column")
-        .groupBy("column")
-        .agg(F.count_if(outside).alias("outliers"))
-    )
+    # One row per numeric column: bounded by the schema.
+    figures = F.broadcast(settled(bounds))
+    outliers = histogram.join(figures, "column").groupBy("column").agg(F.sum(F.when(outside, F.col("times")).otherwise(F.lit(0))).alias("outliers"))
     return (
-        base.join(bounds, "column", "left")
-        .join(outliers, "column", "left")
-        .withColumn("outliers", F.coalesce("outliers", F.lit(0)))
-        .withColumn("missing_percent", 100.0 * F.col("missing") / F.col("rows"))
-        .drop("rows")
+        base.join(figures, "column", "left")
+        .join(F.broadcast(outliers), "column", "left")
+        .withColumn("outliers", F.coalesce("outliers", F.lit(0).cast("bigint")))
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.columns import col
@@ -12,16 +12,33 @@ from tracewell.operators.blocks import BLOCK, slice_points, with_block
 from tracewell.operators.lookup import settled
 
 
+def number(name: str) -> Column:
+    """A column as a double whose missing cells, null or NaN, are null."""
+    value = col(name).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def number_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column, value, times``: how often each number occurs, without missing cells; computed once.
+
+    Equal values are counted before the shuffle, so a common value is one row.
+    """
+    cells = [F.struct(F.lit(c).alias("column"), number(c).alias("value")) for c in columns]
+    long = df.select(F.inline(F.array(*cells))).where("value IS NOT NULL")
+    return settled(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("times")))
+
+
 def percentiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
     """Linear-interpolated percentiles, one row per column: ``column`` and ``values`` in share order.
 
-    Null and NaN count as missing, and a column of missing cells only has null values. Equal values are
-    counted before the shuffle, so a common value is one row; the histogram is cut into ordered blocks,
-    and only the blocks that hold a wanted rank are ordered.
+    Null and NaN count as missing, and a column of missing cells only has null values.
     """
-    cells = [F.struct(F.lit(c).alias("column"), col(c).cast("double").alias("value")) for c in columns]
-    long = df.select(F.inline(F.array(*cells))).where("value IS NOT NULL AND NOT isnan(value)")
-    histogram = settled(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("times")))
+    return percentiles_of(number_counts(df, columns), columns, shares)
+
+
+def percentiles_of(histogram: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """Percentiles from ``number_counts``. The histogram is cut into ordered blocks, and only the blocks that hold a
+    wanted rank are ordered."""
     points = settled(slice_points(histogram, "column", F.col("value")))  # one row per column
     blocked = with_block(histogram.join(F.broadcast(points), "column"), F.col("value"))
     counts = blocked.groupBy("column", BLOCK).agg(F.sum("times").alias("rows"))
@@ -64,6 +81,6 @@ def percentiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float])
         high = F.element_at("at", F.ceil(exact))
         values.append(low + (high - low) * (exact - F.floor(exact)))
     found = by_rank.select("column", F.array(*values).alias("values"))
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    names = histogram.sparkSession.createDataFrame([(c,) for c in columns], "column string")
     nothing = F.array(*[F.lit(None).cast("double") for _ in shares])
     return names.join(found, "column", "left").select("column", F.coalesce("values", nothing).alias("values"))

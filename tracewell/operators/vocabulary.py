@@ -53,14 +53,13 @@ def category_codes(df: DataFrame, column: str, null_token: str = "nan") -> DataF
 
 
 def fit_categories(df: DataFrame, columns: Sequence[str], null_token: str = "nan") -> dict[str, DataFrame]:
-    """The codes (``value, code``) of several text columns from one pass over the table."""
+    """The codes (``value, code``) of several text columns from one pass over the table and one numbering."""
     cells = [F.struct(F.lit(c).alias("column"), text_or_token(col(c), null_token).alias("value")) for c in columns]
-    distinct = settled(df.select(F.inline(F.array(*cells))).distinct())
-    fitted = {}
-    for column in columns:
-        values = distinct.where(F.col("column") == column).select("value")
-        fitted[column] = number_rows(values, ["value"], "code").withColumn("code", F.col("code") - 1)
-    return fitted
+    distinct = df.select(F.inline(F.array(*cells))).distinct()
+    numbered = number_rows(distinct, ["column", "value"], "_number")
+    firsts = numbered.groupBy("column").agg(F.min("_number").alias("_first"))  # one row per column
+    coded = settled(numbered.join(F.broadcast(firsts), "column").select("column", "value", (F.col("_number") - F.col("_first")).alias("code")))
+    return {column: coded.where(F.col("column") == column).select("value", "code") for column in columns}
 
 
 def label_encode(df: DataFrame, columns: Sequence[str], fitted: dict[str, DataFrame] | None = None,

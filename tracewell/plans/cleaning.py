@@ -14,6 +14,7 @@ from tracewell.operators.columns import column_facts, infer_types, normalise_nam
 from tracewell.operators.lookup import pinned
 from tracewell.operators.numbering import number_rows
 from tracewell.operators.outliers import handle_outliers
+from tracewell.session import cut_lineage
 
 CRITICAL = ("case_id", "activity", "ts")
 
@@ -50,6 +51,7 @@ def smart_clean(
     events = remove_duplicates(events)
     if aggressive:
         events = handle_outliers(events, "ts", outlier_percent)
+    events = cut_lineage(events)  # the cleaned log is read for its cases and once more for its events
     cases = number_rows(events.select("case_id").distinct(), ["case_id"], "_case_number")
     numbered = events.join(pinned(cases), "case_id")
     kept = numbered.select(

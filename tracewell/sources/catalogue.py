@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,14 +12,23 @@ ACCEPTED_EXTENSIONS = ("csv", "xes")
 
 
 def scan_folder(spark: SparkSession, path: str) -> DataFrame:
-    """One row per non-empty file below a folder; file contents are not read."""
+    """One row per file below a folder; file contents are not read.
+
+    Spark's file source lists empty files and reads none of them; their times come from the file system.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(
-        "path",
-        F.element_at(F.split("path", "/"), -1).alias("original_name"),
-        F.col("length").alias("size_bytes"),
-        F.col("modificationTime").alias("uploaded_at"),
-    )
+    kept = files.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("uploaded_at"))
+    # The listing has names as URIs, the rows have them as paths.
+    names = [unquote(name).replace("file:///", "file:/", 1) for name in files.inputFiles()]
+    listed = spark.createDataFrame([(name,) for name in names], "path string")
+    empty = [row["path"] for row in listed.join(kept.select("path"), "path", "left_anti").collect()]
+    if empty:
+        hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+        paths = [hadoop.Path(name) for name in empty]
+        times = [p.getFileSystem(conf).getFileStatus(p).getModificationTime() / 1000 for p in paths]
+        rows = spark.createDataFrame(list(zip(empty, times)), "path string, seconds double")
+        kept = kept.unionByName(rows.select("path", F.lit(0).cast("long").alias("size_bytes"), F.timestamp_seconds("seconds").alias("uploaded_at")))
+    return kept.select("path", F.element_at(F.split("path", "/"), -1).alias("original_name"), "size_bytes", "uploaded_at")
 
 
 def extension(name: Column) -> Column:

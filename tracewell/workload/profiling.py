@@ -46,15 +46,15 @@ def profile_summary(spark, folder):
     return ops.summary(table(spark, folder, "lineitem"))
 
 
-def _numeric(column):
+def _numeric(column, source=_G):
     return f"""SELECT '{column}' AS "column", count(v) AS count, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std,
         min(v) AS min, max(v) AS max, count(*) - count(v) AS missing, round(any_value(p25), 6) AS p25,
         round(any_value(p50), 6) AS p50, round(any_value(p75), 6) AS p75, round(any_value(p75 - p25), 6) AS iqr,
         count(*) FILTER (WHERE v < p25 - 1.5 * (p75 - p25) OR v > p75 + 1.5 * (p75 - p25)) AS outliers,
         round(100.0 * (count(*) - count(v)) / count(*), 6) AS missing_percent
-        FROM (SELECT CAST({column} AS DOUBLE) AS v FROM {_G}),
+        FROM (SELECT CAST({column} AS DOUBLE) AS v FROM {source}),
              (SELECT quantile_cont({column}, 0.25) AS p25, quantile_cont({column}, 0.5) AS p50,
-                     quantile_cont({column}, 0.75) AS p75 FROM {_G})"""
+                     quantile_cont({column}, 0.75) AS p75 FROM {source})"""
 
 
 @query("profile_numeric", _numeric("value") + " UNION ALL " + _numeric("user_id"))
@@ -63,6 +63,13 @@ def profile_numeric(spark, folder):
     return rounded(found, "mean", "std", "p25", "p50", "p75", "iqr", "missing_percent")
 
 
+@query("profile_numeric_nan", _numeric("value", f"(SELECT CASE WHEN event_id % 5 <> 0 THEN value END AS value FROM {_G})"))
+def profile_numeric_nan(spark, folder):
+    """NaN is a missing cell like null."""
+    rows = _gappy(spark, folder).select(F.expr("IF(event_id % 5 = 0, double('NaN'), value)").alias("value"))
+    return rounded(ops.numeric_profile(rows), "mean", "std", "p25", "p50", "p75", "iqr", "missing_percent")
+
+
 @query(
     "profile_datetime",
     """SELECT 'ts' AS "column", min(t) AS first_micros, max(t) AS last_micros, round((max(t) - min(t)) / 1e6, 6) AS span_seconds,
