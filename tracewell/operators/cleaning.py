@@ -50,12 +50,18 @@ _COMPARE = {
 }
 
 
-def predicate(conditions: str | Sequence[tuple[str, str, Any]]) -> Column:
-    """A SQL predicate, or (column, operator, value) triples that must all hold."""
+def predicate(conditions: str | Sequence[str | tuple[str, str, Any]]) -> Column:
+    """A SQL predicate, or a list of such predicates and (column, operator, value) triples that must all hold."""
     if isinstance(conditions, str):
         return is_true(F.expr(conditions))
     result = F.lit(True)
-    for name, operator, value in conditions:
+    for condition in conditions:
+        if isinstance(condition, str):
+            result = result & is_true(F.expr(condition))
+            continue
+        if len(condition) != 3:
+            raise ValueError(f"neither a predicate nor a triple: {condition!r}")
+        name, operator, value = condition
         if operator not in _COMPARE:
             raise ValueError(f"unknown operator {operator!r}")
         result = result & is_true(_COMPARE[operator](col(name), value))
@@ -113,7 +119,7 @@ def filter_range(
 ) -> DataFrame:
     """Treat values that are not allowed, below the minimum or above the maximum (bounds inclusive).
 
-    A text column compared with a range is read as time when at least 70 % of its values parse.
+    A text column compared with a range becomes a time when at least 70 % of its values parse; the others are null.
     A null is never outside a range but is outside a set of allowed values.
     """
     require(df, column)
@@ -124,7 +130,7 @@ def filter_range(
         parsed = value.try_cast("timestamp_ntz")
         share = df.agg((F.count(parsed) / F.count(F.lit(1))).alias("s")).collect()[0]["s"]
         if share is not None and share >= DATETIME_SHARE:
-            value, timed = parsed, True
+            df, timed = df.withColumn(column, parsed), True
 
     def bound(limit):
         return F.lit(limit).try_cast("timestamp_ntz") if timed else F.lit(limit)

@@ -52,11 +52,12 @@ def replace_values(spark, folder):
 
 @query(
     "replace_where",
-    f"""SELECT event_id, CASE WHEN coalesce(value > 100, false) AND event_type IS DISTINCT FROM 'view' THEN 'big'
+    f"""SELECT event_id, CASE WHEN coalesce(value > 100, false) AND event_type IS DISTINCT FROM 'view' AND coalesce(user_id % 2 = 0, false) THEN 'big'
                               ELSE event_type END AS event_type FROM {_G}""",
 )
 def replace_where(spark, folder):
-    conditions = [("value", ">", 100), ("event_type", "!=", "view")]
+    """Triples and a predicate in one list."""
+    conditions = [("value", ">", 100), ("event_type", "!=", "view"), "user_id % 2 = 0"]
     return ops.replace_where(_gappy(spark, folder), ["event_type"], conditions, "big").select("event_id", "event_type")
 
 
@@ -112,12 +113,13 @@ def allowed_set_show(spark, folder):
 
 @query(
     "range_on_text_time",
-    """SELECT event_id FROM events WHERE date_trunc('second', ts) BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'""",
+    """SELECT event_id, epoch_us(date_trunc('second', ts)) AS at_micros FROM events WHERE date_trunc('second', ts) BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'""",
 )
 def range_on_text_time(spark, folder):
-    """A text column that parses as time is filtered as time."""
+    """A text column that parses as time is filtered as time and becomes one."""
     texts = table(spark, folder, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
-    return ops.filter_range(texts, "at", range_min="2024-01-05", range_max="2024-01-20").select("event_id")
+    found = ops.filter_range(texts, "at", range_min="2024-01-05", range_max="2024-01-20")
+    return found.select("event_id", epoch_micros(F.col("at")).alias("at_micros"))
 
 
 _BOUNDS = f"(SELECT avg(value) AS m FROM {_G})"
