@@ -249,9 +249,10 @@ def _checked(entity: Column, made: Column) -> Column:
     return F.transform(F.array(made), lambda card: F.when(_luhn(entity) == 0, fixed(card)).otherwise(card))[0]
 
 
-def tries(docs: DataFrame, key: str, text_col: str) -> DataFrame:
-    """``identity, attempt`` of what needs more than a first try for its surrogate to be its own."""
-    found = docs.select(F.explode(entities(docs[text_col].cast("string"))).alias("entity")).distinct()
+def tries(held: DataFrame, key: str) -> DataFrame:
+    """``identity, attempt`` of what needs more than a first try for its surrogate to be its own; ``held`` has the
+    arrays of entities as ``found``."""
+    found = held.select(F.explode("found").alias("entity")).distinct()
     found = found.withColumn("kind", kind_of(F.col("entity")))
     own = found.select(F.explode(_identities(F.col("entity"), F.col("kind"))).alias("identity"), "entity").groupBy("identity").agg(F.min("entity").alias("entity"))
     own = stored(own.withColumn("attempt", F.lit(0)), "entities")
@@ -279,14 +280,17 @@ def with_surrogates(docs: DataFrame, key: str = "tracewell", id_col: str = "doc_
     share one surrogate in their own spelling. Null texts stay null; texts without entities and other columns are
     untouched. ``count_col`` names a column for the number of entities. Rows equal in id and text fare alike.
     """
-    more = stored(tries(docs, key, text_col), "tries")
     text, columns = docs[text_col].cast("string"), [c for c in docs.columns if c != count_col]
-    rows = docs.select(*columns).withColumn("__found", F.coalesce(entities(text), F.array().cast("array<string>")))
+    # Written as they are found: an array that an explode reads straight from the texts would be found twice over.
+    found = F.coalesce(entities(text), F.array().cast("array<string>"))
+    holders = stored(docs.select(docs[id_col].alias("__id"), F.xxhash64(text).alias("__version"), found.alias("found")), "found")
+    more = stored(tries(holders, key), "tries")
+    rows = docs.select(*columns).withColumn("__found", found)
     if more.isEmpty():
         attempt = lambda identity: F.lit(0)
     else:
         # Documents with such entities get the tries as a map.
-        held = docs.select(docs[id_col].alias("__id"), F.xxhash64(text).alias("__version"), F.explode(F.array_distinct(entities(text))).alias("entity"))
+        held = holders.select("__id", "__version", F.explode(F.array_distinct("found")).alias("entity"))
         held = held.withColumn("kind", kind_of(F.col("entity"))).select("__id", "__version", F.explode(_identities(F.col("entity"), F.col("kind"))).alias("identity"))
         held = held.join(_small(more), "identity")
         maps = held.groupBy("__id", "__version").agg(F.map_from_entries(F.collect_set(F.struct("identity", "attempt"))).alias("__tries"))
