@@ -1,5 +1,5 @@
 import random
-from hashlib import sha256
+from hashlib import md5, sha256
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,7 +80,8 @@ def h(text):
 
 def brute(rows):
     def order(r):
-        return tuple((x is not None, x if x is not None else 0) for x in r[1:3]) + (__import__("hashlib").md5((r[3] or "").encode()).hexdigest(),)
+        role = "n" if r[2] is None else "r" + r[2]
+        return r[1] is not None, r[1] or 0, md5(f"{role}\n{r[3] or ''}".encode()).hexdigest()
 
     def size(role, text):
         for mark in Template().controls():
@@ -106,7 +107,7 @@ def test_rows_equal_brute_force(spark):
 
 def test_log_holds_drafts_that_go(spark):
     rows = spark.createDataFrame([(1, 0, "user", "Hi"), (1, 1, "assistant", "x" * 600), (1, 2, "user", "Bye")], ROWS)
-    log = streamed_log(rows)
+    log = streamed_log(rows, 256)
     kinds = {r["kind"]: r["count"] for r in log.groupBy("kind").count().collect()}
     assert kinds["regenerate"] == 1 and kinds["edit"] == 2 and kinds["delta"] == 2 + 2 + 3
     assert sorted(r["text"] for r in messages_of(log).collect()) == ["Bye", "Hi", "x" * 600]

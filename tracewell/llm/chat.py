@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import stored, whole_text
 
 STARTS = ("open", "edit", "regenerate")
-CHUNK_CHARS = 256  # code points of a streamed delta in the derived log
+CHUNK_CHARS = 1_024  # code points of a streamed delta in the derived log
 
 
 @dataclass(frozen=True)
@@ -223,14 +223,15 @@ def streamed_log(rows: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
 
     Assistant texts begin with a draft that another message follows; a regeneration withdraws both, and the text
     streams in as deltas. All other texts are opened with a draft and edited. Rows of one turn are messages of their
-    own, ordered by role and digest of the text; equal rows are counted and numbered, so they stay apart.
+    own, ordered by the digest of role and text; equal rows are counted and numbered, so they stay apart.
     """
     text = whole_text("text")
     counted = rows.groupBy("conv_id", "turn", "role", text.alias("text")).count()
-    copies = counted.select("conv_id", "turn", "role", "text", F.md5(F.encode("text", "utf-8")).alias("hash"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("copy"))
+    digest = F.unhex(F.md5(F.encode(F.concat(F.coalesce(F.concat(F.lit("r"), "role"), F.lit("n")), F.lit("\n"), "text"), "utf-8")))
+    copies = counted.select("conv_id", "turn", "role", "text", digest.alias("hash"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("copy"))
 
     def key(follows: int) -> Column:
-        return F.struct("turn", F.col("role").alias("of"), "hash", "copy", F.lit(follows).alias("follows"))
+        return F.struct("turn", "hash", "copy", F.lit(follows).alias("follows"))
 
     def event(step: Column, kind: str, content: Column, follows: int = 0, role: Column = F.col("role")) -> Column:
         return F.struct(key(follows).alias("turn"), F.struct(key(0).alias("of"), step.cast("int").alias("step")).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), content.alias("text"))
@@ -256,7 +257,7 @@ def formatted_conversations(rows: DataFrame, template: Template = Template()) ->
     """Write rows of messages as a log, fold it, render the conversations and return the digests of what reads back.
 
     One row for each ``conv_id`` of ``rows``, null included; null texts are empty, null roles read back as none (and
-    as empty in the digest). Turns that tie go by role and digest of the text, and repeated rows are turns each. An
+    as empty in the digest). Turns that tie go by the digest of role and text, and repeated rows are turns each. An
     empty table gives an empty one; further columns are ignored. Texts and conversations must fit a row (2 GB).
     """
     log = streamed_log(rows.select("conv_id", "turn", "role", "text"))

@@ -196,9 +196,9 @@ def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
             + CASE role WHEN 'system' THEN 17 WHEN 'user' THEN 15 WHEN 'assistant' THEN 6 ELSE coalesce(23 + length(role), 17) END AS chars
         FROM turns)
     SELECT conv_id, count(*) AS n_turns,
-        sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text))) AS turns_sha256,
+        sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, md5(coalesce('r' || role, 'n') || chr(10) || text))) AS turns_sha256,
         CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text)) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, md5(coalesce('r' || role, 'n') || chr(10) || text)) FILTER (role = 'assistant'), '')) AS loss_sha256,
         CAST(3 + sum(chars) AS BIGINT) AS formatted_chars
     FROM sized GROUP BY conv_id
     """,
