@@ -176,21 +176,24 @@ def rendered(messages: DataFrame, template: Template = Template()) -> DataFrame:
 
 
 def read_back(conversations: DataFrame, template: Template = Template()) -> DataFrame:
-    """``conv_id, at, role, text, learned``: the turns of rendered conversations and the text under the loss mask.
+    """``conv_id, at, role, text, learned, formatted_chars``: the turns of rendered conversations and the text under
+    the loss mask, with the length of the whole.
 
     Turns are found by the control strings alone, texts are unescaped; ``learned`` is cut from the rendered text by
     the mask's span and null where there is none.
     """
     found = F.regexp_extract_all("formatted", F.lit(template.turn_pattern()), F.lit(0))
     body = F.substring("formatted", F.lit(len(template.begin) + 1), F.char_length("formatted"))
-    turns = conversations.withColumn("formatted", body).select("conv_id", F.posexplode(F.arrays_zip(found.alias("piece"), F.col("loss"))).alias("at", "turn"))
-    turns = turns.select("conv_id", "at", F.col("turn.piece").alias("piece"), F.col("turn.loss").alias("span"))
+    chars = F.char_length("formatted").cast("long").alias("formatted_chars")
+    whole = conversations.select("conv_id", body.alias("formatted"), "loss", chars)
+    turns = whole.select("conv_id", "formatted_chars", F.posexplode(F.arrays_zip(found.alias("piece"), F.col("loss"))).alias("at", "turn"))
+    turns = turns.select("conv_id", "formatted_chars", "at", F.col("turn.piece").alias("piece"), F.col("turn.loss").alias("span"))
     earlier = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     begin = F.coalesce(F.sum(F.char_length("piece").cast("long")).over(earlier), F.lit(0)) + len(template.begin)
     role, text = template.parsed(F.col("piece"))
     under = F.substring("piece", (F.col("span.start") - F.col("begin") + 1).cast("int"), F.col("span.length").cast("int"))
     return turns.withColumn("begin", begin).select(
-        "conv_id", "at", role.alias("role"), template.unescaped(text).alias("text"), template.unescaped(under).alias("learned")
+        "conv_id", "at", role.alias("role"), template.unescaped(text).alias("text"), template.unescaped(under).alias("learned"), "formatted_chars"
     )
 
 
@@ -201,15 +204,15 @@ def conversation_digests(conversations: DataFrame, template: Template = Template
         "whole", F.concat(F.coalesce("role", F.lit("")), F.lit("\n"), "text", F.lit("\n"))
     )
     both = F.sort_array(F.collect_list(F.struct("at", "whole", F.coalesce("learned", F.lit("")).alias("learned"))))
-    read = turns.groupBy("conv_id").agg(both.alias("turns")).select(
+    read = turns.groupBy("conv_id").agg(both.alias("turns"), F.first("formatted_chars").alias("formatted_chars")).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: t["whole"]), ""), 256).alias("turns_sha256"),
         F.array_join(F.transform("turns", lambda t: t["learned"]), "").alias("learned"),
+        "formatted_chars",
     )
-    sizes = conversations.select("conv_id", F.char_length("formatted").cast("long").alias("formatted_chars"))
-    return read.join(sizes, _same(read, sizes, ("conv_id",))).select(
-        read["conv_id"],
+    return read.select(
+        "conv_id",
         "n_turns",
         "turns_sha256",
         F.char_length("learned").cast("long").alias("loss_chars"),
