@@ -92,7 +92,7 @@ def _groups(rows):
 def test_entry_registers_everything():
     names = set(__spark_entry__.queries())
     assert set(LLM_QUERIES) | {"pipeline"} <= names and set(LLM_ORACLES) <= set(__spark_entry__.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 14))
 
 
 def test_near_duplicates_of_repeated_and_null_ids(spark):
