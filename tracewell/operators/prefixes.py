@@ -12,6 +12,7 @@ others together, for those rows that are wanted.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -44,6 +45,19 @@ def _placed(log: EventLog, max_length: int | None, more: int = 0) -> DataFrame:
     return rows if leading is None else rows.where(F.col("prefix_length") <= leading)
 
 
+# Counted once per table, as a log's prefixes are read in several ways.
+_LONG: WeakKeyDictionary[DataFrame, dict[int, bool]] = WeakKeyDictionary()
+
+
+def _long_cases(log: EventLog) -> bool:
+    """Whether some case has more than one segment; only then segments have to be joined."""
+    known = _LONG.setdefault(log.events, {})
+    if SEGMENT_EVENTS not in known:
+        sizes = log.events.groupBy("case_id").agg(F.count(F.lit(1)).alias("_rows"))
+        known[SEGMENT_EVENTS] = not sizes.where(F.col("_rows") > SEGMENT_EVENTS).isEmpty()
+    return known[SEGMENT_EVENTS]
+
+
 def _in_segments(rows: DataFrame) -> DataFrame:
     return rows.withColumn("offset", F.floor((F.col("prefix_length") - 1) / SEGMENT_EVENTS) * SEGMENT_EVENTS)
 
@@ -83,8 +97,7 @@ def prefixes_inclusive(
         *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(name) for name in (*sums, *counts)],
         F.first("_opening").over(_up_to_here(case)).alias("_opening"),
     )
-    single = max_length is not None and max_length <= SEGMENT_EVENTS
-    if single:
+    if (max_length is not None and max_length <= SEGMENT_EVENTS) or not _long_cases(log):
         opening = F.first(F.struct(*[col(c).alias(n) for n, c in firsts.items()])).over(here)
         rows = rows.withColumns({"_opening": opening, **{name: F.lit(0) for name in (*sums, *counts)}})
     else:
@@ -168,6 +181,8 @@ def _labelled(log: EventLog, max_length: int | None, values: dict[str, Column])
     """
     rows = _in_segments(_placed(log, max_length, more=1))
     totals = log.events.groupBy("case_id").agg(F.count(F.lit(1)).alias("_case_length"), *[v.alias(f"_{n}") for n, v in values.items()])
+    if (max_length is not None and max_length < SEGMENT_EVENTS) or not _long_cases(log):
+        return rows.withColumn("_next", F.lead("activity").over(_segment())).join(totals, "case_id")
     heads = rows.where((F.col("prefix_length") > 1) & (F.col("prefix_length") == F.col("offset") + 1))
     after = heads.select("case_id", (F.col("offset") - SEGMENT_EVENTS).alias("offset"), F.col("activity").alias("_following"))
     rows = rows.join(after, ["case_id", "offset"], "left").join(totals, "case_id")
@@ -180,6 +195,8 @@ def whole_prefixes(prefixes: DataFrame, log: EventLog, sequence: str) -> DataFra
 
     Each row takes an array as long as its prefix, so choose the rows first.
     """
+    if not _long_cases(log):
+        return prefixes.drop("offset")
     segments = traces(log, SEGMENT_EVENTS).select("case_id", (F.col("segment") * SEGMENT_EVENTS).alias("_from"), F.col("activities").alias("_part"))
     keys = prefixes.where("offset > 0").select("case_id", "offset").distinct()
     before = keys.join(segments, "case_id").where(F.col("_from") < F.col("offset")).groupBy("case_id", "offset")
