@@ -1,9 +1,11 @@
 import datetime as dt
 import time
 
+import pandas as pd
+
 from tests.logs import skewed_log
 from tracewell.plans import prediction
-from tracewell.streaming.monitor import monitor, running_cases
+from tracewell.streaming.monitor import _combine, monitor, running_cases
 
 
 def test_stream_ends_where_the_batch_ends(spark, tmp_path):
@@ -98,3 +100,22 @@ def test_quiet_cases_are_dropped_and_begin_anew(spark, tmp_path):
     newest = {r["case_id"]: r for _, r in sorted(seen, key=lambda x: x[0])}
     assert (newest["a"]["activities"], newest["a"]["prefix_length"]) == (["z"], 1)
     assert (newest["b"]["activities"], newest["b"]["prefix_length"]) == (["x", "y", None], 3)
+
+
+def test_events_combine_without_a_call_for_each_second(monkeypatch):
+    """Most seconds of a case hold one event, so a pandas call for each of them took most of the stream's time."""
+
+    def refuse(*_, **__):
+        raise AssertionError("a pandas group for each case and second")
+
+    monkeypatch.setattr(pd.DataFrame, "groupby", refuse)
+    batch = pd.DataFrame(
+        {
+            "case_id": ["b", "a", "a", "a", "a"], "activity": ["v", "z", "y", None, "x"],
+            "micros": [5, 2_000_001, 7, 7, 3], "tiebreak": [1.0, 2.0, 3.0, None, 4.0],
+        }
+    )
+    (found,) = _combine(2, 1_000_000)(iter([pd.DataFrame(), batch]))
+    assert found[["case_id", "events", "low", "high"]].to_numpy().tolist() == [["a", 3, 3, 7], ["a", 1, 2_000_001, 2_000_001], ["b", 1, 5, 5]]
+    assert found["activities"].tolist() == [[None, "y"], ["z"], ["v"]] and found["micros"].tolist() == [[7, 7], [2_000_001], [5]]
+    assert str(found["tiebreaks"].tolist()) == "[[nan, 3.0], [2.0], [1.0]]"

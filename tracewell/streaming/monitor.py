@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,20 +38,25 @@ def _combine(horizon: int, grain: int) -> Callable:
             if batch.empty:
                 continue
             batch["second"] = batch["micros"] // grain
-            keys = ["case_id", "second"]
-            ordered = batch.sort_values([*keys, "micros", "tiebreak"], na_position="first").groupby(keys, sort=True)
-            spans = ordered["micros"].agg(["size", "min", "max"]).reset_index()
-            newest = ordered.tail(horizon).groupby(keys, sort=True).agg(list)
+            ordered = batch.sort_values(["case_id", "second", "micros", "tiebreak"], na_position="first")
+            case, second, micros = (ordered[c].to_numpy() for c in ("case_id", "second", "micros"))
+            first = np.flatnonzero(np.append(True, (case[1:] != case[:-1]) | (second[1:] != second[:-1])))
+            end = np.append(first[1:], len(ordered))
+            cuts = list(zip(np.maximum(first, end - horizon).tolist(), end.tolist()))
+            newest = {}
+            for name in ("micros", "tiebreak", "activity"):
+                values = ordered[name].tolist()
+                newest[name] = [values[i:j] for i, j in cuts]
             yield pd.DataFrame(
                 {
-                    "case_id": spans["case_id"],
-                    "ts": pd.to_datetime(spans["max"], unit="us", utc=True),
-                    "events": spans["size"],
-                    "low": spans["min"],
-                    "high": spans["max"],
-                    "micros": newest["micros"].to_numpy(),
-                    "tiebreaks": newest["tiebreak"].to_numpy(),
-                    "activities": newest["activity"].to_numpy(),
+                    "case_id": case[first],
+                    "ts": pd.to_datetime(micros[end - 1], unit="us", utc=True),
+                    "events": end - first,
+                    "low": micros[first],
+                    "high": micros[end - 1],
+                    "micros": newest["micros"],
+                    "tiebreaks": newest["tiebreak"],
+                    "activities": newest["activity"],
                 }
             )
 
