@@ -113,3 +113,21 @@ def test_hot_dishes_converge_within_the_burn_in():
         a, b = (np.mean([figure(s) for s in samples]) for samples in (short, long))
         assert abs(a / b - 1) < 0.05
     assert np.abs(short[-1][0] - short[0][0])[hot].mean() > 10
+
+
+@pytest.mark.parametrize("named", [60_000, 50])
+def test_rare_words_have_contexts_of_their_own(spark, monkeypatch, named):
+    """Pairs of rare words: the second is far likelier after its own first word than after another's."""
+    monkeypatch.setattr(pitman_yor, "SHARD_TOKENS", 3000)
+    monkeypatch.setattr(pitman_yor, "SLICE_CHARS", 4000)
+    monkeypatch.setattr(pitman_yor, "SHARE", 20)
+    monkeypatch.setattr(pitman_yor, "NAMED", named, raising=False)
+    rng = random.Random(8)
+    held = [k for k in range(10_000, 20_000) if zlib.crc32(str(k).encode()) % 5 == 1]
+    train = [k for k in range(10_000, 20_000) if zlib.crc32(str(k).encode()) % 5 != 1]
+    pairs = [f"a{i} b{i} the" for i in range(300)] * 8
+    rng.shuffle(pairs)
+    rows = [(train[k], " ".join(pairs[k * 10 : k * 10 + 10])) for k in range(240)]
+    rows += [(held[2 * i], f"a{i} b{i}") for i in range(300)] + [(held[2 * i + 1], f"a{i} b{(i + 1) % 300}") for i in range(300)]
+    score = {r.doc_id: r.score for r in check(spark, rows)}
+    assert all(score[held[2 * i]] > score[held[2 * i + 1]] + 1 for i in range(300))
