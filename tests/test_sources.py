@@ -126,6 +126,14 @@ def test_names_that_differ_in_case_only(spark, tmp_path):
     assert events.where("cost = 9 AND cost_2 = 1.5 AND Event_Index_2 = 4").count() == 1
 
 
+def test_a_trace_is_not_parsed_again_for_each_use(spark, tmp_path):
+    (tmp_path / "n.xes").write_text(NESTED)
+    for named in (None, {"cost": "float"}):
+        loaded = readers.load_log(spark, str(tmp_path / "n.xes"), mode="tolerant", event_attributes=named)
+        for rows in (loaded.events, loaded.rejects):
+            assert "from_xml" not in rows._jdf.queryExecution().toString()
+
+
 def test_a_plain_xes_file_is_read_in_several_tasks(spark, tmp_path):
     trace = XES[XES.index("<trace>") : XES.index("</trace>") + 8]
     (tmp_path / "big.xes").write_text("<log>\n" + "\n".join(trace.replace('value="1"', f'value="{k}"') for k in range(3000)) + "\n</log>")

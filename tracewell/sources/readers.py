@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.functions.columns import col
+from tracewell.sources.sinks import scratch_folder
 from tracewell.sources.times import chosen_formats, format_counts, parsed_time
 
 CORRUPT = "_corrupt_record"
@@ -247,6 +248,13 @@ def _parsed_traces(traces: DataFrame, opened: frozenset[TagPath] = frozenset())
     )
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """Parsed rows written once to the shared folder: each further use of a parsed column would parse its trace again."""
+    folder = scratch_folder(rows.sparkSession, "traces")
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 @dataclass(frozen=True)
 class XesAttributes:
     """The attributes of a log: by keys the tags under which they occur, and the elements that hold others."""
@@ -256,15 +264,23 @@ class XesAttributes:
     opened: frozenset[TagPath] = frozenset()
 
 
-def xes_attributes(traces: DataFrame, tolerant: bool = False) -> XesAttributes:
+def _holding(traces: DataFrame) -> frozenset[TagPath]:
+    """Tags whose elements seem to hold others, by the text alone; a wrong guess costs a pass, no attribute."""
+    seen = traces.agg(*[F.max(F.col("trace").rlike(rf"<{tag}\b[^>]*[^/>]>")).alias(tag) for tag in XES_TAGS]).first()
+    return frozenset((tag,) for tag in XES_TAGS if seen[tag])
+
+
+def xes_attributes(traces: DataFrame, tolerant: bool = False) -> tuple[XesAttributes, DataFrame]:
     """Find every attribute of a log in one pass, and in one more for each level of attributes inside others.
 
+    Returns the parsed rows of the last pass as well.
+
     The pass groups keys and tags, so what reaches the driver is a row per attribute. It counts the traces that do
     not parse as well, and strict reading ends here if there are any.
     """
-    opened: frozenset[TagPath] = frozenset()
+    opened = _holding(traces)
     while True:
-        rows = _parsed_traces(traces, opened)
+        rows = _kept(_parsed_traces(traces, opened))
 
         def of(scope: str, entry: Column) -> Column:
             return F.struct(F.lit(scope).alias("scope"), entry["keys"].alias("keys"), entry["tag"].alias("tag"))
@@ -272,7 +288,7 @@ def xes_attributes(traces: DataFrame, tolerant: bool = False) -> XesAttributes:
         broken = F.array(F.struct(F.lit("bad").alias("scope"), F.lit("").alias("keys"), F.lit("").alias("tag")))
         own = F.transform("attributes", lambda a: of("trace", a))
         inner = F.flatten(F.transform(F.coalesce("events", F.array()), lambda e: F.transform(e, lambda a: of("event", a))))
-        each = F.when(col(CORRUPT).isNotNull(), broken).otherwise(F.array_distinct(F.concat(own, inner)))
+        each = F.when(col(CORRUPT).isNotNull(), broken).otherwise(F.concat(own, inner))
         found = rows.select("file", F.explode(each).alias("a")).groupBy("a.scope", "a.keys", "a.tag")
         found = found.agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("file")).collect()
         bad = [r for r in found if r["scope"] == "bad"]
@@ -287,7 +303,7 @@ def xes_attributes(traces: DataFrame, tolerant: bool = False) -> XesAttributes:
             own = [r for r in found if r["scope"] == scope]
             return {k: frozenset(r["tag"] for r in own if r["keys"] == k) for k in sorted({r["keys"] for r in own})}
 
-        return XesAttributes(tags("trace"), tags("event"), opened)
+        return XesAttributes(tags("trace"), tags("event"), opened), rows
 
 
 def attribute_type(tags: frozenset[str]) -> str:
@@ -338,7 +354,7 @@ def read_xes(
     """
     traces = xes_traces(spark, path)
     if trace_attributes is None and event_attributes is None:
-        found = xes_attributes(traces, tolerant)
+        found, rows = xes_attributes(traces, tolerant)
     else:
 
         def named(wanted: Mapping[str, str] | None) -> dict[str, frozenset[str]]:
@@ -346,16 +362,17 @@ def read_xes(
 
         opened: frozenset[TagPath] = frozenset()
         if any(INSIDE in key for key in (*(trace_attributes or {}), *(event_attributes or {}))):
-            opened = xes_attributes(traces, tolerant).opened
-        elif not tolerant:
-            checked(_parsed_traces(traces))
+            every, rows = xes_attributes(traces, tolerant)
+            opened = every.opened
+        else:
+            rows = _kept(_parsed_traces(traces))
+            checked(rows, tolerant=tolerant)
         found = XesAttributes(named(trace_attributes), named(event_attributes), opened)
 
     def all_of(standard: Mapping[str, str], more: Mapping[str, frozenset[str]]) -> dict[str, frozenset[str]]:
         return {**{key: frozenset([tag]) for key, tag in standard.items()}, **more}
 
     of_trace, of_event = all_of(STANDARD_TRACE, found.trace), all_of(STANDARD_EVENT, found.event)
-    rows = _parsed_traces(traces, found.opened)
     names = _distinct_names([*[f"case:{key}" for key in of_trace], "event_index", *of_event])
     case = [_value(F.col("attributes"), key, tags).alias(f"_{i}") for i, (key, tags) in enumerate(of_trace.items())]
     events = rows.where(col(CORRUPT).isNull()).select(*case, F.posexplode("events").alias("_index", "_event"))
