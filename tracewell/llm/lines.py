@@ -2,9 +2,10 @@
 
 A line is the set of its words. Words are ordered by rarity: their corpus counts, kept in a fixed number of hash
 buckets by powers of two, and their hash among equals. Of n words only the rarest ``n - ceil(t n) + 1`` are
-indexed, since two sets of Jaccard similarity t share one of those. Pairs that meet must pass the length filter,
-the positional filter and a 64-bit signature (a word that only one line has flips one bit at most); what passes
-is verified on the whole sets.
+indexed, since two sets of Jaccard similarity t share one of those. Pairs that meet must pass the length filter
+and a signature of 64 bits, 128 for lines of many words (a word that only one line has flips one bit at most), and
+share so many indexed words that those behind the indexed ones can make up for the rest; what passes is verified on
+the whole sets.
 
 A line goes if an earlier line is similar, so one such line is all that has to be found. Lines that repeat a set
 go at once. For the others each word first offers its earliest line, and only lines that find no similar one that
@@ -16,10 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import stored, whole_text
+from tracewell.llm.common import discarded, stored, whole_text
 
 SIMILARITY = 75  # per cent
 LEAST_WORDS = 5  # lines of fewer different words stay
+LONG = 40  # different words from which a line has the longer signature
 BUCKETS = 1 << 16  # hash buckets of the word counts
 FILTER_BITS = 1 << 26  # of the filter of words that occur in several prefixes
 BROADCAST_ROWS = 1_000_000  # small tables of ids up to this many rows are broadcast; larger ones are joined
@@ -65,7 +67,10 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def line_sets(texts: DataFrame, similarity: int) -> DataFrame:
-    """``doc, version, pos`` with the set's name (128 bits), size, rarest words (32 bits of their hashes) and signature."""
+    """``doc, version, pos`` with the set's name (128 bits), size, rarest words (32 bits of their hashes) and signature.
+
+    ``bits`` is of all words; ``more`` of half of them, in lines of many words only.
+    """
     ranks = _rarity(texts)
 
     def code(h: Column) -> Column:
@@ -74,11 +79,15 @@ def line_sets(texts: DataFrame, similarity: int) -> DataFrame:
 
     sets = _lines(texts).select(*_KEY, _hashes(F.col("line")).alias("hashes"))
     sets = sets.select(*_KEY, F.sort_array(F.transform("hashes", code)).alias("codes"))
-    bits = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(63).cast("int"))))
+
+    def parity(codes: Column) -> Column:
+        return F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(63).cast("int"))))
+
+    more = F.when(F.size("codes") >= LONG, parity(F.filter("codes", lambda c: c.bitwiseAND(64) == 0)))
     size = F.size("codes")
     rarest = F.transform(F.slice("codes", 1, _prefix(size, similarity)), lambda c: F.shiftright(F.shiftleft(c, 32), 32).cast("int"))
     return sets.select(
-        *_KEY, F.xxhash64("codes").alias("name"), F.xxhash64(F.lit(1), "codes").alias("name2"), size.alias("n"), rarest.alias("rarest"), bits.alias("bits")
+        *_KEY, F.xxhash64("codes").alias("name"), F.xxhash64(F.lit(1), "codes").alias("name2"), size.alias("n"), rarest.alias("rarest"), parity(F.col("codes")).alias("bits"), more.alias("more")
     )
 
 
@@ -94,29 +103,42 @@ def _shared_words(entries: DataFrame) -> DataFrame:
 
 def similar_earlier(texts: DataFrame, lines: DataFrame, similarity: int) -> DataFrame:
     """``doc, version, pos`` of the lines that have a similar earlier one. ``lines`` are the first of each class."""
-    entries = lines.select(*_KEY, "n", "bits", F.posexplode("rarest").alias("at", "word"))
-    entries = stored(_shared_words(entries), "prefixes")
+    entries = stored(_shared_words(lines.select(*_KEY, "n", "bits", "more", F.explode("rarest").alias("word"))), "prefixes")
     columns = [c for c in entries.columns if c != "word"]
-    x = entries.select(*[F.col(c).alias(f"x_{c}") for c in columns], "word")
-    y = entries.select(*[F.col(c).alias(f"y_{c}") for c in columns], "word")
-    needed = _overlap("x_n", "y_n", similarity)
-    longest = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
-    apart = F.bit_count(F.col("x_bits").bitwiseXOR(F.col("y_bits")))
-    near = (100 * F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n")) & (longest >= needed) & (apart <= F.col("x_n") + F.col("y_n") - 2 * needed)
-    fits = (F.struct(*[f"y_{k}" for k in _KEY]) < F.struct(*[f"x_{k}" for k in _KEY])) & near
     pair = [f"{side}_{k}" for side in "xy" for k in [*_KEY, "n"]]
     own = [f"x_{k}" for k in _KEY]
+    fits = (F.struct(*[f"y_{k}" for k in _KEY]) < F.struct(*own)) & _near(similarity)
     # Each word offers its earliest line; of the offers that fit, a line takes the one that most words make.
     low = F.min(F.struct(*[F.col(c) for c in columns])).alias("low")
     offered = entries.groupBy("word").agg(low, F.count("*").alias("held")).where("held > 1").select("word", *[F.col(f"low.{c}").alias(f"y_{c}") for c in columns])
-    offers = x.join(offered, "word").where(fits).groupBy(*pair).agg(F.count("*").alias("words"))
+    offers = _side(entries, "x").join(offered, "word").where(fits).groupBy(*pair).agg(F.count("*").alias("words"))
     best = F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("words"), *[f"y_{k}" for k in _KEY]))
     likely = stored(offers.withColumn("place", best).where("place = 1").select(*pair), "likely")
     found = stored(_verified(texts, likely, similarity), "similar")
-    # Lines without a similar line so far meet all earlier ones.
-    rest = x.join(found, own, "left_anti")
-    pairs = rest.join(y, "word").where(fits).select(*pair).distinct().join(likely, pair, "left_anti")
-    return found.unionAll(_verified(texts, stored(pairs, "pairs"), similarity)).toDF(*_KEY)
+    # Lines without a similar line so far meet all earlier ones. A negative size marks the others and fits nothing, so
+    # that both sides of the join are one table, shuffled once.
+    closed = found.select(*[F.col(f"x_{k}").alias(k) for k in _KEY], F.lit(-1).alias("sign"))
+    marked = entries.join(_small(closed), _KEY, "left").withColumn("n", F.col("n") * F.coalesce("sign", F.lit(1))).select(*entries.columns)
+    met = _side(marked, "x").join(_side(marked, "y"), "word").where(fits).groupBy(*own, "x_n", *[f"y_{k}" for k in _KEY], F.abs("y_n").alias("y_n"))
+    behind = F.greatest(*[F.col(n) - _prefix(F.col(n), similarity) for n in ("x_n", "y_n")])
+    pairs = met.agg(F.count("*").alias("words")).where(F.col("words") + behind >= _overlap("x_n", "y_n", similarity))
+    pairs = stored(pairs.select(*pair).join(likely, pair, "left_anti"), "pairs")
+    discarded(entries)
+    return found.unionAll(_verified(texts, pairs, similarity)).toDF(*_KEY)
+
+
+def _side(entries: DataFrame, side: str) -> DataFrame:
+    return entries.select("word", *[F.col(c).alias(f"{side}_{c}") for c in entries.columns if c != "word"])
+
+
+def _near(similarity: int) -> Column:
+    """Whether sizes and signatures allow a pair to be similar. Sizes below zero allow none on the side ``x``."""
+    x, y = F.col("x_n"), F.abs("y_n")
+    flipped = F.col("x_bits").bitwiseXOR(F.col("y_bits"))
+    half = F.col("x_more").bitwiseXOR(F.col("y_more"))
+    apart = F.coalesce(F.bit_count(half) + F.bit_count(half.bitwiseXOR(flipped)), F.bit_count(flipped))
+    needed = F.ceil((x + y) * similarity / (100.0 + similarity) - 1e-9)
+    return (100 * F.least(x, y) >= similarity * F.greatest(x, y)) & (apart <= x + y - 2 * needed)
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
@@ -141,7 +163,7 @@ def removed_lines(texts: DataFrame, similarity: int = SIMILARITY, least_words: i
     repeats = sets.select(*_KEY, "name", "name2").join(_small(classes), ["name", "name2"]).select(*_KEY, "first").where(F.struct(*_KEY) > F.col("first"))
     repeats = stored(repeats, "repeats")
     firsts = sets.join(_small(repeats.select(*_KEY)), _KEY, "left_anti")
-    similar = similar_earlier(texts, firsts.select(*_KEY, "n", "bits", "rarest"), similarity)
+    similar = similar_earlier(texts, firsts.select(*_KEY, "n", "bits", "more", "rarest"), similarity)
     # Whether or not the first line of a class goes, the lines that repeat it do.
     gone = similar.unionAll(repeats.select(*_KEY))
     return gone.groupBy("doc", "version").agg(F.collect_set("pos").alias("gone"))
