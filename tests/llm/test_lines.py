@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tracewell.llm import lines
 from tracewell.llm.lines import dedup_lines
 
@@ -98,3 +100,26 @@ def test_repeated_ids_with_other_texts(spark):
 def test_empty_table_and_columns(spark):
     docs = spark.createDataFrame([], DOCS)
     assert dedup_lines(docs).collect() == [] and dedup_lines(docs).columns == docs.columns
+
+
+def test_only_sets_of_fitting_sizes_meet(spark):
+    sizes = list(range(1, 61))
+    rows = spark.createDataFrame([(n, n, 0, 0, list(range(n))) for n in sizes], "mark long, n int, bits long, more long, rarest array<int>")
+    n = F.col("n")
+    one, own = F.slice("rarest", 1, 1), lines._class(n, 75)
+    x = lines._entries(rows, "x", one, F.array(own))
+    y = lines._entries(rows, "y", one, F.sequence(own, lines._class(F.floor(n * 100 / 75), 75)))
+    met = {(r.x_mark, r.y_mark) for r in x.join(y, "key").collect()}
+    assert all((a, b) in met for a in sizes for b in sizes if b <= a and 100 * b >= 75 * a)
+    assert not any(a >= 2 * b or b >= 2 * a for a, b in met)
+
+
+def test_shorter_prefix_of_the_smaller_set(spark):
+    # Sets of m words, similar ones of at least as many: what both prefixes leave out cannot be all they share.
+    sizes = spark.range(1, 200).select(F.col("id").cast("int").alias("n"))
+    rows = {r.n: (r.whole, r.part) for r in sizes.select("n", lines._prefix(F.col("n"), 75).alias("whole"), lines._indexed(F.col("n"), 75).alias("part")).collect()}
+    for m in rows:
+        for n in range(m, min(199, m * 4 // 3) + 1):
+            shared = -(-(n + m) * 75 // 175)
+            assert rows[n][0] >= n - shared + 1 and rows[m][1] >= m - shared + 1
+    assert sum(part for _, part in rows.values()) < 0.65 * sum(whole for whole, _ in rows.values())

@@ -1,19 +1,22 @@
 """Near-duplicate lines, by an exact set-similarity join in DataFrame operations alone.
 
 A line is the set of its words. Words are ordered by rarity: their corpus counts, kept in a fixed number of hash
-buckets by powers of two, and their hash among equals. Of n words only the rarest ``n - ceil(t n) + 1`` are
-indexed, since two sets of Jaccard similarity t share one of those. Pairs that meet must pass the length filter
-and a signature of 64 bits, 128 for lines of many words (a word that only one line has flips one bit at most), and
-share so many indexed words that those behind the indexed ones can make up for the rest; what passes is verified on
-the whole sets.
+buckets by powers of the root of two, and their hash among equals. Two sets of Jaccard similarity t share one of the
+rarest ``n - ceil(t n) + 1`` words of the larger and ``m - ceil(2 t m / (1 + t)) + 1`` of the smaller; only those of a
+fitting class of sizes meet. Pairs that meet must pass the length filter and a signature of 64 bits, 128 for lines
+of many words (a word that only one line has flips one bit at most), and share so many indexed words that those
+behind the indexed ones can make up for the rest; what passes is verified on the whole sets.
 
 A line goes if an earlier line is similar, so one such line is all that has to be found. Lines that repeat a set
 go at once. For the others each word first offers its earliest line, and only lines that find no similar one that
-way are paired with all earlier ones.
+way are paired with all earlier ones, the nearest first.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,21 +25,24 @@ from tracewell.llm.common import discarded, stored, whole_text
 SIMILARITY = 75  # per cent
 LEAST_WORDS = 5  # lines of fewer different words stay
 LONG = 40  # different words from which a line has the longer signature
-BUCKETS = 1 << 16  # hash buckets of the word counts
-FILTER_BITS = 1 << 26  # of the filter of words that occur in several prefixes
+BUCKETS = 1 << 18  # hash buckets of the word counts
+LOTS = 4  # lots of words that are joined one after another, a power of two
+NEAREST = 4  # pairs of a line that are verified ahead of its others
 BROADCAST_ROWS = 1_000_000  # small tables of ids up to this many rows are broadcast; larger ones are joined
 
 _KEY = ["doc", "version", "pos"]  # a line: the document's id, its text's hash where ids repeat, the line's number
 
 
 def _blanks(text: Column) -> Column:
-    return F.split(F.translate(text, "\t\r\n", "   "), " ")
+    for blank in "\t\r\n":  # translate looks up every character
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.split(text, " ")
 
 
 def _rarity(texts: DataFrame) -> Column:
     """One array of fixed size: for each bucket the power of two of its words' count in the corpus."""
     words = texts.select(F.explode(_blanks(F.col("text"))).alias("word"))
-    counts = words.groupBy(F.xxhash64("word").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("rank"))
+    counts = words.groupBy(F.xxhash64("word").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.floor(2 * F.log2(F.count("*"))).cast("int").alias("rank"))
     ranks = [0] * BUCKETS
     for row in counts.collect():  # BUCKETS rows at most
         ranks[row["bucket"]] = row["rank"]
@@ -62,6 +68,11 @@ def _overlap(n: str, m: str, similarity: int) -> Column:
     return F.ceil((F.col(n) + F.col(m)) * similarity / (100.0 + similarity) - 1e-9)
 
 
+def _indexed(n: Column, similarity: int) -> Column:
+    """The length of a prefix that no larger similar set's prefix can miss."""
+    return (n - F.ceil(n * (2.0 * similarity) / (100.0 + similarity) - 1e-9) + 1).cast("int")
+
+
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -91,79 +102,125 @@ def line_sets(texts: DataFrame, similarity: int) -> DataFrame:
     )
 
 
-def _shared_words(entries: DataFrame) -> DataFrame:
-    """Entries whose word may be another set's too: a filter of fixed size drops most of those that stand alone."""
-    bit = F.col("word").bitwiseAND(FILTER_BITS - 1)
-    twice = entries.select(bit.alias("bit")).groupBy("bit").agg(F.count("*").alias("held")).where("held > 1")
-    masks = twice.groupBy(F.shiftright("bit", 6).alias("slot")).agg(F.expr("bit_or(shiftleft(1L, bit & 63))").alias("mask"))
-    kept = entries.withColumns({"slot": F.shiftright(bit, 6), "bit": bit.bitwiseAND(63)})
-    kept = kept.join(F.broadcast(masks), "slot")  # FILTER_BITS / 64 rows at most
-    return kept.where(F.expr("shiftright(mask, bit) & 1L") == 1).drop("slot", "bit", "mask")
-
-
-def similar_earlier(texts: DataFrame, lines: DataFrame, similarity: int) -> DataFrame:
-    """``doc, version, pos`` of the lines that have a similar earlier one. ``lines`` are the first of each class."""
-    entries = stored(_shared_words(lines.select(*_KEY, "n", "bits", "more", F.explode("rarest").alias("word"))), "prefixes")
-    columns = [c for c in entries.columns if c != "word"]
-    pair = [f"{side}_{k}" for side in "xy" for k in [*_KEY, "n"]]
-    own = [f"x_{k}" for k in _KEY]
-    fits = (F.struct(*[f"y_{k}" for k in _KEY]) < F.struct(*own)) & _near(similarity)
-    # Each word offers its earliest line; of the offers that fit, a line takes the one that most words make.
-    low = F.min(F.struct(*[F.col(c) for c in columns])).alias("low")
-    offered = entries.groupBy("word").agg(low, F.count("*").alias("held")).where("held > 1").select("word", *[F.col(f"low.{c}").alias(f"y_{c}") for c in columns])
-    offers = _side(entries, "x").join(offered, "word").where(fits).groupBy(*pair).agg(F.count("*").alias("words"))
-    best = F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("words"), *[f"y_{k}" for k in _KEY]))
-    likely = stored(offers.withColumn("place", best).where("place = 1").select(*pair), "likely")
-    found = stored(_verified(texts, likely, similarity), "similar")
-    # Lines without a similar line so far meet all earlier ones. A negative size marks the others and fits nothing, so
-    # that both sides of the join are one table, shuffled once.
-    closed = found.select(*[F.col(f"x_{k}").alias(k) for k in _KEY], F.lit(-1).alias("sign"))
-    marked = entries.join(_small(closed), _KEY, "left").withColumn("n", F.col("n") * F.coalesce("sign", F.lit(1))).select(*entries.columns)
-    met = _side(marked, "x").join(_side(marked, "y"), "word").where(fits).groupBy(*own, "x_n", *[f"y_{k}" for k in _KEY], F.abs("y_n").alias("y_n"))
-    behind = F.greatest(*[F.col(n) - _prefix(F.col(n), similarity) for n in ("x_n", "y_n")])
-    pairs = met.agg(F.count("*").alias("words")).where(F.col("words") + behind >= _overlap("x_n", "y_n", similarity))
-    pairs = stored(pairs.select(*pair).join(likely, pair, "left_anti"), "pairs")
-    discarded(entries)
-    return found.unionAll(_verified(texts, pairs, similarity)).toDF(*_KEY)
-
-
-def _side(entries: DataFrame, side: str) -> DataFrame:
-    return entries.select("word", *[F.col(c).alias(f"{side}_{c}") for c in entries.columns if c != "word"])
+def _class(n: Column, similarity: int) -> Column:
+    """Classes of sizes, each as wide as the sizes of similar sets may lie apart."""
+    return F.floor(F.log(n.cast("double")) / math.log(max(100.0 / similarity, 1.1))).cast("int")
 
 
-def _near(similarity: int) -> Column:
-    """Whether sizes and signatures allow a pair to be similar. Sizes below zero allow none on the side ``x``."""
-    x, y = F.col("x_n"), F.abs("y_n")
+def _entries(firsts: DataFrame, side: str, words: Column, classes: Column, lot: int | None = None) -> DataFrame:
+    """A row for each of the words and classes of a line; the key is the class ahead of the word's 32 bits."""
+    columns = [f"{side}_{c}" for c in ("mark", "n", "bits", "more")]
+    rows = firsts.select(*[F.col(c[2:]).alias(c) for c in columns], classes.alias("classes"), F.explode(words).alias("word"))
+    if lot is not None:
+        rows = rows.where(F.col("word").bitwiseAND(LOTS - 1) == lot)
+    key = F.shiftleft(F.col("class").cast("long"), 32).bitwiseOR(F.col("word").cast("long").bitwiseAND(0xFFFFFFFF))
+    return rows.select(*columns, "word", F.explode("classes").alias("class")).select(key.alias("key"), *columns)
+
+
+def _offers(firsts: DataFrame, similarity: int) -> DataFrame:
+    """``later, earlier``: each word offers its earliest line; of the offers that fit, a line takes the nearest ones."""
+    words, one = F.slice("rarest", 1, _indexed(F.col("n"), similarity)), F.array(F.lit(0))
+    rows = firsts.withColumn("mark", F.col("id"))
+    low = F.min(F.struct("y_mark", "y_n", "y_bits", "y_more")).alias("low")
+    offered = _entries(rows, "y", words, one).groupBy("key").agg(low, F.count("*").alias("held")).where("held > 1").select("key", "low.*")
+    met = _entries(rows, "x", words, one).join(offered, "key").where((F.col("y_mark") < F.col("x_mark")) & _near(similarity))
+    offers = met.groupBy(F.col("x_mark").alias("later"), F.col("y_mark").alias("earlier")).agg(F.min(_spare(similarity)).alias("spare"))
+    place = F.row_number().over(Window.partitionBy("later").orderBy("spare", "earlier"))
+    return offers.withColumn("place", place).where(F.col("place") <= NEAREST).select("later", "earlier")
+
+
+def _pairs(firsts: DataFrame, closed: DataFrame, similarity: int) -> DataFrame:
+    """``later, earlier, spare`` of all pairs that may be similar and whose later line is not among ``closed``.
+
+    The larger set of a pair looks up the words of its prefix, the smaller one is found by those of its shorter one, in
+    the class of the larger one's size. The words go in lots, so that the entries of one lot are on disk at a time.
+    """
+    closed = closed.select("id", F.lit(0).alias("open"))
+    # The lowest bit tells whether the line is open, the others which comes first.
+    marked = firsts.join(_small(closed), "id", "left").withColumn("mark", F.col("id") * 2 + F.coalesce("open", F.lit(1)))
+    n = F.col("n")
+    order = (F.col("y_n") < F.col("x_n")) | ((F.col("y_n") == F.col("x_n")) & (F.col("y_mark") < F.col("x_mark")))
+    useful = F.greatest("x_mark", "y_mark").bitwiseAND(1) == 1
+    shorter = F.slice("rarest", 1, _indexed(n, similarity))
+    classes = F.sequence(_class(n, similarity), _class(F.floor(n * 100 / similarity), similarity))
+    columns = ["x_mark", "y_mark", "x_n", "y_n"]
+    lots = []
+    for lot in range(LOTS):
+        x = _entries(marked, "x", F.col("rarest"), F.array(_class(n, similarity)), lot)
+        met = x.join(_entries(marked, "y", shorter, classes, lot), "key").where(order & useful & _near(similarity))
+        lots.append(stored(met.groupBy(*columns).agg(F.count("*").alias("words"), F.min(_spare(similarity)).alias("spare")), "lot"))
+    met = reduce(DataFrame.unionAll, lots).groupBy(*columns).agg(F.sum("words").alias("words"), F.min("spare").alias("spare"))
+    behind = F.greatest(F.col("x_n") - _prefix(F.col("x_n"), similarity), F.col("y_n") - _indexed(F.col("y_n"), similarity))
+    fit = met.where(F.col("words") + behind >= _overlap("x_n", "y_n", similarity))
+    later, earlier = [F.shiftright(end("x_mark", "y_mark"), 1) for end in (F.greatest, F.least)]
+    return fit.select(later.alias("later"), earlier.alias("earlier"), "spare")
+
+
+def similar_earlier(texts: DataFrame, firsts: DataFrame, similarity: int) -> DataFrame:
+    """``doc, version, pos`` of the lines that have a similar earlier one. ``firsts`` are the first of each class, with
+    an ``id`` in their order."""
+    likely = stored(_offers(firsts, similarity), "likely")
+    found = stored(_verified(texts, firsts, likely, similarity), "similar")
+    # Lines without a similar line so far meet all earlier ones.
+    pairs = stored(_pairs(firsts, found, similarity).join(likely, ["later", "earlier"], "left_anti"), "pairs")
+    # The nearest ones come first, so that most lines of a large group need no more than these.
+    place = F.row_number().over(Window.partitionBy("later").orderBy("spare", "earlier"))
+    nearest = stored(pairs.withColumn("place", place).where(F.col("place") <= NEAREST).select("later", "earlier"), "nearest")
+    near = stored(_verified(texts, firsts, nearest, similarity), "near")
+    rest = pairs.select("later", "earlier").join(near.select(F.col("id").alias("later")), "later", "left_anti")
+    rest = stored(rest.join(nearest, ["later", "earlier"], "left_anti"), "rest")
+    found = found.unionAll(near)
+    if not rest.isEmpty():
+        found = found.unionAll(_verified(texts, firsts, rest, similarity))
+    return firsts.join(_small(stored(found, "found")), "id", "left_semi").select(*_KEY)
+
+
+def _apart() -> Column:
+    """The least difference of two sets that their signatures allow."""
     flipped = F.col("x_bits").bitwiseXOR(F.col("y_bits"))
     half = F.col("x_more").bitwiseXOR(F.col("y_more"))
-    apart = F.coalesce(F.bit_count(half) + F.bit_count(half.bitwiseXOR(flipped)), F.bit_count(flipped))
-    needed = F.ceil((x + y) * similarity / (100.0 + similarity) - 1e-9)
-    return (100 * F.least(x, y) >= similarity * F.greatest(x, y)) & (apart <= x + y - 2 * needed)
+    return F.coalesce(F.bit_count(half) + F.bit_count(half.bitwiseXOR(flipped)), F.bit_count(flipped))
+
+
+def _near(similarity: int) -> Column:
+    """Whether sizes and signatures allow a pair to be similar."""
+    x, y = F.col("x_n"), F.col("y_n")
+    return (100 * F.least(x, y) >= similarity * F.greatest(x, y)) & (_spare(similarity) <= 0)
+
+
+def _spare(similarity: int) -> Column:
+    """The difference that signatures show, less the one that is allowed."""
+    return _apart() - F.col("x_n") - F.col("y_n") + 2 * _overlap("x_n", "y_n", similarity)
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
-    """The ``x`` lines of the pairs whose whole sets are similar; the sets come from the lines themselves."""
+def _verified(texts: DataFrame, firsts: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
+    """``id`` of the later lines of the pairs whose whole sets are similar; the sets come from the lines themselves."""
     numbered = pairs.withColumn("pair", F.monotonically_increasing_id())
-    sides = [numbered.select(*[F.col(f"{side}_{k}").alias(k) for k in _KEY], "pair", F.lit(side).alias("side")) for side in "xy"]
-    wanted = stored(sides[0].unionAll(sides[1]), "wanted")
+    sides = [numbered.select(F.col(name).alias("id"), "pair", F.lit(side).alias("side")) for side, name in (("x", "later"), ("y", "earlier"))]
+    wanted = stored(firsts.select("id", *_KEY).join(sides[0].unionAll(sides[1]), "id"), "wanted")
     lines = _lines(texts.join(_small(wanted.select("doc").distinct()), texts["doc"].eqNullSafe(wanted["doc"]), "left_semi"))
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"w.{k}")) for k in _KEY]
     found = lines.alias("l").join(_small(wanted).alias("w"), same[0] & same[1] & same[2]).select("pair", "side", _hashes(F.col("line")).alias("words"))
     sets = found.groupBy("pair").agg(*[F.max(F.when(F.col("side") == side, F.col("words"))).alias(side) for side in "xy"])
     shared = F.size(F.array_intersect("x", "y"))
     similar = sets.where(100 * shared >= similarity * (F.size("x") + F.size("y") - shared)).select("pair")
-    return wanted.where("side = 'x'").join(similar, "pair").select(*[F.col(k).alias(f"x_{k}") for k in _KEY]).distinct()
+    return wanted.where("side = 'x'").join(similar, "pair").select("id").distinct()
 
 
-def removed_lines(texts: DataFrame, similarity: int = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
+def removed_lines(texts: DataFrame, similarity: int = SIMILARITY, least_words: int = LEAST_WORDS, repeated: bool = True) -> DataFrame:
     """``doc, version, gone``: for each document (``doc, version, text``) the numbers of the lines that go, if any."""
-    sets = stored(line_sets(texts, similarity), "lines").where(F.col("n") >= least_words)
+    every = stored(line_sets(texts, similarity), "lines")
+    sets = every.where(F.col("n") >= least_words)
     classes = stored(sets.groupBy("name", "name2").agg(F.min(F.struct(*_KEY)).alias("first"), F.count("*").alias("held")).where("held > 1").drop("held"), "classes")
     # Lines that repeat a set go in any case; a common line is a hot key, which the join splits.
     repeats = sets.select(*_KEY, "name", "name2").join(_small(classes), ["name", "name2"]).select(*_KEY, "first").where(F.struct(*_KEY) > F.col("first"))
     repeats = stored(repeats, "repeats")
-    firsts = sets.join(_small(repeats.select(*_KEY)), _KEY, "left_anti")
-    similar = similar_earlier(texts, firsts.select(*_KEY, "n", "bits", "more", "rarest"), similarity)
+    firsts = sets.join(_small(repeats.select(*_KEY)), _KEY, "left_anti").select(*_KEY, "n", "bits", "more", "rarest")
+    if repeated:
+        firsts = firsts.dropDuplicates(_KEY)  # rows equal in id and text
+    firsts = stored(firsts.orderBy(*_KEY).withColumn("id", F.monotonically_increasing_id()), "firsts")
+    discarded(every)
+    similar = similar_earlier(texts, firsts, similarity)
     # Whether or not the first line of a class goes, the lines that repeat it do.
     gone = similar.unionAll(repeats.select(*_KEY))
     return gone.groupBy("doc", "version").agg(F.collect_set("pos").alias("gone"))
@@ -183,7 +240,7 @@ def dedup_lines(docs: DataFrame, similarity: int = SIMILARITY, least_words: int
     # Only where ids repeat does it take the text's hash to tell documents apart.
     version = F.xxhash64(F.coalesce(text, F.lit(""))) if repeated else F.lit(0).cast("long")
     texts = docs.select(docs[id_col].alias("doc"), version.alias("version"), whole_text(text_col).alias("text"))
-    gone = stored(removed_lines(texts, similarity, least_words), "gone").select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("gone").alias("__gone"))
+    gone = stored(removed_lines(texts, similarity, least_words, repeated), "gone").select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("gone").alias("__gone"))
     same = docs[id_col].eqNullSafe(F.col("__doc")) & (version == F.col("__version"))
     joined = docs.join(_small(gone), same, "left")
     kept = F.filter(F.split(text, "\n"), lambda line, k: ~F.array_contains("__gone", k))
